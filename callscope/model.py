@@ -121,6 +121,12 @@ def _fields(*pairs) -> list[T.StructField]:
 
 _LONG, _STR, _INT, _DBL = T.LongType(), T.StringType(), T.IntegerType(), T.DoubleType()
 
+
+def struct_of(**columns: T.DataType) -> T.StructType:
+    """A schema of named columns, usable before there is a session."""
+    return T.StructType(_fields(*columns.items()))
+
+
 # Who made a call: one kernel thread of a process on a host.
 CALLER_COLUMNS = ["HOSTNAME", "TID", "PID", "UID", "COMM"]
 _CALLER = [("HOSTNAME", _STR), ("TID", _LONG), ("PID", _LONG), ("UID", _LONG), ("COMM", _STR)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.functions.scalars import command_text, ns_to_seconds, sample_time
+from callscope.functions.scalars import command_text, sample_time
 from callscope.model import (
     BYTE_OPERATIONS,
     CALLER_COLUMNS,
@@ -29,13 +29,13 @@ def call_sums() -> list[Column]:
     """The 65 conditional sums, durations in nanoseconds. One pass, one shuffle row per key."""
     sums = []
     for op, number in OP_NUMBER.items():
-        of_op = F.col("OP_NO") == number
-        total = lambda value: F.sum(F.when(of_op, value).otherwise(F.lit(0).cast("long")))  # noqa: E731,B023
-        sums.append(total(F.lit(1).cast("long")).alias(f"{op}_COUNT"))
-        sums.append(total(F.col("__failed")).alias(f"{op}_ERRORS"))
-        sums.append(total(F.col("DURATION_NS")).alias(f"{op}_DURATION"))
+        parts = {"COUNT": "1L", "ERRORS": "__failed", "DURATION": "DURATION_NS"}
         if op in BYTE_OPERATIONS:
-            sums.append(total(F.col("REQ_BYTES")).alias(f"{op}_BYTES"))
+            parts["BYTES"] = "REQ_BYTES"
+        sums += [
+            F.expr(f"sum(CASE WHEN OP_NO = {number} THEN {value} ELSE 0L END) AS {op}_{kind}")
+            for kind, value in parts.items()
+        ]
     return sums
 
 
@@ -75,21 +75,21 @@ def flatten_counters(raw: DataFrame) -> DataFrame:
     """
     columns = []
     for op in OPERATIONS:
-        stat = op.lower()
+        stat = f"`{op.lower()}`"
         columns += [
-            F.col(f"{stat}.count").alias(f"{op}_COUNT"),
-            F.col(f"{stat}.errors").alias(f"{op}_ERRORS"),
-            F.col(f"{stat}.duration").alias(f"{op}_DURATION"),
+            f"{stat}.count AS {op}_COUNT", f"{stat}.errors AS {op}_ERRORS", f"{stat}.duration AS {op}_DURATION",
         ]
         if op in BYTE_OPERATIONS:
-            columns.append(F.col(f"{stat[0]}bytes").alias(f"{op}_BYTES"))
+            columns.append(f"{op[0].lower()}bytes AS {op}_BYTES")
     return raw.select(
         sample_time_like(F.col("TIMESTAMP"), raw.schema["TIMESTAMP"].dataType).alias("TIMESTAMP"),
         "HOSTNAME", "TID", "PID", "UID", command_text(F.col("COMM")).alias("COMM"), "SBDEV", "SEQ",
-        *columns,
+        *[F.expr(c) for c in columns],
     )
 
 
 def durations_to_seconds(df: DataFrame) -> DataFrame:
     """The last step of a plan that summed nanoseconds: duration columns as seconds."""
-    return df.withColumns({c: ns_to_seconds(F.col(c)) for c in DURATION_COLUMNS})
+    return df.selectExpr(*[
+        f"CAST(`{c}` AS DOUBLE) / 1e9D AS `{c}`" if c in DURATION_COLUMNS else f"`{c}`" for c in df.columns
+    ])

@@ -43,11 +43,11 @@ def to_metrics(
     if merge:
         keyed = samples.select("TIMESTAMP", *[v.alias(f"__l_{n}") for n, v in labels.items()], *STAT_COLUMNS)
         names = [f"__l_{n}" for n in labels]
-        samples = keyed.groupBy("TIMESTAMP", *names).agg(*[F.sum(c).alias(c) for c in STAT_COLUMNS])
+        samples = keyed.groupBy("TIMESTAMP", *names).agg(*[F.expr(f"sum({c}) AS {c}") for c in STAT_COLUMNS])
         labels = {n: F.col(f"__l_{n}") for n in labels}
     wide = samples.select(
         "TIMESTAMP", label_map(labels).alias("labels"),
-        *[F.col(c).cast("double").alias(c) for c in STAT_COLUMNS],
+        *[F.expr(f"CAST({c} AS DOUBLE) AS {c}") for c in STAT_COLUMNS],
     )
     # The map column is no grouping key here: unpivot expands rows in place, without a shuffle.
     long = wide.unpivot(["TIMESTAMP", "labels"], STAT_COLUMNS, "metric", "value")

@@ -26,10 +26,9 @@ def filter_stats(df: DataFrame, tags: Sequence[str], how: str) -> DataFrame:
     raise NotImplementedError(f"tag filter {how!r}: use 'any' or 'all'")
 
 
-def last_value(column: str, order: Column) -> Column:
+def last_value(column: str, order: str) -> Column:
     """Last non-null value in the given order: combines map-side, unlike ``last``."""
-    value = F.col(column)
-    return F.max_by(value, F.when(value.isNotNull(), order))
+    return F.expr(f"max_by(`{column}`, CASE WHEN `{column}` IS NOT NULL THEN {order} END) AS `{column}`")
 
 
 def group_stats(
@@ -45,14 +44,12 @@ def group_stats(
     by the caller. Maps are compared without key order. ``sort`` orders the result by key.
     """
     keys, order = list(keys), list(order)
-    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    position = f"`{order[0]}`" if len(order) == 1 else f"struct({', '.join(f'`{c}`' for c in order)})"
     stats = [c for c in STAT_COLUMNS if c in df.columns]
     rest = [c for c in df.columns if c not in stats and c not in keys]
-    complete = df
-    for key in keys:
-        complete = complete.where(F.col(key).isNotNull())
+    complete = df.where(" AND ".join(f"`{key}` IS NOT NULL" for key in keys))
     grouped = complete.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in stats], *[last_value(c, position).alias(c) for c in rest]
+        *[F.expr(f"sum({c}) AS {c}") for c in stats], *[last_value(c, position) for c in rest]
     )
     if sort:
         return grouped.orderBy(*sort_key(grouped, keys))

@@ -98,10 +98,8 @@ def attach_tags(
     if late is not None:
         tagged = lookup(tagged, late.select(*PROCESS, F.col("TAGS").alias("__late")), PROCESS)
         found = F.coalesce(found, "__late")
-    resolved = tagged.select(
-        *PROCESS, F.col("__row.*"), F.coalesce(found, no_tags()).alias("TAGS")
-    )
-    return resolved.select(*[c for c in samples.columns if c != "TAGS"], "TAGS")
+    columns = [c if c in PROCESS else f"__row.{c}" for c in samples.columns if c != "TAGS"]
+    return tagged.select(*columns, F.coalesce(found, no_tags()).alias("TAGS"))
 
 
 def with_tag_columns(df: DataFrame, names: Sequence[str], prefix: str = "") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # In-memory bytes up to which a lookup side is broadcast to every executor.
@@ -12,18 +11,15 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 _ROW_OVERHEAD = 64
 
 
-def _width(field: T.StructField):
-    column = F.col(field.name)
+def _width(field: T.StructField) -> str:
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(column), F.lit(0)) + F.lit(16)
-    if isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DatetimeType, T.TimestampNTZType)):
-        return F.lit(8)
-    return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + F.lit(64)
+        return f"coalesce(octet_length(`{field.name}`), 0) + 16"
+    if isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "8"
+    return f"coalesce(octet_length(to_json(struct(`{field.name}`))), 0) + 64"
 
 
 def measured_bytes(df: DataFrame) -> int:
     """Size of the rows of a DataFrame; one aggregate job, one number back."""
-    width = F.lit(_ROW_OVERHEAD)
-    for field in df.schema.fields:
-        width = width + _width(field)
-    return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
+    width = " + ".join([str(_ROW_OVERHEAD), *map(_width, df.schema.fields)])
+    return df.selectExpr(f"coalesce(sum(CAST({width} AS BIGINT)), 0L) AS n").first()["n"]

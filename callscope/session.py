@@ -20,7 +20,8 @@ SETTINGS = {
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set what can be set on a running session."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -32,7 +32,7 @@ from callscope.operators.stats import anonymize, filter_stats, group_stats
 from callscope.operators.tagging import attach_tags, live_tags, tag_key_drift
 from callscope.plans.collect import collect_samples
 from callscope.sources.mounts import parse_mountinfo
-from workload import views
+from workload import streams, views
 from workload.views import DAY, TRACKED
 
 HOUR = 3600
@@ -42,12 +42,12 @@ def plain(df: DataFrame) -> DataFrame:
     """Comparable output: times without zone, tags as text."""
     columns = []
     for field in df.schema.fields:
-        column = F.col(field.name)
         if isinstance(field.dataType, T.TimestampType):
-            column = column.cast("timestamp_ntz")
+            columns.append(F.col(field.name).cast("timestamp_ntz").alias(field.name))
         elif isinstance(field.dataType, T.MapType):
-            column = tag_text(column)
-        columns.append(column.alias(field.name))
+            columns.append(tag_text(F.col(field.name)).alias(field.name))
+        else:
+            columns.append(field.name)
     return df.select(*columns)
 
 

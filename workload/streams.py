@@ -1 +1,84 @@
-"""placeholder"""
+"""Streaming queries over the event table: read to its end, then compared as a table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callscope.operators.counters import count_calls
+from callscope.plans.storage import scratch_path
+from callscope.sinks import JsonFileSink
+from callscope.sources.logs import stored_samples
+from callscope.streaming.collect import start_collect
+from callscope.streaming.pairing import stream_calls
+from callscope.streaming.tagging import stream_tags
+from workload import views
+
+DELAY = "1 day"
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole event table as a stream, ended by one row in the far future.
+
+    That row moves the watermark past all others. It never gets behind the watermark itself,
+    so nothing of it comes out.
+    """
+    table = views.table(spark, sf_dir, "events")
+    end = scratch_path(spark, "end-of-events")
+    spark.range(1).select(
+        F.lit(-1).cast("long").alias("event_id"), F.expr("TIMESTAMP_NTZ'2100-01-01 00:00:00'").alias("ts"),
+        F.lit(0).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"),
+        F.lit('{"k": 0}').alias("props"),
+    ).write.parquet(end)
+    read = lambda path: spark.readStream.schema(table.schema).parquet(path)
+    # A pattern, as a stream takes no path of a single file; it matches a folder of files too.
+    raw = read(f"{sf_dir}/{{events}}.parquet").unionByName(read(end))
+    return views.with_caller(raw.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def finished(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all there is and read what it wrote."""
+    path, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    query = (
+        stream.writeStream.format("parquet").outputMode("append")
+        .option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def tumbled_counters(spark: SparkSession, sf_dir: str, interval: int) -> DataFrame:
+    calls = views.calls_of(event_stream(spark, sf_dir)).withWatermark("TS", DELAY)
+    return finished(spark, count_calls(calls, interval), "counters")
+
+
+def paired_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = views.probe_hits(event_stream(spark, sf_dir))
+    return finished(spark, stream_calls(hits, DELAY), "calls")
+
+
+def tagged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir)
+    samples = rows.where(F.col("event_type") != "signup").select(
+        F.col("event_id").alias("SEQ"), "HOSTNAME", "PID", F.col("ts").alias("TIMESTAMP")
+    )
+    execs = rows.where(F.col("event_type") == "signup").select(
+        "HOSTNAME", "PID", "ts", F.col("event_id").alias("seq"), views.event_tags().alias("TAGS")
+    ).where(F.size("TAGS") > 0)
+    return finished(spark, stream_tags(samples, execs, delay=DELAY).drop("TIMESTAMP"), "tagged")
+
+
+def collected_samples(spark: SparkSession, sf_dir: str, interval: int) -> DataFrame:
+    sink = JsonFileSink(scratch_path(spark, "samples"))
+    query = start_collect(
+        views.probe_hits(event_stream(spark, sf_dir)),
+        mounts=lambda: views.mounts(spark, sf_dir),
+        execs=lambda: views.execs(spark, sf_dir),
+        sinks=[sink],
+        checkpoint=scratch_path(spark, "samples-state"),
+        interval=interval,
+        delay=DELAY,
+        trigger={"availableNow": True},
+    )
+    query.awaitTermination()
+    return stored_samples(spark, sink.path)
