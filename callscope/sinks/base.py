@@ -58,16 +58,23 @@ def fan_out(
             for sink in sinks:
                 sink.setup(batch.sparkSession)
             ready = True
-        samples = prepare(batch) if prepare else batch
-        samples = samples.persist(StorageLevel.MEMORY_AND_DISK)
+        # Plans read a batch more than once; unkept, each reading would run the stream's state again.
+        kept = [batch.persist(StorageLevel.MEMORY_AND_DISK)]
         try:
-            if samples.isEmpty():
+            if batch.isEmpty():
                 return
+            samples = batch
+            if prepare:
+                samples = prepare(batch).persist(StorageLevel.MEMORY_AND_DISK)
+                kept.append(samples)
+                if samples.isEmpty():
+                    return
             with ThreadPoolExecutor(len(sinks)) as pool:
                 writes = [pool.submit(sink.write, samples, batch_id) for sink in sinks]
             for write in writes:
                 write.result()
         finally:
-            samples.unpersist()
+            for df in kept:
+                df.unpersist()
 
     return deliver
