@@ -34,7 +34,7 @@ def register_sink(name: str) -> Callable[[type[Sink]], type[Sink]]:
     return add
 
 
-def make_sink(name: str, **options) -> Sink:
+def make_sink(name: str, /, **options) -> Sink:
     if name not in SINKS:
         raise ValueError(f"unknown sink {name!r}; known: {', '.join(sorted(SINKS))}")
     return SINKS[name](**options)
