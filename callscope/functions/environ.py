@@ -28,19 +28,25 @@ def parse_environ(environ: Column, tracked: Sequence[str]) -> Column:
     * an unreadable (null) block gives an empty map.
     """
     empty = F.create_map().cast(TAGS_TYPE)
+
+    def to_map(parts: Column) -> Column:
+        def repeated(part, i):
+            return F.exists(F.slice(parts, i + 2, F.size(parts)), lambda later: later[0] == part[0])
+
+        last_only = F.filter(parts, lambda part, i: ~repeated(part, i))
+        pairs = F.transform(last_only, lambda p: F.struct(p[0].alias("key"), F.get(p, F.lit(1)).alias("value")))
+        malformed = F.exists(parts, lambda p: F.size(p) < 2)
+        return F.when(malformed, empty).otherwise(F.map_from_entries(pairs))
+
     pieces = F.split(environ, "\\x00")
-    entries = F.slice(pieces, 1, F.size(pieces) - 1)
-    parts = F.transform(
-        F.filter(entries, lambda e: is_tracked(e, tracked)), lambda e: F.split(e, "=")
+    tracked_parts = F.transform(
+        F.filter(F.slice(pieces, 1, F.size(pieces) - 1), lambda e: is_tracked(e, tracked)),
+        lambda e: F.split(e, "="),
     )
-    malformed = F.exists(parts, lambda p: F.size(p) < 2)
-    # Keep an entry unless a later one repeats its name, so the map keys are unique.
-    names = F.transform(parts, lambda p: p[0])
-    last_only = F.filter(
-        parts,
-        lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p[0]),
-    )
-    tags = F.map_from_entries(
-        F.transform(last_only, lambda p: F.struct(p[0].alias("key"), F.get(p, F.lit(1)).alias("value")))
-    )
-    return F.when(environ.isNull() | malformed, empty).otherwise(tags)
+    # An array of one: to_map then works on a computed value and not on a repeated expression.
+    tags = F.get(F.transform(F.array(tracked_parts), to_map), F.lit(0))
+    # Most blocks name no tracked variable at all and need no splitting.
+    named = F.lit(False)
+    for name in tracked:
+        named = named | environ.contains(name)
+    return F.when(F.coalesce(named, F.lit(False)), tags).otherwise(empty)

@@ -57,37 +57,38 @@ def pair_calls(events: DataFrame, slice_seconds: int | None = DEFAULT_SLICE_SECO
     slice) go through a second ``lag`` per thread. Both branches read one shuffle of the log.
     ``slice_seconds=None`` pairs whole threads in one pass, for logs without hot threads.
     """
-    rows = drop_unwanted_entries(name_operations(events)).select(
+    hits = events.where(F.col("phase").isin("E", "R"))
+    rows = drop_unwanted_entries(name_operations(hits)).select(
         *CALLER_COLUMNS, "phase", "t_ns", "seq", "OP_NO", "sbdev", "bytes", "rc"
     )
     order = ["t_ns", "seq", "phase"]
-    this = F.struct("phase", "t_ns", "sbdev", "bytes")
     if slice_seconds is None:
         whole = Window.partitionBy(*THREAD).orderBy(*order)
-        return _completed(rows.withColumn("__prev", F.lag(this).over(whole)))
+        return _completed(rows.withColumns(_previous(whole)))
 
     sliced = rows.withColumn("__slice", F.expr(f"t_ns div {slice_seconds * 1_000_000_000}L"))
     inside = Window.partitionBy(*THREAD, "__slice").orderBy(*order)
-    looked = sliced.withColumns({
-        "__prev": F.lag(this).over(inside),
-        "__last": F.lead("phase").over(inside).isNull(),
-    })
-    first = F.col("__prev").isNull()
+    looked = sliced.withColumns({**_previous(inside), "__next": F.lead("phase").over(inside)})
+    first, last = F.col("__phase").isNull(), F.col("__next").isNull()
     across = Window.partitionBy(*THREAD).orderBy(*order)
-    edges = looked.where(first | F.col("__last")).withColumn("__before", F.lag(this).over(across))
-    heads = edges.where(first).withColumn("__prev", F.col("__before"))
-    return _completed(looked.where(~first)).unionByName(_completed(heads))
+    edges = looked.where(first | last).withColumn("__first", first).withColumns(_previous(across))
+    return _completed(looked.where(~first)).unionByName(_completed(edges.where("__first")))
+
+
+def _previous(window) -> dict[str, Column]:
+    """What the row before holds. Plain columns, so that the shuffle carries each value once
+    and both branches of a sliced pairing ask for the same columns, hence the same shuffle."""
+    return {f"__{c}": F.lag(c).over(window) for c in ("phase", "t_ns", "sbdev", "bytes")}
 
 
 def _completed(rows: DataFrame) -> DataFrame:
-    opened = F.col("__prev")
-    return rows.where((F.col("phase") == "R") & (opened["phase"] == "E")).select(
+    return rows.where("phase = 'R' AND __phase = 'E'").select(
         *CALLER_COLUMNS,
-        opened["sbdev"].alias("SBDEV"),
+        F.col("__sbdev").alias("SBDEV"),
         "OP_NO",
         F.timestamp_micros(F.expr("t_ns div 1000")).alias("TS"),
         F.col("seq").alias("SEQ"),
-        (F.col("t_ns") - opened["t_ns"]).alias("DURATION_NS"),
+        (F.col("t_ns") - F.col("__t_ns")).alias("DURATION_NS"),
         F.col("rc").alias("RC"),
-        opened["bytes"].alias("REQ_BYTES"),
+        F.col("__bytes").alias("REQ_BYTES"),
     )
