@@ -50,6 +50,7 @@ def attach_mounts(
     columns=("MOUNT", "REMOTE_PATH"),
     vacuum: int = DEFAULT_VACUUM,
     time: str = "TIMESTAMP",
+    small: bool | None = None,
 ) -> DataFrame:
     """Mount columns of each row's device (SBDEV), empty text where it is unknown.
 
@@ -61,5 +62,5 @@ def attach_mounts(
     if "epoch" in mounts.columns:
         keys.append("epoch")
         keyed = keyed.withColumn("epoch", mount_epoch(F.col(time), vacuum))
-    found = lookup(keyed, mounts.select(*keys, *columns), keys)
+    found = lookup(keyed, mounts.select(*keys, *columns), keys, small=small)
     return found.drop("devt", "epoch").withColumns({c: F.coalesce(c, F.lit("")) for c in columns})

@@ -23,3 +23,7 @@ def measured_bytes(df: DataFrame) -> int:
     """Size of the rows of a DataFrame; one aggregate job, one number back."""
     width = " + ".join([str(_ROW_OVERHEAD), *map(_width, df.schema.fields)])
     return df.selectExpr(f"coalesce(sum(CAST({width} AS BIGINT)), 0L) AS n").first()["n"]
+
+
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    return measured_bytes(df) <= max_bytes

@@ -53,7 +53,7 @@ def start_collect(
 
     def to_samples(counters: DataFrame) -> DataFrame:
         return samples_from_counters(
-            counters, now(mounts), interval, execs=now(execs), late=now(late), **options
+            counters, now(mounts), interval, execs=now(execs), late=now(late), staged=False, **options
         )
 
     counters = stream_counters(stream_calls(events, delay), interval)
