@@ -20,6 +20,7 @@ from callscope.model import (
 )
 
 THREAD = ["HOSTNAME", "TID"]
+HIT_ORDER = ["t_ns", "seq", "phase"]
 DEFAULT_SLICE_SECONDS = 3600
 
 
@@ -57,11 +58,20 @@ def pair_calls(events: DataFrame, slice_seconds: int | None = DEFAULT_SLICE_SECO
     slice) go through a second ``lag`` per thread. Both branches read one shuffle of the log.
     ``slice_seconds=None`` pairs whole threads in one pass, for logs without hot threads.
     """
+    return pair_hits(wanted_hits(events), slice_seconds)
+
+
+def wanted_hits(events: DataFrame) -> DataFrame:
+    """Entries and returns of known operations, without the entries that the file filter drops."""
     hits = events.where(F.col("phase").isin("E", "R"))
-    rows = drop_unwanted_entries(name_operations(hits)).select(
+    return drop_unwanted_entries(name_operations(hits)).select(
         *CALLER_COLUMNS, "phase", "t_ns", "seq", "OP_NO", "sbdev", "bytes", "rc"
     )
-    order = ["t_ns", "seq", "phase"]
+
+
+def pair_hits(rows: DataFrame, slice_seconds: int | None = DEFAULT_SLICE_SECONDS) -> DataFrame:
+    """``pair_calls`` of rows that ``wanted_hits`` selected."""
+    order = HIT_ORDER
     if slice_seconds is None:
         whole = Window.partitionBy(*THREAD).orderBy(*order)
         return _completed(rows.withColumns(_previous(whole)))

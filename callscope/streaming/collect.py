@@ -25,6 +25,18 @@ def stream_counters(calls: DataFrame, interval: int = DEFAULT_INTERVAL, delay: s
     return count_calls(watched, interval)
 
 
+def current(side: Side) -> DataFrame | None:
+    """A side table as it is now."""
+    return side() if callable(side) else side
+
+
+def check_stream_options(options: dict) -> None:
+    check_options(
+        options.get("tracked", ()), options.get("tag_filter"), options.get("anon_fields", ()),
+        options.get("tracked_from_table", False),
+    )
+
+
 def start_collect(
     events: DataFrame,
     mounts: Side,
@@ -45,15 +57,11 @@ def start_collect(
     slowly changing tables are read anew. With a checkpoint a stopped query goes on where
     it ended.
     """
-    check_options(
-        options.get("tracked", ()), options.get("tag_filter"), options.get("anon_fields", ()),
-        options.get("tracked_from_table", False),
-    )
-    now = lambda side: side() if callable(side) else side
+    check_stream_options(options)
 
     def to_samples(counters: DataFrame) -> DataFrame:
         return samples_from_counters(
-            counters, now(mounts), interval, execs=now(execs), late=now(late), staged=False, **options
+            counters, current(mounts), interval, execs=current(execs), late=current(late), staged=False, **options
         )
 
     counters = stream_counters(stream_calls(events, delay), interval)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callscope.model import CALL_SCHEMA, struct_of
-from callscope.operators.pairing import THREAD, drop_unwanted_entries, name_operations
+from callscope.operators.pairing import HIT_ORDER, THREAD, wanted_hits
 from callscope.streaming.ordered import InTimeOrder
 
 _LONG, _TEXT = T.LongType(), T.StringType()
@@ -24,7 +24,7 @@ class OpenCalls(InTimeOrder):
 
     row_schema = _ROWS
     carry_schema = _OPEN
-    order = ["t_ns", "seq", "phase"]
+    order = HIT_ORDER
 
     def advance(self, key, rows, carry):
         entry = rows["phase"] == "E"
@@ -49,9 +49,11 @@ class OpenCalls(InTimeOrder):
 def stream_calls(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Completed calls (CALL_SCHEMA) of a probe event stream; ``TS`` carries the watermark.
 
-    Rows may be late by up to ``delay``; later ones are dropped by Spark.
+    Rows may be late by up to ``delay``; later ones are dropped by Spark. The state of a
+    thread lives in one task, which its rate of calls bounds. Where single threads make a
+    large part of all events use ``streaming.sliced``.
     """
-    rows = drop_unwanted_entries(name_operations(events))
+    rows = wanted_hits(events)
     # Each phase uses only its own fields; the others are set so that no number is null.
     filled = rows.select(
         *THREAD, "PID", "UID", "COMM", "phase", "t_ns", "seq", "OP_NO",

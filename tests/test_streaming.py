@@ -3,6 +3,7 @@
 import random
 from datetime import timedelta
 
+import pytest
 from conftest import utc
 from pyspark.sql import functions as F
 from test_pairing import COLUMNS, random_events, state_machine
@@ -15,6 +16,7 @@ from callscope.sinks import JsonFileSink
 from callscope.sources.logs import probe_events, stored_samples
 from callscope.streaming.collect import start_collect, stop_collect, stream_counters
 from callscope.streaming.pairing import stream_calls
+from callscope.streaming.sliced import SlicedCollector, start_sliced_collect
 from callscope.streaming.tagging import stream_tags
 
 FAR = 4_000_000_000 * 10**9
@@ -95,7 +97,8 @@ def test_tag_state_expires(spark, tmp_path):
     assert {r.n: r.TAGS for r in got.collect()} == {0: {"A": "1"}, 1: {}}
 
 
-def test_collect_stops_and_goes_on(spark, tmp_path):
+@pytest.mark.parametrize("start", [start_collect, start_sliced_collect])
+def test_collect_stops_and_goes_on(spark, tmp_path, start):
     rows = random_events(5, 200)
     batches = mixed_up(rows, 5, 100)
     mounts = spark.range(10).select(
@@ -106,7 +109,7 @@ def test_collect_stops_and_goes_on(spark, tmp_path):
     folder = tmp_path / "in"
 
     def go_on():
-        query = start_collect(
+        query = start(
             read(spark, folder), lambda: mounts, [sink], str(tmp_path / "state"), interval=5,
             trigger={"availableNow": True}, anon_fields=["UID"],
         )
@@ -130,3 +133,34 @@ def test_collect_stops_and_goes_on(spark, tmp_path):
     assert totals.uid == 0 and totals.unknown == 0
     assert totals.bytes == sum(size for *_, op, _, _, _, size in done if op == 2)
     assert got.groupBy("TIMESTAMP", "HOSTNAME", "MOUNT", "COMM").count().where("count > 1").count() == 0
+
+
+def test_sliced_counters_of_late_rows(spark, tmp_path):
+    rows = random_events(6, 400, hot=0.7)
+    parts = []
+    collector = SlicedCollector(
+        str(tmp_path / "kept"), lambda counters, n: parts.append(counters.collect()), interval=5, delay_seconds=10,
+    )
+    batches = [spark.createDataFrame(b, PROBE_SCHEMA) for b in mixed_up(rows, 5, 100) + [[end_row()]]]
+    collector(batches[0], 0)
+    for n, batch in enumerate(batches[1:], 1):
+        before = len(parts)
+        collector(batch, n)
+        again = parts[before:]
+        collector(batch, n)  # a replayed micro-batch gives the same rows again
+        assert [sorted(p) for p in parts[before + len(again):]] == [sorted(p) for p in again]
+        del parts[before + len(again):]
+    want = count_calls(pair_calls(spark.createDataFrame(rows, PROBE_SCHEMA)), 5).collect()
+    got = [r for p in parts for r in p]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_sliced_drops_rows_of_finished_intervals(spark, tmp_path):
+    counted = []
+    collector = SlicedCollector(
+        str(tmp_path / "kept"), lambda counters, n: counted.extend(counters.collect()), interval=5, delay_seconds=1,
+    )
+    hit = lambda phase, t: ("h", 1, 1, 0, "c", "nfs_lookup", phase, t * 10**9, t, 1, 0, 0, 0, 0)
+    for n, rows in enumerate([[hit("E", 1), hit("R", 2), end_row(20 * 10**9)], [hit("E", 3), hit("R", 4)], [end_row()]]):
+        collector(spark.createDataFrame(rows, PROBE_SCHEMA), n)
+    assert sum(r.LOOKUP_COUNT for r in counted) == 1

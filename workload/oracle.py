@@ -351,4 +351,5 @@ def build() -> dict[str, str]:
       FROM (SELECT * FROM ev WHERE event_type <> 'signup') s ASOF LEFT JOIN execs x
         ON s.HOSTNAME = x.HOSTNAME AND s.PID = x.PID AND s.ts >= x.ts"""
     q["stream_samples"] = q["probe_samples"]
+    q["stream_samples_sliced"] = q["probe_samples"]
     return q

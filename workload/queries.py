@@ -369,6 +369,10 @@ def stream_samples(spark, d):
     return plain(streams.collected_samples(spark, d, DAY).select(*SAMPLE_COLUMNS))
 
 
+def stream_samples_sliced(spark, d):
+    return plain(streams.sliced_samples(spark, d, DAY).select(*SAMPLE_COLUMNS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "call_counters": call_counters,
     "counter_flatten": counter_flatten,
@@ -410,4 +414,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_pairs": stream_pairs,
     "stream_tags": stream_tags,
     "stream_samples": stream_samples,
+    "stream_samples_sliced": stream_samples_sliced,
 }

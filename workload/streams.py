@@ -11,10 +11,12 @@ from callscope.sinks import JsonFileSink
 from callscope.sources.logs import stored_samples
 from callscope.streaming.collect import start_collect
 from callscope.streaming.pairing import stream_calls
+from callscope.streaming.sliced import start_sliced_collect
 from callscope.streaming.tagging import stream_tags
 from workload import views
 
 DELAY = "1 day"
+DELAY_SECONDS = 86400
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,17 +70,21 @@ def tagged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(spark, stream_tags(samples, execs, delay=DELAY).drop("TIMESTAMP"), "tagged")
 
 
-def collected_samples(spark: SparkSession, sf_dir: str, interval: int) -> DataFrame:
+def collected_samples(spark: SparkSession, sf_dir: str, interval: int, start=start_collect, **options) -> DataFrame:
     sink = JsonFileSink(scratch_path(spark, "samples"))
-    query = start_collect(
+    query = start(
         views.probe_hits(event_stream(spark, sf_dir)),
         mounts=lambda: views.mounts(spark, sf_dir),
         execs=lambda: views.execs(spark, sf_dir),
         sinks=[sink],
         checkpoint=scratch_path(spark, "samples-state"),
         interval=interval,
-        delay=DELAY,
         trigger={"availableNow": True},
+        **(options or {"delay": DELAY}),
     )
     query.awaitTermination()
     return stored_samples(spark, sink.path)
+
+
+def sliced_samples(spark: SparkSession, sf_dir: str, interval: int) -> DataFrame:
+    return collected_samples(spark, sf_dir, interval, start_sliced_collect, delay_seconds=DELAY_SECONDS)
