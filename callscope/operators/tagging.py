@@ -29,6 +29,13 @@ def exec_tags(execs: DataFrame, tracked: Sequence[str]) -> DataFrame:
     return tagged.where(F.size("TAGS") > 0)
 
 
+def late_tags(environs: DataFrame, tracked: Sequence[str]) -> DataFrame:
+    """Tags of processes whose start was missed: one row per process, from the first time
+    its environment was read. An empty result counts as read."""
+    parsed = environs.withColumn("TAGS", parse_environ(F.col("environ"), tracked))
+    return parsed.groupBy(*PROCESS).agg(F.min_by("TAGS", F.struct("ts", "seq")).alias("TAGS"))
+
+
 def live_tags(tags: DataFrame, live: DataFrame) -> DataFrame:
     """Only the tag rows of processes that still exist; ``live`` has HOSTNAME and PID."""
     return lookup(tags, live.select(*PROCESS).distinct(), PROCESS, how="left_semi")

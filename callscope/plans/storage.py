@@ -8,19 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_unset: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting has to name a shared folder. Where it is unset, as in tests
-    on one machine, a fresh temporary folder is set for the session.
+    on one machine, a fresh temporary folder serves the application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="callscope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _unset:
+        _unset[context.applicationId] = tempfile.mkdtemp(prefix="callscope-")
+    return _unset[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
