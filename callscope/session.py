@@ -14,6 +14,8 @@ SETTINGS = {
     # Keyed stream state with large buffers lives off heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A commit writes what changed, not a snapshot of the whole state.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
