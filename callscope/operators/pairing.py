@@ -49,14 +49,14 @@ def drop_unwanted_entries(events: DataFrame) -> DataFrame:
     return events.where(~checked | F.coalesce(keeps_file(), F.lit(False)))
 
 
-def pair_calls(events: DataFrame, slice_seconds: int | None = DEFAULT_SLICE_SECONDS) -> DataFrame:
+def pair_calls(events: DataFrame, slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
     """Completed calls of an event log with the columns of PROBE_SCHEMA.
 
     One thread may hold a large part of the log, so a thread's rows are looked at in time
     slices: inside a slice the previous row is a plain ``lag``. Only the first row of a slice
     needs its neighbour from an earlier slice; first and last rows of all slices (two per
     slice) go through a second ``lag`` per thread. Both branches read one shuffle of the log.
-    ``slice_seconds=None`` pairs whole threads in one pass, for logs without hot threads.
+    Shorter slices suit busier threads.
     """
     return pair_hits(wanted_hits(events), slice_seconds)
 
@@ -69,13 +69,9 @@ def wanted_hits(events: DataFrame) -> DataFrame:
     )
 
 
-def pair_hits(rows: DataFrame, slice_seconds: int | None = DEFAULT_SLICE_SECONDS) -> DataFrame:
+def pair_hits(rows: DataFrame, slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
     """``pair_calls`` of rows that ``wanted_hits`` selected."""
     order = HIT_ORDER
-    if slice_seconds is None:
-        whole = Window.partitionBy(*THREAD).orderBy(*order)
-        return _completed(rows.withColumns(_previous(whole)))
-
     sliced = rows.withColumn("__slice", F.expr(f"t_ns div {slice_seconds * 1_000_000_000}L"))
     inside = Window.partitionBy(*THREAD, "__slice").orderBy(*order)
     looked = sliced.withColumns({**_previous(inside), "__next": F.lead("phase").over(inside)})

@@ -11,7 +11,8 @@ from callscope.sinks.base import Sink, register_sink
 
 @register_sink("file")
 class JsonFileSink(Sink):
-    """Writes ``<path>/batch=<id>/date=<day>/``; a replayed batch replaces itself.
+    """Writes ``<path>/batch=<id>/date=<day>/``; a replayed batch replaces itself, so a path
+    belongs to one checkpoint.
 
     ``max_records`` bounds the rows per file. Which files to keep is decided by
     ``operators.retention.retained_files`` over the file list.

@@ -12,7 +12,10 @@ from callscope.sinks.base import Sink, register_sink
 
 @register_sink("prometheus")
 class MetricsSink(Sink):
-    """Writes ``<path>/batch=<id>/``: metric rows as Parquet, or lines of text."""
+    """Writes ``<path>/batch=<id>/``: metric rows as Parquet, or lines of text.
+
+    A replayed batch replaces itself, so a path belongs to one checkpoint.
+    """
 
     def __init__(self, path: str, tracked: Sequence[str] = (), merge: bool = False, as_text: bool = False):
         self.path = path.rstrip("/")

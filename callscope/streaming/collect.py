@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -73,8 +74,13 @@ def start_collect(
     return writer.trigger(**(trigger or {"processingTime": f"{interval} seconds"})).start()
 
 
-def stop_collect(query: StreamingQuery, sinks: Sequence[Sink]) -> None:
-    """Stop after the running micro-batch and close the sinks."""
+def stop_collect(query: StreamingQuery, sinks: Sequence[Sink], poll_seconds: float = 0.2) -> None:
+    """Let the running micro-batch finish, stop, and close the sinks.
+
+    A micro-batch that was cut off all the same is replayed from the checkpoint.
+    """
+    while query.isActive and query.status["isTriggerActive"]:
+        time.sleep(poll_seconds)
     query.stop()
     for sink in sinks:
         sink.teardown()

@@ -272,7 +272,7 @@ def build() -> dict[str, str]:
       FROM (SELECT event_id, environ, list_filter(string_split(environ, chr(0))[:-2],
               lambda e: starts_with(e, 'JOB') OR starts_with(e, 'SCHEDID')) AS kept FROM env)"""
     q["pair_calls"] = with_(EVENTS, PROBE_EVENTS) + "SELECT * FROM paired"
-    q["pair_calls_plain"] = q["pair_calls"]
+    q["pair_calls_fine"] = q["pair_calls"]
     q["tags_asof"] = with_(EVENTS, EXECS) + """
       SELECT s.event_id AS SEQ, s.HOSTNAME, s.PID, coalesce(x.tags, CASE WHEN s.PID % 2 = 0 THEN 'LATE=' || s.PID ELSE '' END) AS TAGS
       FROM (SELECT * FROM ev WHERE event_type <> 'signup') s ASOF LEFT JOIN execs x

@@ -239,8 +239,8 @@ def paired(spark, d):
     return plain(pair_calls(views.probe_events(spark, d)))
 
 
-def paired_plain(spark, d):
-    return plain(pair_calls(views.probe_events(spark, d), slice_seconds=None))
+def paired_fine(spark, d):
+    return plain(pair_calls(views.probe_events(spark, d), slice_seconds=60))
 
 
 def _tag_samples(spark, d):
@@ -395,7 +395,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mountinfo_parse": mountinfo_parse,
     "env_parse": env_parse,
     "pair_calls": paired,
-    "pair_calls_plain": paired_plain,
+    "pair_calls_fine": paired_fine,
     "tags_asof": tags_asof,
     "tags_alive": tags_alive,
     "tag_key_drift": key_drift,
