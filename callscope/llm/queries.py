@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import exact, mixing
+from callscope.llm import exact, lines, mixing, near, pii, warc
 from callscope.session import apply_settings
 
 
@@ -21,5 +21,26 @@ def op7_exact_dedup(spark, sf_dir):
     return exact.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op7_exact_dedup)}
-ORACLES = {"op1_mix_sources": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE}
+def op3_personal_data(spark, sf_dir):
+    return pii.query(table(spark, sf_dir, "documents"))
+
+
+def op8_jaccard_join(spark, sf_dir):
+    return near.query(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark, sf_dir):
+    return lines.query(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_archive(spark, sf_dir):
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mix_sources, op3_personal_data, op7_exact_dedup, op8_jaccard_join, op9_line_dedup, op10_warc_archive,
+)}
+ORACLES = {
+    "op1_mix_sources": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE, "op9_line_dedup": lines.ORACLE,
+    "op10_warc_archive": warc.ORACLE,
+}
