@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import exact, lines, mixing, near, pii, warc
+from callscope.llm import decontam, exact, htmltext, langid, lines, mixing, near, pii, quality, warc
 from callscope.session import apply_settings
 
 
@@ -17,10 +17,26 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark, sf_dir):
+    return langid.query(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark, sf_dir):
+    return htmltext.query(table(spark, sf_dir, "pages"))
+
+
+def op6_decontamination(spark, sf_dir):
+    return decontam.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact.query(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_personal_data(spark, sf_dir):
     return pii.query(table(spark, sf_dir, "documents"))
 
@@ -38,7 +54,8 @@ def op10_warc_archive(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op3_personal_data, op7_exact_dedup, op8_jaccard_join, op9_line_dedup, op10_warc_archive,
+    op1_mix_sources, op2_quality_classifier, op3_personal_data, op4_language_id, op5_html_extraction, op6_decontamination,
+    op7_exact_dedup, op8_jaccard_join, op9_line_dedup, op10_warc_archive,
 )}
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE, "op9_line_dedup": lines.ORACLE,
