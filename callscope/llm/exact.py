@@ -1,7 +1,8 @@
 """Exact dedup by sorting contents.
 
-Texts are equal when they are identical without white space. Sampled splitters place the normalised texts in ranges, an
-external sort puts equal ones next to each other, and neighbours are compared in full. Of equal texts the row with the
+Texts are equal when they are identical without white space. Sampled splitters place the normalised texts in ranges (by
+their first ``HEAD`` code points and a hash of the rest, so that samples stay small), an external sort puts equal ones
+next to each other, and neighbours are compared in full. Of equal texts the row with the
 most code points in the original text stays, then the smallest id.
 
 A group with more than 1/``SHARE`` of all rows is cut into slices by a hash of the row, which become part of the sort
@@ -22,6 +23,7 @@ from callscope.plans.storage import written
 
 #: A group with more than this fraction of all rows is sliced, into slices of about this fraction.
 SHARE = 1000
+HEAD = 32
 
 
 def duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
@@ -38,9 +40,9 @@ def duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     slice_ = F.when(F.col("slices").isNotNull(), F.pmod(F.xxhash64("doc_id", "mark"), F.col("slices"))).otherwise(0)
     # at most ``share`` keys can be hot
     sliced = rows.join(F.broadcast(hot), "key", "left").withColumn("slice", slice_.cast("int"))
-    placed = sliced.repartitionByRange("norm", "slice")
-    # the ranges already keep (norm, slice) together: the window sorts and compares neighbours without another shuffle
-    best = Window.partitionBy("norm", "slice").orderBy(F.desc("points"), F.asc_nulls_last("doc_id"), "mark")
+    placed = sliced.withColumn("head", F.left("norm", F.lit(HEAD))).repartitionByRange("head", "key", "slice")
+    # the ranges already keep equal texts of a slice together: the window sorts and compares neighbours without another shuffle
+    best = Window.partitionBy("head", "key", "slice", "norm").orderBy(F.desc("points"), F.asc_nulls_last("doc_id"), "mark")
     whole = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     compared = written(placed.select(
         "doc_id", "mark", F.sha2("norm", 256).alias("text_sha256"), F.col("slices").isNotNull().alias("sliced"),
