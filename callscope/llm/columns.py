@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space: space and the ASCII controls from tab to carriage return.
@@ -17,7 +17,20 @@ def without_spaces(text: Column) -> Column:
     return reduce(lambda c, space: F.replace(c, F.lit(space), F.lit("")), SPACES, text)
 
 
-def extend(df: DataFrame, added: dict[str, Column]) -> list[Column]:
-    """All columns and the added ones; an added column replaces one of the same name (any case)."""
-    names = {name.lower() for name in added}
-    return [df[f"`{c}`"] for c in df.columns if c.lower() not in names] + [c.alias(n) for n, c in added.items()]
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the rows do not have yet, whatever they were given."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def one_row_each(docs: DataFrame, chosen: DataFrame, key: Column, kept: Column) -> DataFrame:
+    """One row of ``docs`` for each different ``kept`` of ``chosen`` that its ``key`` equals, with all its columns.
+
+    The join places the rows by their key, so the choice among rows that repeat one needs no other shuffle.
+    """
+    name, place = fresh(docs, "key"), fresh(docs, "place")
+    rows = docs.withColumn(name, key).join(chosen.select(kept.alias(name)).distinct(), name, "left_semi")
+    first = Window.partitionBy(name).orderBy(F.lit(1))
+    return rows.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*[f"`{c}`" for c in docs.columns])

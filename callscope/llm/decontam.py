@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm.columns import fresh
 from callscope.llm.textops import chunks, shingles, words
 
 WORDS = 5
@@ -225,7 +226,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, shar
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no test item, with all their columns."""
-    name = "_leaks_of_document"
+    name = fresh(docs, "leaks")
     return find_leaks(docs, items, name=name, **options).where(F.size(name) == 0).select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.llm.columns import without_spaces
+from callscope.llm.columns import one_row_each, without_spaces
 from callscope.plans.storage import written
 
 #: A group with more than this fraction of all rows is sliced, into slices of about this fraction.
@@ -64,12 +64,8 @@ def duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 def deduplicate(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """The documents that stay, with all their columns, one row of each group."""
-    kept = duplicates(docs, share).where("kept").select(F.struct("doc_id", "mark").alias("_key"))
     key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"))
-    rows = docs.withColumn("_key", key).join(kept.distinct(), "_key", "left_semi")
-    # a row repeated with the same id and text: one of them; the join has placed the rows by this key
-    one = Window.partitionBy("_key").orderBy(F.lit(1))
-    return rows.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*docs.columns)
+    return one_row_each(docs, duplicates(docs, share).where("kept"), key, F.struct("doc_id", "mark"))
 
 
 def query(docs: DataFrame) -> DataFrame:

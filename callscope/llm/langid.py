@@ -97,7 +97,8 @@ class Parser:
             tables.append(table.ravel())
             self.root.append(base)
             base += table.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.end = base  # a state that leads nowhere: what comes next starts a phrase
+        self.table = np.concatenate([*tables, np.full(width, -1, np.int32)])
         longest = max([len(r) for r in references.values()], default=2)
         self.weight = np.array([np.log(max(len(references[x]), 2)) / np.log(max(longest, 2)) for x in self.languages])
 
@@ -113,17 +114,17 @@ class Parser:
         start, size, owner = start[order], size[order], owner[order]
         symbols = self.symbol[data]
         root = np.array(self.root, np.int32)[:, None]
-        place = np.repeat(root, len(size), axis=1)
+        place = np.full((len(root), len(size)), self.end, np.int32)
         count = np.zeros(place.shape, np.int32)
         active = np.searchsorted(-size, -np.arange(1, (int(size[0]) if len(size) else 0) + 1), side="right")
         for step, n in enumerate(active):
             now = symbols[start[:n] + step]
             to = self.table[place[:, :n] + now]
-            ended = to < 0
-            count[:, :n] += ended
-            fresh = self.table[root + now]  # a new phrase starts with this symbol, if the language has it
-            place[:, :n] = np.where(ended, np.where(fresh < 0, root, fresh), to)
-        return np.stack([np.bincount(owner, row + 1.0, minlength=len(length)) for row in count], axis=1)
+            starts = to < 0
+            count[:, :n] += starts
+            fresh = self.table[root + now]  # a symbol that the language does not have is a phrase by itself
+            place[:, :n] = np.where(starts, np.where(fresh < 0, self.end, fresh), to)
+        return np.stack([np.bincount(owner, row, minlength=len(length)) for row in count], axis=1)
 
 
 def _references(docs: DataFrame, sample_docs: int, sample_bytes: int) -> dict[str, bytes]:

@@ -9,8 +9,8 @@ Probes are collapsed per batch of documents (a key with the ids that hold it), a
 holds a shard's arrays behind a sort, so memory is that of the arrays however many documents share a line. A shard's
 arrays are copied ``SPLITS`` times and its probes spread over the copies, so a very common line is spread, too.
 
-Defined results: a null text is one empty line; white space and short lines never count; a null id never owns a line
-another document has; rows that repeat an id are one document; no rows give no rows. Extra columns are left alone.
+Defined results: a null text is one empty line; white space and short lines never count; documents without an id
+count as one document with the largest id; rows that repeat an id are one document, too; no rows give no rows. Extra columns are left alone.
 """
 
 from __future__ import annotations

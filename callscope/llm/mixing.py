@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.columns import WORD, extend
+from callscope.llm.columns import WORD
 from callscope.plans.storage import written
 
 #: A source is repeated at most so many times.
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weight: Callable[[Column], Column] = cyclic_weight, mos
 def emit(mixed: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it, numbered from 1 in ``copy``."""
     times = F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return mixed.select(*extend(mixed, {}), F.explode(times).alias("copy"))
+    return mixed.select(*[c for c in mixed.columns if c.lower() != "copy"], F.explode(times).alias("copy"))
 
 
 def query(docs: DataFrame) -> DataFrame:

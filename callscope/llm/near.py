@@ -24,9 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm.columns import one_row_each
 from callscope.llm.components import connected_components
 from callscope.llm.textops import chunks, mix, shingles, words
 from callscope.plans.storage import written
@@ -40,6 +41,10 @@ ROWS = 4
 TILE = 256
 
 
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
     """The least number of bands with which a pair at the threshold shares one with the recall wanted."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
@@ -69,7 +74,7 @@ def _set_hash(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _signatures(n: int, rows: int, bands: int):
-    """A reader of (doc_id, text) that writes (doc_id, node, size, bands)."""
+    """A reader of (doc_id, mark, text) that writes (doc_id, mark, node, size, bands)."""
     draw = np.random.Generator(np.random.PCG64(7))
     factors = (draw.integers(1, 2**63, rows * bands, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -92,11 +97,11 @@ def _signatures(n: int, rows: int, bands: int):
                 all_bands.append(found)
             flat = np.concatenate(all_bands).view(np.int64) if all_bands else np.zeros((0, bands), np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").cast(pa.int64()),
+                batch.column("doc_id"), batch.column("mark"),
                 pa.array(np.concatenate(nodes).view(np.int64) if nodes else [], pa.int64()),
                 pa.array(np.concatenate(sizes) if sizes else [], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, bands, dtype=np.int32)), pa.array(flat.ravel())),
-            ], names=["doc_id", "node", "size", "bands"])
+            ], names=["doc_id", "mark", "node", "size", "bands"])
 
     return read
 
@@ -174,13 +179,16 @@ def _compare(n: int, threshold: float):
 def jaccard_classes(
     docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, n: int = WORDS, tile: int = TILE
 ) -> DataFrame:
-    """One row per document: doc_id, class_id and group_id (smallest ids), class_size, n_links (to other classes), node."""
+    """One row per document: doc_id, mark (a hash of its text), class_id and group_id (smallest ids), class_size, n_links (to
+    other classes), kept (the first document of its group)."""
     bands = bands_for(threshold, recall, rows)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text")
+    # null ids sort last
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     signed = written(plain.mapInArrow(
-        _signatures(n, rows, bands), "doc_id long, node long, size long, bands array<long>"
+        _signatures(n, rows, bands), "doc_id long, mark long, node long, size long, bands array<long>"
     ), "signatures")
-    classes = signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    classes = signed.groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("class_size"))
     # equal sets have equal bands: copies collapse before the shuffle
     met = signed.where("size > 0").select("node", F.explode("bands").alias("band")).distinct()
     hubs = met.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -191,10 +199,10 @@ def jaccard_classes(
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     tiled = (
         clusters.join(sizes, "root").withColumn("tile", own).join(classes, "node")
-        .select("class_id", "node", F.col("root").alias("cluster"), "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-        .select("class_id", "node", "cluster", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+        .select("first", "node", F.col("root").alias("cluster"), "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+        .select("first", "node", "cluster", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
     )
-    texts = plain.select(F.col("doc_id").alias("class_id"), "text").join(tiled, "class_id")
+    texts = plain.select(first.alias("first"), "text").join(tiled, "first")
     compared = written(
         texts.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
         .select("cluster", "low", "high", "tile", "node", "text")
@@ -202,27 +210,25 @@ def jaccard_classes(
     )
     links = compared.groupBy("node").agg(F.sum("links").alias("n_links"))
     groups = connected_components(compared.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = groups.join(classes, "node").groupBy("root").agg(F.min("class_id").alias("group_id"))
-    of_node = groups.join(named, "root").join(links, "node").select("node", "group_id", "n_links")
-    described = classes.join(of_node, "node", "left")
-    return signed.select("doc_id", "node").join(described, "node").select(
-        "doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), "class_size",
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "node",
+    named = groups.join(classes, "node").groupBy("root").agg(F.min("first").alias("top"))
+    of_node = groups.join(named, "root").join(links, "node").select("node", "top", "n_links")
+    # a table of its own, so that adaptive execution can split the rows of a class with very many copies
+    described = written(classes.join(of_node, "node", "left"), "classes")
+    top = F.coalesce("top", "first")
+    return signed.select("doc_id", "mark", "node").join(described, "node").select(
+        "doc_id", "mark", F.col("first")["doc_id"].alias("class_id"), top["doc_id"].alias("group_id"), "class_size",
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (first == top).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the smallest id of their group, with all their columns.
+    """The document with the smallest id of each group, with all its columns.
 
-    Texts without words are copies of each other, too. Of rows that repeat this id, one stays.
+    Texts without words are copies of each other, too. Of rows that repeat this id and text, one stays.
     """
-    found = jaccard_classes(docs, **options)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select("doc_id").distinct()
-    one = Window.partitionBy("_id").orderBy(F.lit(1))
-    rows = docs.withColumn("_id", F.struct("doc_id")).join(first.select(F.struct("doc_id").alias("_id")), "_id", "left_semi")
-    return rows.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*docs.columns)
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
+    return one_row_each(docs, jaccard_classes(docs, **options).where("kept"), key, F.struct("doc_id", "mark"))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    found = jaccard_classes(docs)
-    return found.select("doc_id", "class_id", "group_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
+    return jaccard_classes(docs).drop("mark")

@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm.columns import fresh
 from callscope.plans.storage import written
 
 ORDER = 5
@@ -172,17 +173,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def block(c: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(blocks)).cast("int")
+    def block(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c.cast("long")), F.lit(blocks)).cast("int")
 
     text = F.coalesce(F.col("text"), F.lit(""))
     # 23 bits of a language's hash stand above the n-gram
     language = F.pmod(F.xxhash64("lang"), F.lit(1 << (63 - _BITS))).cast("int")
+    mark = F.xxhash64(text, "lang")
     dealt = docs.select(
-        block("doc_id").alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(text, "lang").alias("mark"), language.alias("language"), text.alias("text"),
+        block(F.coalesce("doc_id", mark)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"),
+        language.alias("language"), text.alias("text"),
     ).mapInArrow(_packed, _PACKED)
-    trusted = labels.where("quality = 1 and toxic = 0").select(block("doc_id").alias("block"), F.col("doc_id").cast("long").alias("doc_id"))
+    trusted = labels.where("quality = 1 and toxic = 0").select(block(F.col("doc_id")).alias("block"), F.col("doc_id").cast("long").alias("doc_id"))
     blocked = dealt.groupBy("block")
     requests = written(
         blocked.cogroup(trusted.groupBy("block")).applyInPandas(_requests, "block int, gram long, count long"), "requests"
@@ -217,7 +219,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     bad = classify(docs, labels, **options).where("not kept").select(F.struct("doc_id", "mark").alias("_key")).distinct()
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), "lang").alias("mark"))
-    rows = docs.withColumn("_key", key).join(bad, "_key", "left_anti")
+    name = fresh(docs, "key")
+    rows = docs.withColumn(name, key).join(bad.select(F.col("_key").alias(name)), name, "left_anti")
     return rows.select(*[f"`{c}`" for c in docs.columns])
 
 
