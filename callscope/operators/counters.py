@@ -49,7 +49,7 @@ def count_calls(calls: DataFrame, interval: int | str) -> DataFrame:
     width = interval if isinstance(interval, str) else f"{interval} seconds"
     slim = calls.select(
         "TS", *CALLER_COLUMNS, "SBDEV", "OP_NO", "SEQ",
-        is_error(F.col("OP_NO"), F.col("RC")).cast("long").alias("__failed"),
+        F.coalesce(is_error(F.col("OP_NO"), F.col("RC")), F.lit(False)).cast("long").alias("__failed"),
         "DURATION_NS", "REQ_BYTES",
     )
     counted = slim.groupBy(F.window("TS", width).alias("__window"), *COUNTER_KEYS).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions.scalars import device_text, remote_path
@@ -44,23 +44,40 @@ def resolve_mounts(candidates: DataFrame, vacuum: int = DEFAULT_VACUUM) -> DataF
     )
 
 
+def mount_periods(mounts: DataFrame) -> DataFrame:
+    """Resolved mounts as (HOSTNAME, devt, since, until, ...): a known mount stays until a later period
+    resolves the device anew. Periods that only repeat the mount before them are merged."""
+    by = Window.partitionBy(*MOUNT_KEY).orderBy("epoch")
+    what = F.struct(*[c for c in mounts.columns if c not in (*MOUNT_KEY, "epoch")])
+    changes = mounts.withColumn("__before", F.lag(what).over(by)).where(~F.col("__before").eqNullSafe(what))
+    return changes.drop("__before").withColumn("until", F.lead("epoch").over(by)).withColumnRenamed("epoch", "since")
+
+
 def attach_mounts(
     rows: DataFrame,
     mounts: DataFrame,
     columns=("MOUNT", "REMOTE_PATH"),
     vacuum: int = DEFAULT_VACUUM,
     time: str = "TIMESTAMP",
-    small: bool | None = None,
 ) -> DataFrame:
     """Mount columns of each row's device (SBDEV), empty text where it is unknown.
 
     ``mounts`` has unique (HOSTNAME, devt), or (HOSTNAME, devt, epoch) as made by
-    ``resolve_mounts`` with the same vacuum period.
+    ``resolve_mounts`` with the same vacuum period. With periods a row takes the newest one at
+    or before its own.
     """
-    keys = list(MOUNT_KEY)
     keyed = rows.withColumn("devt", device_text(F.col("SBDEV")))
     if "epoch" in mounts.columns:
-        keys.append("epoch")
-        keyed = keyed.withColumn("epoch", mount_epoch(F.col(time), vacuum))
-    found = lookup(keyed, mounts.select(*keys, *columns), keys, small=small)
-    return found.drop("devt", "epoch").withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
+        at = F.col(time).cast("timestamp")
+        if time == "TIMESTAMP":  # a sample's time is the end of its interval
+            at = at - F.expr("INTERVAL 1 MICROSECOND")
+        own = mount_epoch(at, vacuum)
+        side = mount_periods(mounts.select(*MOUNT_KEY, "epoch", *columns)).alias("m")
+        keyed = keyed.withColumn("__epoch", own).alias("r")
+        same = [F.col(f"r.{k}") == F.col(f"m.{k}") for k in MOUNT_KEY]
+        within = (F.col("__epoch") >= F.col("since")) & (F.col("until").isNull() | (F.col("__epoch") < F.col("until")))
+        joined = keyed.join(side, [*same, within], "left")
+        found = joined.select(*[F.col(f"r.{c}") for c in rows.columns], *[F.col(f"m.{c}") for c in columns])
+    else:
+        found = lookup(keyed, mounts.select(*MOUNT_KEY, *columns), MOUNT_KEY).drop("devt")
+    return found.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})

@@ -62,10 +62,15 @@ def pair_calls(events: DataFrame, slice_seconds: int = DEFAULT_SLICE_SECONDS) ->
 
 
 def wanted_hits(events: DataFrame) -> DataFrame:
-    """Entries and returns of known operations, without the entries that the file filter drops."""
+    """Entries and returns of known operations, without the entries that the file filter drops.
+
+    A missing return code counts as success, missing bytes as none, and a missing device as -1,
+    which no mount has; so tables and streams agree.
+    """
     hits = events.where(F.col("phase").isin("E", "R"))
     return drop_unwanted_entries(name_operations(hits)).select(
-        *CALLER_COLUMNS, "phase", "t_ns", "seq", "OP_NO", "sbdev", "bytes", "rc"
+        *CALLER_COLUMNS, "phase", "t_ns", "seq", "OP_NO",
+        *[F.coalesce(c, F.lit(v).cast("long")).alias(c) for c, v in (("sbdev", -1), ("bytes", 0), ("rc", 0))],
     )
 
 

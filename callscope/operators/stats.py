@@ -26,25 +26,34 @@ def filter_stats(df: DataFrame, tags: Sequence[str], how: str) -> DataFrame:
     raise NotImplementedError(f"tag filter {how!r}: use 'any' or 'all'")
 
 
-def last_value(column: str, order: str) -> Column:
+def last_value(column: str, order: Column) -> Column:
     """Last non-null value in the given order: combines map-side, unlike ``last``."""
-    return F.expr(f"max_by(`{column}`, CASE WHEN `{column}` IS NOT NULL THEN {order} END) AS `{column}`")
+    return F.max_by(column, F.when(F.col(column).isNotNull(), order)).alias(column)
+
+
+def total_order(df: DataFrame) -> list[Column]:
+    """Time, then the sequence number, or without one all other columns: rows that still tie are equal."""
+    first = [c for c in ("TIMESTAMP", "SEQ") if c in df.columns]
+    if "SEQ" in first:
+        return [F.col(c) for c in first]
+    return [F.col(c) for c in first] + sort_key(df, [c for c in df.columns if c not in first])
 
 
 def group_stats(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str] = ("TIMESTAMP",),
+    order: Sequence[str] | None = None,
     sort: bool = False,
 ) -> DataFrame:
     """Group by any columns: statistics are summed, every other column takes its last value.
 
     Rows with a null key are dropped. "Last" is by ``order``, whose columns should make a
-    total order; columns that serve only as order and are no sample columns can be dropped
-    by the caller. Maps are compared without key order. ``sort`` orders the result by key.
+    total order; left out, it is ``total_order``. Columns that serve only as order and are no
+    sample columns can be dropped by the caller. Maps are compared without key order. ``sort`` orders the result by key.
     """
-    keys, order = list(keys), list(order)
-    position = f"`{order[0]}`" if len(order) == 1 else f"struct({', '.join(f'`{c}`' for c in order)})"
+    keys = list(keys)
+    by = total_order(df) if order is None else [F.col(c) for c in order]
+    position = by[0] if len(by) == 1 else F.struct(*by)
     stats = [c for c in STAT_COLUMNS if c in df.columns]
     rest = [c for c in df.columns if c not in stats and c not in keys]
     complete = df.where(" AND ".join(f"`{key}` IS NOT NULL" for key in keys))
@@ -63,12 +72,12 @@ def sort_key(df: DataFrame, keys: Sequence[str]) -> list[Column]:
     ]
 
 
-def squash_processes(df: DataFrame, order: Sequence[str] = ("TIMESTAMP",)) -> DataFrame:
+def squash_processes(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Per command: group by mount, command and tags within host and interval."""
     return group_stats(df, SAMPLE_SCOPE + BY_COMMAND, order)
 
 
-def keep_processes(df: DataFrame, order: Sequence[str] = ("TIMESTAMP",)) -> DataFrame:
+def keep_processes(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Per process: group by mount, process id and tags within host and interval."""
     return group_stats(df, SAMPLE_SCOPE + BY_PROCESS, order)
 

@@ -54,10 +54,11 @@ def attach_tags(
     of ``late`` (HOSTNAME, PID, TAGS, one row per process), else an empty map. Without
     ``execs`` nothing is tracked and all maps are empty.
 
-    One process may own a large part of the rows, so they are walked in time slices: inside
-    a slice a running ``last`` over rows and execs; what a slice inherits comes from a table
-    with one row per (process, slice), joined on the slice's own keys, so that the rows are
-    shuffled and sorted once.
+    One process may own a large part of the rows, so they are walked in time slices: inside a
+    slice a running ``last`` over rows and execs. What a slice inherits follows from the execs
+    alone: the last exec before a later exec's slice is repeated at the start of each slice up
+    to that one, and the last of all, one row per process, serves the slices after it. Rows and
+    execs are read and shuffled once.
     """
     if execs is None:
         return samples.withColumn("TAGS", no_tags())
@@ -66,15 +67,24 @@ def attach_tags(
     rows = samples.select(
         *PROCESS,
         slice_of(F.col(time)).alias("__slice"), F.col(time).cast("timestamp").alias("__ts"),
-        F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__seq"),
+        F.lit(2).alias("__side"), F.lit(0).cast("long").alias("__seq"),
         F.lit(None).cast(TAGS_TYPE).alias("TAGS"),
         F.struct(*payload).alias("__row"),
     )
+    in_time = Window.partitionBy(*PROCESS).orderBy("__ts", "__seq")
     history = execs.select(
         *PROCESS,
         slice_of(F.col("ts")).alias("__slice"), F.col("ts").cast("timestamp").alias("__ts"),
-        F.lit(0).alias("__side"), F.col("seq").cast("long").alias("__seq"),
-        F.col("TAGS").cast(TAGS_TYPE).alias("TAGS"),
+        F.col("seq").cast("long").alias("__seq"), F.col("TAGS").cast(TAGS_TYPE).alias("TAGS"),
+    ).withColumn("__next", F.lead("__slice").over(in_time))
+    # Itself, and at the start of each later slice up to the one of the next exec.
+    places = F.sequence("__slice", F.coalesce("__next", "__slice"))
+    repeated = history.select(*PROCESS, "__ts", "__seq", "TAGS", F.col("__slice").alias("__from"), F.explode(places).alias("__slice"))
+    itself = F.col("__slice") == F.col("__from")
+    known = repeated.select(
+        *PROCESS, "__slice",
+        F.when(itself, F.col("__ts")).otherwise(F.timestamp_seconds(F.col("__slice") * slice_seconds)).alias("__ts"),
+        F.when(itself, F.lit(1)).otherwise(F.lit(0)).alias("__side"), "__seq", "TAGS",
         F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"),
     )
     inside = (
@@ -82,26 +92,12 @@ def attach_tags(
         .orderBy("__ts", "__side", "__seq")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    walked = rows.unionByName(history).withColumn("__own", F.last("TAGS", ignorenulls=True).over(inside))
-
-    per_slice = history.groupBy(*PROCESS, "__slice").agg(
-        F.max_by("TAGS", F.struct("__ts", "__seq")).alias("__left")
-    )
-    wanted = rows.select(*PROCESS, "__slice").distinct().withColumn("__left", F.lit(None).cast(TAGS_TYPE))
-    earlier = (
-        Window.partitionBy(*PROCESS)
-        .orderBy(F.col("__slice"))
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    inherited = (
-        per_slice.unionByName(wanted)
-        .withColumn("__inherited", F.last("__left", ignorenulls=True).over(earlier))
-        .groupBy(*PROCESS, "__slice")
-        .agg(F.any_value("__inherited").alias("__inherited"))
-        .where(F.col("__inherited").isNotNull())
+    walked = rows.unionByName(known).withColumn("__own", F.last("TAGS", ignorenulls=True).over(inside))
+    newest = history.where(F.col("__next").isNull()).select(
+        *PROCESS, F.col("TAGS").alias("__newest"), F.col("__slice").alias("__since")
     )
-    tagged = walked.where("__side = 1").join(inherited, [*PROCESS, "__slice"], "left")
-    found = F.coalesce("__own", "__inherited")
+    tagged = lookup(walked.where("__side = 2"), newest, PROCESS)
+    found = F.coalesce("__own", F.when(F.col("__since") < F.col("__slice"), F.col("__newest")))
     if late is not None:
         tagged = lookup(tagged, late.select(*PROCESS, F.col("TAGS").alias("__late")), PROCESS)
         found = F.coalesce(found, "__late")

@@ -17,9 +17,7 @@ from callscope.operators.stats import (
     keep_processes,
     squash_processes,
 )
-from callscope.operators.tagging import attach_tags
-from callscope.plans.sizing import fits_broadcast
-from callscope.plans.storage import written
+from callscope.operators.tagging import DEFAULT_SLICE_SECONDS, attach_tags
 
 
 def check_options(
@@ -55,7 +53,7 @@ def samples_from_counters(
     anon_fields: Sequence[str] = (),
     vacuum: int = DEFAULT_VACUUM,
     tracked_from_table: bool = False,
-    staged: bool = True,
+    tag_slice_seconds: int = DEFAULT_SLICE_SECONDS,
 ) -> DataFrame:
     """Samples (SAMPLE_COLUMNS) of flat counters, in the fixed order
     mount, tags, tag filter, grouping, masking.
@@ -64,22 +62,15 @@ def samples_from_counters(
     up after grouping, from the device of each group's last row: the grouping then carries
     numbers only, which keeps it a hash aggregate when processes are squashed.
 
-    The tag lookup reads the counters twice. They are the small end of the raw log, so they
-    are first written to the shared working folder: the log is scanned, paired and counted
-    once, and losing an executor later does not bring that back. ``staged=False`` leaves
-    this out where the counters are already stored or kept.
+    The log is scanned, paired and counted once, and nothing runs before the result is asked for.
     """
     check_options(tracked, tag_filter, anon_fields, tracked_from_table)
-    small = fits_broadcast(mounts)
-    counters = counters.drop("TID")
-    if staged and execs is not None:
-        counters = written(counters, "counters")
-    located = attach_mounts(counters, mounts, ["MOUNT"], vacuum, small=small)
-    tagged = attach_tags(located, execs, late)
+    located = attach_mounts(counters.drop("TID"), mounts, ["MOUNT"], vacuum)
+    tagged = attach_tags(located, execs, late, slice_seconds=tag_slice_seconds)
     if tag_filter is not None:
         tagged = filter_stats(tagged, tracked, tag_filter)
     group = squash_processes if squash_pid else keep_processes
-    grouped = attach_mounts(group(tagged, order=["SEQ"]), mounts, ["REMOTE_PATH"], vacuum, small=small)
+    grouped = attach_mounts(group(tagged, order=["SEQ"]), mounts, ["REMOTE_PATH"], vacuum)
     finished = durations_to_seconds(grouped).withColumn("TIMEDELTA", F.lit(interval).cast("long"))
     return anonymize(finished.select(*SAMPLE_COLUMNS), anon_fields)
 

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.plans.sizing import BROADCAST_BYTES, fits_broadcast
-
 _SALT = "__salt"
 _NOT_HASHABLE = (T.MapType, T.ArrayType, T.StructType, T.VariantType)
 
@@ -20,27 +18,18 @@ def salt_column(df: DataFrame, salts: int):
     return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
 
 
-def lookup(
-    facts: DataFrame,
-    side: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    max_broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = 16,
-    small: bool | None = None,
-) -> DataFrame:
+def lookup(facts: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left", salts: int | None = None) -> DataFrame:
     """Join rows to a lookup side whose ``keys`` are unique.
 
-    A side measured to fit is broadcast, and the facts do not move. A larger side is
-    repeated once per salt and joined on (keys, salt): a key that holds a large part of
-    the facts is then spread over ``salts`` tasks. A caller that looks up several times in
-    one side measures it once with ``fits_broadcast`` and passes the answer as ``small``.
+    A plain join: adaptive execution knows the sizes at run time, broadcasts a side that turned out
+    small and splits the rows of a hot key. Where that is switched off or a key is known to hold most
+    rows, ``salts`` repeats the side so many times and joins on (keys, salt).
     """
     keys = list(keys)
     if how not in ("left", "inner", "left_semi"):
         raise ValueError(f"a lookup join cannot be {how!r}")
-    if fits_broadcast(side, max_broadcast_bytes) if small is None else small:
-        return facts.join(F.broadcast(side), keys, how)
+    if salts is None:
+        return facts.join(side, keys, how)
     spread = side.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = facts.withColumn(_SALT, salt_column(facts, salts))
     return salted.join(spread, keys + [_SALT], how).drop(_SALT)

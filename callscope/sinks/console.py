@@ -1,23 +1,33 @@
-"""Samples on the console: a display, of as many rows as asked for."""
+"""Samples on the console."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from callscope.functions.records import json_iso
+from callscope.operators.reshape import transpose
+from callscope.operators.stats import BY_PROCESS, SAMPLE_SCOPE
 from callscope.sinks.base import Sink, register_sink
 
 
 @register_sink("screen")
 class ConsoleSink(Sink):
-    """JSON lines, or with ``table_format`` one field per line. Shows ``rows`` rows per batch."""
+    """Prints every sample of a batch: JSON lines, or with ``table_format`` one field per line.
 
-    def __init__(self, table_format: bool = False, rows: int = 100):
+    Rows reach the driver partition by partition, so it never holds more than one of them.
+    """
+
+    def __init__(self, table_format: bool = False):
         self.table_format = table_format
-        self.rows = rows
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         if self.table_format:
-            batch.show(self.rows, truncate=False, vertical=True)
+            long = transpose(batch, BY_PROCESS)
+            place = [*SAMPLE_SCOPE, "sample_no", "field"]
+            ordered = long.orderBy(*place)
+            lines = ordered.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in place], F.coalesce("value", F.lit(""))))
         else:
-            batch.select(json_iso(batch).alias("sample")).show(self.rows, truncate=False)
+            lines = batch.select(json_iso(batch))
+        for row in lines.toLocalIterator():
+            print(row[0])

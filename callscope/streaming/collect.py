@@ -62,7 +62,7 @@ def start_collect(
 
     def to_samples(counters: DataFrame) -> DataFrame:
         return samples_from_counters(
-            counters, current(mounts), interval, execs=current(execs), late=current(late), staged=False, **options
+            counters, current(mounts), interval, execs=current(execs), late=current(late), **options
         )
 
     counters = stream_counters(stream_calls(events, delay), interval)

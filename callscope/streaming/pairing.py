@@ -54,10 +54,8 @@ def stream_calls(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
     large part of all events use ``streaming.sliced``.
     """
     rows = wanted_hits(events)
-    # Each phase uses only its own fields; the others are set so that no number is null.
     filled = rows.select(
-        *THREAD, "PID", "UID", "COMM", "phase", "t_ns", "seq", "OP_NO",
-        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("sbdev", "bytes", "rc")],
+        *THREAD, "PID", "UID", "COMM", "phase", "t_ns", "seq", "OP_NO", "sbdev", "bytes", "rc",
         F.timestamp_micros(F.expr("t_ns div 1000")).alias("event_time"),
     )
     return filled.withWatermark("event_time", delay).groupBy(*THREAD).transformWithStateInPandas(

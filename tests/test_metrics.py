@@ -40,7 +40,7 @@ def test_exposition(samples):
     quoted = samples.where("COMM = 'bash'").withColumn("MOUNT", F.lit('/a"b\\c'))
     lines = [r.value for r in exposition_lines(to_metrics(quoted)).collect()]
     assert (
-        'vnfs_OPEN_COUNT{HOSTNAME="47fcdb40cfb7",UID="1000",COMM="bash",MOUNT="/a\\"b\\\\c",REMOTE_PATH="/remote/mnt"} 1.0'
+        'vnfs_OPEN_COUNT{HOSTNAME="worker-a",UID="1000",COMM="bash",MOUNT="/a\\"b\\\\c",REMOTE_PATH="/remote/mnt"} 1.0'
         in lines
     )
 

@@ -7,10 +7,10 @@ from callscope.sources.mounts import parse_mountinfo, parse_partitions, read_mou
 
 SELF = """22 1 8:2 / / rw,relatime shared:1 - ext4 /dev/sda2 rw
 30 22 0:4 net:[4026532281] /run/netns/x rw shared:9 - nsfs nsfs rw
-41 22 0:321 / /mnt/test rw,relatime shared:200 - nfs4 172.17.0.3:/ rw,vers=4.2
-42 22 0:69 / /mnt/test2 rw,relatime - nfs4 172.17.0.2:/ rw,vers=4.2
+41 22 0:511 / /net/alpha rw,relatime shared:200 - nfs4 10.9.8.3:/ rw,vers=4.2
+42 22 0:77 / /net/beta rw,relatime - nfs4 10.9.8.2:/ rw,vers=4.2
 """
-LATER = "50 22 0:420 / {} rw,relatime shared:300 - nfs4 172.17.0.5:/remote rw\n"
+LATER = "50 22 0:640 / {} rw,relatime shared:300 - nfs4 10.9.8.5:/remote rw\n"
 
 
 def candidates(spark, rows):
@@ -23,18 +23,18 @@ def test_parse_lines(spark):
     lines = spark.createDataFrame([(line,) for line in SELF.splitlines()], "value string")
     got = sorted(tuple(r) for r in parse_mountinfo(lines).collect())
     assert got == [
-        ("0:321", "/mnt/test", "nfs4", "172.17.0.3:/"), ("0:69", "/mnt/test2", "nfs4", "172.17.0.2:/"),
+        ("0:511", "/net/alpha", "nfs4", "10.9.8.3:/"), ("0:77", "/net/beta", "nfs4", "10.9.8.2:/"),
     ]
 
 
 def test_read_files(spark, tmp_path):
-    for host, pid, text in [("h1", "self", SELF), ("h1", "77", LATER.format("/mnt/mydir")), ("h2", "self", SELF)]:
+    for host, pid, text in [("h1", "self", SELF), ("h1", "77", LATER.format("/mnt/proj")), ("h2", "self", SELF)]:
         folder = tmp_path / host / pid
         folder.mkdir(parents=True)
         (folder / "mountinfo").write_text(text)
     got = read_mountinfo(spark, f"{tmp_path}/*/*/mountinfo").select("HOSTNAME", "devt", "source").collect()
     assert sorted(map(tuple, got)) == [
-        ("h1", "0:321", 1), ("h1", "0:420", 0), ("h1", "0:69", 1), ("h2", "0:321", 1), ("h2", "0:69", 1),
+        ("h1", "0:511", 1), ("h1", "0:640", 0), ("h1", "0:77", 1), ("h2", "0:511", 1), ("h2", "0:77", 1),
     ]
     assert upsert_mounts(read_mountinfo(spark, f"{tmp_path}/*/*/mountinfo")).count() == 5
 
@@ -42,26 +42,26 @@ def test_read_files(spark, tmp_path):
 def test_partitions(spark):
     now = utc(2024, 1, 1)
     rows = spark.createDataFrame(
-        [("h", 123456, "/mnt/test1", "172.17.0.1:/mnt/test1", "nfs", now),
-         ("h", 654321, "/mnt/test2", "172.17.0.2:/mnt/test2", "nfs", now),
+        [("h", 99887, "/net/first", "10.9.8.1:/net/first", "nfs", now),
+         ("h", 99888, "/net/beta", "10.9.8.2:/net/beta", "nfs", now),
          ("h", 5, "/", "/dev/sda", "ext4", now)], PARTITION_SCHEMA)
     got = parse_partitions(rows).select("devt", "MOUNT").collect()
-    assert sorted(map(tuple, got)) == [("0:123456", "/mnt/test1"), ("0:654321", "/mnt/test2")]
+    assert sorted(map(tuple, got)) == [("0:99887", "/net/first"), ("0:99888", "/net/beta")]
 
 
 def test_first_seen_sticks_until_vacuum(spark):
     early, later, next_epoch = utc(2024, 1, 1, 0, 0, 1), utc(2024, 1, 1, 0, 0, 2), utc(2024, 1, 1, 0, 10, 1)
     rows = candidates(spark, [
-        ("h", "0:420", "/mnt/mydir", "172.17.0.5:/remote", 0, early, 0),
-        ("h", "0:420", "/mnt/mydir2", "172.17.0.5:/remote", 0, later, 0),
-        ("h", "0:420", "/mnt/mydir2", "172.17.0.5:/remote", 0, next_epoch, 0),
+        ("h", "0:640", "/mnt/proj", "10.9.8.5:/remote", 0, early, 0),
+        ("h", "0:640", "/mnt/proj2", "10.9.8.5:/remote", 0, later, 0),
+        ("h", "0:640", "/mnt/proj2", "10.9.8.5:/remote", 0, next_epoch, 0),
         ("h", "0:1", "/a", "s:/a", 2, early, 0),
         ("h", "0:1", "/b", "s:/b", 0, early, 3),
         ("h", "0:1", "/c", "s:/c", 0, early, 4),
     ])
     resolved = resolve_mounts(rows, vacuum=600)
     got = {(r.devt, r.epoch % 2): r.MOUNT for r in resolved.collect()}
-    assert got == {("0:420", 0): "/mnt/mydir", ("0:420", 1): "/mnt/mydir2", ("0:1", 0): "/c"}
+    assert got == {("0:640", 0): "/mnt/proj", ("0:640", 1): "/mnt/proj2", ("0:1", 0): "/c"}
 
     facts = spark.createDataFrame(
         [("h", 420, later), ("h", 420, next_epoch), ("h", 421, later), ("other", 420, later)],
@@ -69,7 +69,7 @@ def test_first_seen_sticks_until_vacuum(spark):
     )
     found = attach_mounts(facts, resolved, vacuum=600)
     assert sorted((r.HOSTNAME, r.SBDEV, r.MOUNT, r.REMOTE_PATH) for r in found.collect()) == [
-        ("h", 420, "/mnt/mydir", "/remote"), ("h", 420, "/mnt/mydir2", "/remote"), ("h", 421, "", ""),
+        ("h", 420, "/mnt/proj", "/remote"), ("h", 420, "/mnt/proj2", "/remote"), ("h", 421, "", ""),
         ("other", 420, "", ""),
     ]
 

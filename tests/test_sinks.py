@@ -105,9 +105,15 @@ def test_metrics_sink(spark, samples, tmp_path):
 
 def test_console(samples, capfd):
     ConsoleSink().write(samples, 0)
-    ConsoleSink(table_format=True).write(samples.select("PID", "COMM"), 0)
+    ConsoleSink(table_format=True).write(samples, 0)
     shown = capfd.readouterr().out
-    assert '"COMM":"bash"' in shown and " COMM | bash" in shown
+    assert '"COMM":"bash"' in shown and " COMM bash" in shown
+
+
+def test_console_shows_every_sample(spark, samples, capfd):
+    many = samples.crossJoin(spark.range(60)).drop("id").repartition(7)
+    ConsoleSink().write(many, 0)
+    assert capfd.readouterr().out.count('"HOSTNAME"') == 240
 
 
 def test_fan_out(spark, samples):
@@ -146,7 +152,7 @@ def test_message_records(samples):
     )
     row = records.first()
     body = json.loads(bytes(row.value))
-    assert bytes(row.key) == b"47fcdb40cfb7:ls:1000:1"
+    assert bytes(row.key) == b"worker-a:ls:1000:1"
     assert body["TIMESTAMP"] == 1723678588 and body["TAGS"] == {"FOO": "BAR", "JOB": "1"}
     assert [h.key for h in row.headers][-1] == "JOB"
 

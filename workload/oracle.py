@@ -244,6 +244,15 @@ def build() -> dict[str, str]:
         f"ORDER BY seen_at, source, line_no DESC) AS rn FROM (SELECT *, epoch_us(seen_at) // {30 * DAY * 1000000} AS epoch FROM cand)) "
         "WHERE rn = 1"
     )
+    q["mount_asof"] = with_(EVENTS, CALLS, f"""seen AS (
+      SELECT *, row_number() OVER (PARTITION BY HOSTNAME, dev, epoch ORDER BY ts, event_id % 3, event_id DESC) AS rn
+      FROM (SELECT HOSTNAME, CAST(k % 30 AS BIGINT) AS dev, ts, event_id, epoch_us(ts) // {DAY // 4 * 1000000} AS epoch
+            FROM ev WHERE event_type = 'signup'))""") + f"""
+      SELECT SEQ, c.HOSTNAME, SBDEV, coalesce('/mnt/' || m.event_id, '') AS MOUNT,
+             coalesce('/export/' || m.event_id, '') AS REMOTE_PATH
+      FROM (SELECT *, epoch_us(TS) // {DAY // 4 * 1000000} AS epoch FROM calls) c
+      ASOF LEFT JOIN (SELECT * FROM seen WHERE rn = 1) m
+        ON c.HOSTNAME = m.HOSTNAME AND c.SBDEV = m.dev AND c.epoch >= m.epoch"""
     q["mount_upsert"] = with_(_CANDIDATES) + (
         f"SELECT {pick} FROM (SELECT *, row_number() OVER (PARTITION BY HOSTNAME, devt "
         "ORDER BY seen_at DESC, line_no DESC) AS rn FROM cand) WHERE rn = 1"

@@ -182,6 +182,18 @@ def mount_precedence(spark, d):
     return resolve_mounts(_mount_candidates(spark, d), vacuum=30 * DAY)
 
 
+def mount_asof(spark, d):
+    """Devices collected now and then: most periods of a device have no candidate of their own."""
+    ev, n = views.events(spark, d), F.col("event_id")
+    seen = ev.where("event_type = 'signup'").select(
+        "HOSTNAME", F.concat(F.lit("0:"), F.col("k") % 30).alias("devt"),
+        F.concat(F.lit("/mnt/"), n).alias("MOUNT"), F.concat(F.lit("10.0.0.1:/export/"), n).alias("device"),
+        (n % 3).cast("int").alias("source"), F.col("ts").alias("seen_at"), n.alias("line_no"),
+    )
+    found = attach_mounts(views.calls(spark, d), resolve_mounts(seen, vacuum=DAY // 4), vacuum=DAY // 4, time="TS")
+    return found.select("SEQ", "HOSTNAME", "SBDEV", "MOUNT", "REMOTE_PATH")
+
+
 def mount_upsert(spark, d):
     return upsert_mounts(_mount_candidates(spark, d))
 
@@ -390,6 +402,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mount_lookup": mount_lookup,
     "mount_precedence": mount_precedence,
     "mount_upsert": mount_upsert,
+    "mount_asof": mount_asof,
     "remote_path": remote_paths,
     "devt_format": devt_format,
     "mountinfo_parse": mountinfo_parse,
