@@ -3,12 +3,12 @@
 Units are the bytes of the UTF-8 text, upper and lower case apart, ``ORDER`` bytes to an n-gram; every language has its
 own model. A text is preceded by ``ORDER`` - 1 spaces, so each of its bytes ends one n-gram.
 
-Training and scoring share their joins. Documents are dealt into blocks by id, together with the labels. A block names
-the distinct n-grams of its documents once, with their counts in its trusted documents. These rows are sharded by
-n-gram: summed over blocks they are the model's counts, and joined with the model's probabilities they go back to their
-blocks, where each document's log-probabilities add up. All tables of the model (n-grams, contexts, continuation
-counts of every order) are sharded by n-gram and joined on it; nothing of the corpus is collected or broadcast. A very
-frequent n-gram costs a block one row.
+The model is trained on all trusted documents: those with a label of good quality that is not toxic. Its tables (n-grams,
+contexts and continuation counts of every order) are sharded by n-gram and joined on it, order by order; the result has
+an entry per n-gram with its probability and, where it is a context, the weight of shorter ones. For scoring, documents
+are dealt into blocks by id. A block asks for each of its distinct n-grams once; these requests are sharded by n-gram,
+joined with the entries, and go back to the block, where the probabilities of its documents' bytes are put together.
+Nothing of the corpus is collected or broadcast, and a very frequent n-gram costs a block one row.
 
 Discounts come from the counts of counts per language and order. A document is rejected if its log-perplexity lies above
 a threshold of its language and length class (powers of four bytes): the median of the trusted documents there plus
@@ -33,106 +33,173 @@ from pyspark.sql import functions as F
 from callscope.llm.columns import fresh
 from callscope.plans.storage import written
 
-ORDER = 5
+ORDER = 4
 HIGH = 0.99
 SPREAD = 3.0
 LEAST = 0.75
-_BITS = 8 * ORDER
-_KEY = (1 << _BITS) - 1
+#: Bytes of text whose n-grams a task holds at a time.
+STEP = 500_000
+# A key: 28 bits of the language's hash, 3 bits of the order, the bytes.
+_ORDER_AT, _LANGUAGE_AT = 32, 35
+_LANGUAGES = 1 << 28
 
 
 def _keys(text: bytes, language: int) -> np.ndarray:
-    """The n-grams of a text as numbers, the language in the bits above."""
-    data = np.frombuffer(b" " * (ORDER - 1) + text, np.uint8).astype(np.uint64)
+    """The n-grams of a text as keys of the full order."""
+    data = np.frombuffer(b" " * (ORDER - 1) + text, np.uint8).astype(np.int64)
     n = len(text)
-    key = np.zeros(n, np.uint64)
+    key = np.full(n, (language << 3) | ORDER, np.int64)
     for i in range(ORDER):
-        key = (key << np.uint64(8)) | data[i : i + n]
-    return (key | np.uint64(language << _BITS)).view(np.int64)
+        key = (key << 8) | data[i : i + n]
+    return key
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        yield pa.RecordBatch.from_arrays([
-            *[batch.column(c) for c in ("block", "doc_id", "mark", "language")],
-            pa.array([pack(t or b"") for t in texts], pa.binary()),
-        ], names=["block", "doc_id", "mark", "language", "packed"])
+def shorter(key, k: int):
+    """Of keys of order k the last k - 1 bytes, as keys of that order."""
+    bytes_ = key & ((1 << (8 * (k - 1))) - 1)
+    return (key >> _LANGUAGE_AT << _LANGUAGE_AT) | ((k - 1) << _ORDER_AT) | bytes_
 
 
-_PACKED = "block int, doc_id long, mark long, language int, packed binary"
+def context(key, k: int):
+    """Of keys of order k the first k - 1 bytes, as keys of that order."""
+    bytes_ = (key & ((1 << (8 * k)) - 1)) >> 8
+    return (key >> _LANGUAGE_AT << _LANGUAGE_AT) | ((k - 1) << _ORDER_AT) | bytes_
 
 
-def _together(pdf: pd.DataFrame, step: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, n-grams of the rows one after the other, first of each row and the total), a few megabytes at a time."""
-    unpack = zstandard.ZstdDecompressor().decompress
+def _pieces(texts: Iterator[tuple[int, bytes, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, their keys one after the other, first key of each row and the total) of (row, text, language)."""
     rows, keys, size = [], [], 0
-    for i, (packed, language) in enumerate(zip(pdf["packed"], pdf["language"])):
-        found = _keys(unpack(packed), int(language))
-        rows.append(i)
-        keys.append(found)
-        size += len(found)
-        if size > step:
-            yield np.array(rows), np.concatenate(keys), np.cumsum([0, *map(len, keys)])
-            rows, keys, size = [], [], 0
+    for row, text, language in texts:
+        for low in range(0, max(len(text), 1), STEP):  # a very long text comes in pieces, each with the bytes before it
+            found = _keys(text, language) if len(text) <= STEP else _keys_from(text, language, low)
+            rows.append(row)
+            keys.append(found)
+            size += len(found)
+            if size >= STEP:
+                yield np.array(rows), np.concatenate(keys), np.cumsum([0, *map(len, keys)])
+                rows, keys, size = [], [], 0
     if rows:
         yield np.array(rows), np.concatenate(keys), np.cumsum([0, *map(len, keys)])
 
 
-def _requests(docs: pd.DataFrame, trusted: pd.DataFrame) -> pd.DataFrame:
-    """The distinct n-grams of a block and how often its trusted documents have them."""
-    if not len(docs):
-        return pd.DataFrame({"block": [], "gram": [], "count": []}).astype({"block": "int32", "gram": "int64", "count": "int64"})
-    good = docs["doc_id"].isin(trusted["doc_id"].dropna()).to_numpy() & docs["doc_id"].notna().to_numpy()
-    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for rows, keys, first in _together(docs):
-        weight = np.repeat(good[rows], np.diff(first)).astype(np.float64)
-        own, place = np.unique(keys, return_inverse=True)
-        both = np.concatenate([grams, own])
-        grams, where = np.unique(both, return_inverse=True)
-        counts = np.bincount(where, np.concatenate([counts, np.bincount(place, weight, minlength=len(own))]), minlength=len(grams)).astype(np.int64)
-    return pd.DataFrame({"block": np.int32(docs["block"].iloc[0]), "gram": grams, "count": counts})
+def _keys_from(text: bytes, language: int, low: int) -> np.ndarray:
+    before = text[max(0, low - ORDER + 1) : low]
+    return _keys(before + text[low : low + STEP], language)[len(before) :]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, count) of trusted texts, summed within a batch."""
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        rows = ((i, t or b"", lang) for i, (t, lang) in enumerate(zip(texts, batch.column("language").to_pylist())))
+        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, keys, _ in _pieces(rows):
+            own, times = np.unique(keys, return_counts=True)
+            grams, where = np.unique(np.concatenate([grams, own]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, times]), minlength=len(grams)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], names=["gram", "count"])
+
+
+def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of a batch by block: one compressed row per block."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        batch = batch.take(pa.array(order))
+        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks[order])) + 1, [len(order)]])
+        spans = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) if a < b]
+
+        def lists(column, kind):
+            return pa.array([column[a:b] for a, b in spans], pa.list_(kind))
+
+        yield pa.RecordBatch.from_arrays([
+            pa.array([int(blocks[order[a]]) for a, _ in spans], pa.int32()),
+            *[lists(batch.column(c).to_pylist(), t) for c, t in (("doc_id", pa.int64()), ("mark", pa.int64()), ("language", pa.int32()))],
+            lists([len(t) for t in texts], pa.int64()),
+            pa.array([pack(b"".join(texts[a:b])) for a, b in spans], pa.binary()),
+        ], names=["block", "ids", "marks", "languages", "sizes", "packed"])
 
 
-def _scored(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+_FRAMES = "block int, ids array<long>, marks array<long>, languages array<int>, sizes array<long>, packed binary"
+
+
+def _texts(frames: pd.DataFrame) -> Iterator[tuple[int, bytes, int]]:
+    """(row, text, language) of a block's documents in order."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    row = 0
+    for packed, sizes, languages in zip(frames["packed"], frames["sizes"], frames["languages"]):
+        data, at = unpack(packed), 0
+        for size, language in zip(sizes, languages):
+            yield row, data[at : at + size], int(language)
+            row, at = row + 1, at + size
+
+
+def _requests(frames: pd.DataFrame) -> pd.DataFrame:
+    """The distinct n-grams of a block and all shorter ones that their probabilities may come from."""
+    grams = np.zeros(0, np.int64)
+    for _, keys, _ in _pieces(_texts(frames)):
+        grams = np.union1d(grams, keys)
+    found = [grams]
+    for k in range(ORDER, 0, -1):
+        found.append(np.union1d(shorter(found[-1], k), context(found[-1], k)))
+    return pd.DataFrame({"block": np.int32(frames["block"].iloc[0]), "gram": np.concatenate(found)})
+
+
+def _probabilities(keys: np.ndarray, k: int, grams: np.ndarray, p: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Of distinct keys of order k; an n-gram that the model lacks takes its context's spare weight of the shorter one."""
+    if k == 0:
+        return np.full(len(keys), 1 / 256)
+
+    def look(wanted, values):
+        if not len(grams):
+            return np.full(len(wanted), np.nan)
+        at = np.minimum(np.searchsorted(grams, wanted), len(grams) - 1)
+        return np.where(grams[at] == wanted, values[at], np.nan)
+
+    less, place = np.unique(shorter(keys, k), return_inverse=True)
+    below = _probabilities(less, k - 1, grams, p, spare)[place]
+    own, weight = look(keys, p), look(context(keys, k), spare)
+    return np.where(np.isnan(own), np.where(np.isnan(weight), 1.0, weight) * below, own)
+
+
+def _scored(frames: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """The sum of log-probabilities of each document of a block."""
-    grams = answers["gram"].to_numpy()
-    order = np.argsort(grams)
-    grams, logp = grams[order], answers["logp"].to_numpy()[order]
-    total, size = np.zeros(len(docs)), np.zeros(len(docs), np.int64)
-    if len(grams):
-        for rows, keys, first in _together(docs):
-            size[rows] = np.diff(first)
-            values = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(grams, keys)])])
-            total[rows] = values[first[1:]] - values[first[:-1]]
-    out = docs[["doc_id", "mark", "language"]].copy()
-    out["n_grams"], out["logp"] = size, total
-    return out
-
-
-def _model(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, p) of the wanted n-grams (gram) under the model of (gram, count): joins on n-grams, order by order."""
-    language = F.shiftright("gram", _BITS).cast("int")
-    low = F.col("gram").bitwiseAND(_KEY)
-
-    def suffix(k: int) -> Column:  # of an n-gram of order k + 1 the last k bytes, with the language
-        return F.shiftleft(language.cast("long"), _BITS).bitwiseOR(low.bitwiseAND((1 << (8 * k)) - 1))
-
-    def prefix() -> Column:
-        return F.shiftleft(language.cast("long"), _BITS).bitwiseOR(F.shiftright(low, 8))
-
-    order_counts = {ORDER: counts}
-    wants = {ORDER: wanted.select("gram")}
+    answers = answers.sort_values("gram")
+    grams, p, spare = (answers[c].to_numpy() for c in ("gram", "p", "spare"))
+    size = np.concatenate([np.asarray(x, np.int64) for x in frames["sizes"]]) if len(frames) else np.zeros(0, np.int64)
+    total = np.zeros(len(size))
+    for rows, keys, first in _pieces(_texts(frames)):
+        own, place = np.unique(keys, return_inverse=True)
+        logs = np.log(_probabilities(own, ORDER, grams, p.astype(float), spare.astype(float)))
+        values = np.concatenate([[0.0], np.cumsum(logs[place])])
+        np.add.at(total, rows, values[first[1:]] - values[first[:-1]])
+    flat = lambda c: pd.array([x for xs in frames[c] for x in xs], "Int64")
+    return pd.DataFrame({"doc_id": flat("ids"), "mark": flat("marks"), "language": flat("languages").astype("Int32"), "n_grams": size, "logp": total})
+
+
+def _model(counts: DataFrame) -> DataFrame:
+    """(gram, p, spare) of the model of full-order (gram, count): joins on n-grams, order by order.
+
+    ``p`` is an n-gram's probability after its context, ``spare`` what is left to shorter ones after it as a context.
+    """
+    key = F.col("gram")
+    top = F.shiftleft(F.shiftright(key, _LANGUAGE_AT), _LANGUAGE_AT)
+
+    def low(k: int) -> Column:
+        return key.bitwiseAND(F.lit((1 << (8 * k)) - 1).cast("long"))
+
+    def tagged(k: int, bytes_: Column) -> Column:
+        return top.bitwiseOR(F.lit(k << _ORDER_AT).cast("long")).bitwiseOR(bytes_)
+
+    of_order = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         # continuation counts: how many different bytes stand before an n-gram
-        order_counts[k] = order_counts[k + 1].groupBy(suffix(k).alias("gram")).agg(F.count(F.lit(1)).alias("count"))
-        wants[k] = wants[k + 1].select(suffix(k).alias("gram")).distinct()
-
-    p = None
+        of_order[k] = of_order[k + 1].groupBy(tagged(k, low(k)).alias("gram")).agg(F.count(F.lit(1)).alias("count"))
+    entries, p, c = None, None, F.col("count")
     for k in range(1, ORDER + 1):
-        c = F.col("count")
-        tallies = order_counts[k].groupBy(language.alias("language")).agg(
+        tallies = of_order[k].groupBy(top.alias("language")).agg(
             *[F.sum(F.when(c == i, 1).otherwise(0)).cast("double").alias(f"t{i}") for i in (1, 2, 3, 4)]
         )
         y = F.when(F.col("t1") + 2 * F.col("t2") > 0, F.col("t1") / (F.col("t1") + 2 * F.col("t2"))).otherwise(0.5)
@@ -144,55 +211,53 @@ def _model(counts: DataFrame, wanted: DataFrame) -> DataFrame:
             return F.least(F.greatest(value, F.lit(0.1)), F.lit(i - 0.1 if i > 1 else 0.9))
 
         cuts = tallies.select("language", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
-        seen = order_counts[k].withColumn("context", prefix())
+        before = tagged(k - 1, F.shiftright(low(k), 8)).alias("context")
+        seen = of_order[k].select("gram", "count", before, top.alias("language"))
         contexts = seen.groupBy("context").agg(
-            F.sum("count").cast("double").alias("total"),
+            F.any_value("language").alias("language"), F.sum("count").cast("double").alias("total"),
             *[F.sum(F.when(test, 1).otherwise(0)).alias(f"n{i}") for i, test in ((1, c == 1), (2, c == 2), (3, c >= 3))],
         )
-        rows = (
-            wants[k].withColumn("context", prefix()).withColumn("language", language)
-            .join(order_counts[k], "gram", "left").join(contexts, "context", "left").join(cuts, "language", "left")
-        )
+        spare = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")
+        contexts = contexts.join(cuts, "language").select("context", "total", "d1", "d2", "d3", spare.alias("spare"))
+        rows = seen.join(contexts, "context")
         if k == 1:
-            rows = rows.withColumn("shorter", F.lit(1 / 256))
+            rows = rows.withColumn("below", F.lit(1 / 256))
         else:
-            rows = rows.withColumn("less", suffix(k - 1)).join(p.select(F.col("gram").alias("less"), F.col("p").alias("shorter")), "less")
-        cut = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).when(c >= 3, F.col("d3"))
-        kept = F.coalesce(F.greatest(c - cut, F.lit(0.0)), F.lit(0.0))
-        spare = F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")
-        p = rows.select("gram", F.when(
-            F.col("total").isNull(), F.col("shorter")
-        ).otherwise((kept + spare * F.col("shorter")) / F.col("total")).alias("p"))
-        if k < ORDER:
-            p = written(p, f"model-{k}")  # the next order joins it; cuts a long plan
-    return p
+            rows = rows.withColumn("less", tagged(k - 1, low(k - 1))).join(p.select(key.alias("less"), F.col("p").alias("below")), "less")
+        cut = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
+        own = rows.select("gram", (F.greatest(c - cut, F.lit(0.0)) / F.col("total") + F.col("spare") * F.col("below")).alias("p"))
+        p = written(own, f"model-{k}")  # the next order joins it; cuts a long plan
+        both = p.select("gram", "p", F.lit(None).cast("double").alias("spare")).unionAll(
+            contexts.select(F.col("context").alias("gram"), F.lit(None).cast("double"), "spare")
+        )
+        entries = both if entries is None else entries.unionAll(both)
+    return entries.groupBy("gram").agg(F.max("p").alias("p"), F.max("spare").alias("spare"))
+
+
+def _trusted(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, mark (a hash of text and language), language, n_grams, logp (sum) of every document."""
     spark = docs.sparkSession
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def block(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c.cast("long")), F.lit(blocks)).cast("int")
-
     text = F.coalesce(F.col("text"), F.lit(""))
-    # 23 bits of a language's hash stand above the n-gram
-    language = F.pmod(F.xxhash64("lang"), F.lit(1 << (63 - _BITS))).cast("int")
     mark = F.xxhash64(text, "lang")
-    dealt = docs.select(
-        block(F.coalesce("doc_id", mark)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"),
-        language.alias("language"), text.alias("text"),
-    ).mapInArrow(_packed, _PACKED)
-    trusted = labels.where("quality = 1 and toxic = 0").select(block(F.col("doc_id")).alias("block"), F.col("doc_id").cast("long").alias("doc_id"))
-    blocked = dealt.groupBy("block")
-    requests = written(
-        blocked.cogroup(trusted.groupBy("block")).applyInPandas(_requests, "block int, gram long, count long"), "requests"
+    plain = docs.select(
+        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), mark)), F.lit(blocks)).cast("int").alias("block"),
+        F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"),
+        F.pmod(F.xxhash64("lang"), F.lit(_LANGUAGES)).cast("int").alias("language"), text.alias("text"),
     )
-    grams = written(requests.groupBy("gram").agg(F.sum("count").alias("count")), "grams")
-    model = _model(grams.where("count > 0"), grams)
-    answers = requests.select("block", "gram").join(model.select("gram", F.log("p").alias("logp")), "gram")
-    return blocked.cogroup(answers.groupBy("block")).applyInPandas(
+    # of the texts only those that may be trusted move: Spark filters the scan by a Bloom filter of the labels' ids
+    trusted = plain.select("doc_id", "language", "text").join(_trusted(labels), "doc_id", "left_semi")
+    counts = trusted.select("language", "text").mapInArrow(_counted, "gram long, count long")
+    model = written(_model(written(counts.groupBy("gram").agg(F.sum("count").alias("count")), "grams")), "model")
+    # both reads of the frames share one shuffle
+    framed = plain.mapInArrow(_framed, _FRAMES).groupBy("block")
+    requests = framed.applyInPandas(_requests, "block int, gram long")
+    answers = requests.join(model, "gram").select("block", "gram", "p", "spare")
+    return framed.cogroup(answers.groupBy("block")).applyInPandas(
         _scored, "doc_id long, mark long, language int, n_grams long, logp double"
     )
 
@@ -202,8 +267,7 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, spread: flo
     scored = written(score(docs, labels), "scored").withColumn(
         "loss", F.when(F.col("n_grams") > 0, -F.col("logp") / F.col("n_grams"))
     ).withColumn("class", F.floor(F.log2(F.col("n_grams") + 1) / 2).cast("int"))
-    trusted = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    known = scored.where("loss is not null").join(trusted, "doc_id", "left_semi")
+    known = scored.where("loss is not null").join(_trusted(labels), "doc_id", "left_semi")
     limits = known.groupBy("language", "class").agg(
         F.percentile_approx("loss", F.lit(0.5), F.lit(10000)).alias("middle"),
         F.percentile_approx("loss", F.lit(high), F.lit(10000)).alias("high"),
