@@ -11,6 +11,7 @@ from callscope.functions.tags import tag_value
 from callscope.model import (
     BUFFER_WARN_PERCENT,
     DEFAULT_BUFFER_SAMPLES,
+    DURATION_COLUMNS,
     METRIC_HELP,
     METRIC_PREFIX,
     STAT_COLUMNS,
@@ -43,7 +44,12 @@ def to_metrics(
     if merge:
         keyed = samples.select("TIMESTAMP", *[v.alias(f"__l_{n}") for n, v in labels.items()], *STAT_COLUMNS)
         names = [f"__l_{n}" for n in labels]
-        samples = keyed.groupBy("TIMESTAMP", *names).agg(*[F.expr(f"sum({c}) AS {c}") for c in STAT_COLUMNS])
+        # Durations are added as whole nanoseconds, so that the order of rows does not matter.
+        whole = [
+            F.expr(f"CAST(sum(CAST(round({c} * 1e9D) AS BIGINT)) AS DOUBLE) / 1e9D AS {c}" if c in DURATION_COLUMNS else f"sum({c}) AS {c}")
+            for c in STAT_COLUMNS
+        ]
+        samples = keyed.groupBy("TIMESTAMP", *names).agg(*whole)
         labels = {n: F.col(f"__l_{n}") for n in labels}
     wide = samples.select(
         "TIMESTAMP", label_map(labels).alias("labels"),
@@ -59,18 +65,21 @@ def to_metrics(
 
 
 def exposition_lines(metrics: DataFrame) -> DataFrame:
-    """Metrics as text lines ``name{label="value",...} value``."""
+    """Metrics as text lines ``name{label="value",...} value``, ordered by name, each name after
+    its HELP and TYPE lines."""
     escape = lambda v: F.replace(
         F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")
     )
     pairs = F.transform(
         F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit('="'), escape(e["value"]), F.lit('"'))
     )
-    return metrics.select(
-        F.concat(
-            "name", F.lit("{"), F.array_join(pairs, ","), F.lit("} "), F.col("value").cast("string")
-        ).alias("value")
-    )
+    line = F.concat("name", F.lit("{"), F.array_join(pairs, ","), F.lit("} "), F.col("value").cast("string"))
+    heads = metrics.select("name", "help").distinct().select("name", F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.concat(F.lit("# HELP "), "name", F.lit(" "), "help").alias("line")),
+        F.struct(F.lit(1).alias("part"), F.concat(F.lit("# TYPE "), "name", F.lit(" gauge")).alias("line")),
+    )).alias("l")).select("name", "l.*")
+    lines = metrics.select("name", F.lit(2).alias("part"), line.alias("line"))
+    return heads.unionByName(lines).orderBy("name", "part", "line").select(F.col("line").alias("value"))
 
 
 def drain_metrics(metrics: DataFrame, since, until) -> DataFrame:

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Wide aggregates (65 sums) are generated as one function per sum.
     "spark.sql.codegen.aggregate.splitAggregateFunc.enabled": "true",
+    # A join whose small side was filtered thins out the large side's scan before the shuffle, from this size on.
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "64MB",
     # Keyed stream state with large buffers lives off heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

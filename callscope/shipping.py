@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
 
 
+def by_value(module: str) -> None:
+    """Send a module's classes themselves instead of their names.
+
+    Keyed stream processors are also loaded by a Python process beside the driver, which gets
+    neither the driver's ``sys.path`` nor what ``ship`` sends.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def ship(spark: SparkSession) -> None:
     """Let the workers import this package, whatever folder they were started from; once per application.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.functions.records import json_iso
+from callscope.model import DEFAULT_FILE_BACKUPS
+from callscope.operators.retention import retained_files
 from callscope.sinks.base import Sink, register_sink
 
 
@@ -14,13 +16,17 @@ class JsonFileSink(Sink):
     """Writes ``<path>/batch=<id>/date=<day>/``; a replayed batch replaces itself, so a path
     belongs to one checkpoint.
 
-    ``max_records`` bounds the rows per file. Which files to keep is decided by
-    ``operators.retention.retained_files`` over the file list.
+    ``max_records`` bounds the rows per file. With ``max_size_mb`` only the newest files are kept
+    after each batch: ``max_backups`` and the current one, of at most that size each in sum.
     """
 
-    def __init__(self, path: str, max_records: int = 500_000):
+    def __init__(
+        self, path: str, max_records: int = 500_000, max_size_mb: float | None = None, max_backups: int = DEFAULT_FILE_BACKUPS
+    ):
         self.path = path.rstrip("/")
         self.max_records = max_records
+        self.max_size_mb = max_size_mb
+        self.max_backups = max_backups
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         lines = batch.select(
@@ -31,3 +37,19 @@ class JsonFileSink(Sink):
             .option("maxRecordsPerFile", self.max_records)
             .text(f"{self.path}/batch={batch_id}")
         )
+        if self.max_size_mb is not None:
+            self.remove_old(batch.sparkSession)
+
+    def files(self, spark: SparkSession) -> DataFrame:
+        """The files as (HOSTNAME, path, modified, bytes), the path standing for the log."""
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(self.path)
+        return listed.select(
+            F.lit(self.path).alias("HOSTNAME"), "path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes")
+        )
+
+    def remove_old(self, spark: SparkSession) -> None:
+        files = self.files(spark)
+        kept = retained_files(files, self.max_size_mb, self.max_backups).select("path")
+        for row in files.join(kept, "path", "left_anti").select("path").toLocalIterator():
+            path = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)

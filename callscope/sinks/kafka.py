@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from callscope.functions.records import json_unix, message_headers, message_key
 from callscope.sinks.base import Sink, register_sink
 
+log = logging.getLogger(__name__)
+
 # --- fixed values: producer defaults and accepted choices -------------------
 MAX_REQUEST_BYTES = 1048576
 BATCH_BYTES = 16384
@@ -35,6 +39,14 @@ def message_records(samples: DataFrame, tracked: Sequence[str] = ()) -> DataFram
     )
 
 
+def message_bytes() -> Column:
+    """Size of a message: key, value and headers."""
+    headers = F.aggregate(
+        "headers", F.lit(0), lambda n, h: n + F.octet_length(h["key"]) + F.coalesce(F.octet_length(h["value"]), F.lit(0))
+    )
+    return F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0)) + headers
+
+
 def check_security(
     protocol: str, username: str | None, password: str | None, certificate: str | None, key: str | None
 ) -> None:
@@ -106,11 +118,28 @@ def kafka_options(
 
 @register_sink("kafka")
 class KafkaSink(Sink):
-    """Needs Spark's Kafka connector on the class path; takes the options of ``kafka_options``."""
+    """Needs Spark's Kafka connector on the class path; takes the options of ``kafka_options``.
+
+    Messages larger than a request may be are logged and, with ``set_aside``, written to
+    ``<set_aside>/batch=<id>``; all others are sent.
+    """
 
-    def __init__(self, tracked: Sequence[str] = (), **options):
+    def __init__(self, tracked: Sequence[str] = (), set_aside: str | None = None, **options):
         self.tracked = list(tracked)
+        self.set_aside = set_aside
+        self.limit = options.get("max_request_size", MAX_REQUEST_BYTES)
         self.options = kafka_options(**options)
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        message_records(batch, self.tracked).write.format("kafka").options(**self.options).save()
+        records = message_records(batch, self.tracked)
+        size = message_bytes()
+        too_large = records.where(size > self.limit)
+        count = too_large.count()
+        if count:
+            log.warning("micro-batch %s: %s messages of more than %s bytes were not sent", batch_id, count, self.limit)
+            if self.set_aside:
+                too_large.write.mode("overwrite").parquet(f"{self.set_aside.rstrip('/')}/batch={batch_id}")
+        self.send(records.where(size <= self.limit))
+
+    def send(self, records: DataFrame) -> None:
+        records.write.format("kafka").options(**self.options).save()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from callscope.operators.metrics import exposition_lines, to_metrics
 from callscope.sinks.base import Sink, register_sink
@@ -12,7 +13,7 @@ from callscope.sinks.base import Sink, register_sink
 
 @register_sink("prometheus")
 class MetricsSink(Sink):
-    """Writes ``<path>/batch=<id>/``: metric rows as Parquet, or lines of text.
+    """Writes ``<path>/batch=<id>/``: metric rows as Parquet by day, or lines of text.
 
     A replayed batch replaces itself, so a path belongs to one checkpoint.
     """
@@ -29,4 +30,5 @@ class MetricsSink(Sink):
         if self.as_text:
             exposition_lines(metrics).write.mode("overwrite").text(target)
         else:
-            metrics.write.mode("overwrite").parquet(target)
+            days = metrics.withColumn("date", F.date_format("TIMESTAMP", "yyyy-MM-dd"))
+            days.write.mode("overwrite").partitionBy("date").parquet(target)

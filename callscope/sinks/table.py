@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException, ArithmeticException, NumberFormatException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callscope.model import DEFAULT_SCHEMA_REFRESH, TABLE_SCHEMA, TAG_COLUMN_PREFIX
@@ -17,27 +18,46 @@ from callscope.sources.logs import table_schema
 
 log = logging.getLogger(__name__)
 
+PLACES = {"date": "STRING", "batch_id": "BIGINT"}
+
 
 def create_sample_table(
     spark: SparkSession, table: str, schema: T.StructType = TABLE_SCHEMA, fmt: str = "parquet"
 ) -> None:
-    """Create the database and the table of a name ``database.table`` where they are missing."""
+    """Create the database and the table of a name ``database.table`` where they are missing.
+
+    The table is partitioned by day, so that a time range is read alone, and by micro-batch, so
+    that a replayed one replaces itself.
+    """
     if "." in table:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.rsplit('.', 1)[0]}")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING {fmt}")
+    placed = ", ".join(f"`{name}` {kind}" for name, kind in PLACES.items())
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}, {placed}) USING {fmt} PARTITIONED BY ({', '.join(PLACES)})"
+    )
+
+
+def with_places(samples: DataFrame, batch_id: int) -> DataFrame:
+    """The partition columns of a sample table."""
+    return samples.withColumns({
+        "date": F.date_format("TIMESTAMP", "yyyy-MM-dd"), "batch_id": F.lit(batch_id).cast("long"),
+    })
 
 
 def missing_columns(samples: DataFrame, target: T.StructType) -> list[str]:
     return [
         f.name for f in target.fields
-        if not f.name.startswith(TAG_COLUMN_PREFIX) and f.name not in samples.columns
+        if not f.name.startswith(TAG_COLUMN_PREFIX) and f.name not in samples.columns and f.name not in PLACES
     ]
 
 
 @register_sink("table")
 class TableSink(Sink):
-    """Appends samples, fitted to the table's columns.
+    """Stores samples, fitted to the table's columns.
+
+    In a table with the partitions of ``create_sample_table`` a replayed micro-batch replaces
+    itself; other tables are appended to, at least once.
 
     With ``learn_tags`` the tracked names are those of the table's tag columns. The schema is
     read again when older than ``refresh_seconds``; a write that does not fit reads it again
@@ -87,19 +107,25 @@ class TableSink(Sink):
             # Left to Spark, which names the column in its error.
             conform(batch, self.schema)
         try:
-            self._append(batch)
+            self._store(batch, batch_id)
         except (AnalysisException, ArithmeticException, NumberFormatException) as misfit:
-            self._retry(batch, misfit)
+            self._retry(batch, batch_id, misfit)
         except PySparkException as failed:
             if "CAST" not in (failed.getCondition() or ""):
                 raise
-            self._retry(batch, failed)
+            self._retry(batch, batch_id, failed)
 
-    def _retry(self, batch: DataFrame, error: Exception) -> None:
+    def _retry(self, batch: DataFrame, batch_id: int, error: Exception) -> None:
         if not self.learn_tags:
             raise error
         self.refresh(batch.sparkSession)
-        self._append(batch)
-
-    def _append(self, batch: DataFrame) -> None:
-        conform(batch, self.schema).write.insertInto(self.table)
+        self._store(batch, batch_id)
+
+    def _store(self, batch: DataFrame, batch_id: int) -> None:
+        if not set(PLACES) <= set(self.schema.names):
+            conform(batch, self.schema).write.insertInto(self.table)
+            return
+        # Only the partitions that the batch itself writes are replaced.
+        batch.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        fitted = conform(with_places(batch, batch_id), self.schema)
+        fitted.write.mode("overwrite").insertInto(self.table)

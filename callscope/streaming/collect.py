@@ -74,12 +74,15 @@ def start_collect(
     return writer.trigger(**(trigger or {"processingTime": f"{interval} seconds"})).start()
 
 
-def stop_collect(query: StreamingQuery, sinks: Sequence[Sink], poll_seconds: float = 0.2) -> None:
-    """Let the running micro-batch finish, stop, and close the sinks.
+def stop_collect(
+    query: StreamingQuery, sinks: Sequence[Sink], poll_seconds: float = 0.2, wait_seconds: float = 60
+) -> None:
+    """Let the running micro-batch finish, for ``wait_seconds`` at most, stop, and close the sinks.
 
     A micro-batch that was cut off all the same is replayed from the checkpoint.
     """
-    while query.isActive and query.status["isTriggerActive"]:
+    until = time.monotonic() + wait_seconds
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
         time.sleep(poll_seconds)
     query.stop()
     for sink in sinks:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from callscope.shipping import by_value
+
 
 class InTimeOrder(StatefulProcessor):
     """Buffers rows per key, sorts them by ``order`` and hands them on as the watermark moves.
@@ -82,3 +84,6 @@ class InTimeOrder(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+by_value(__name__)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from callscope.model import CALL_SCHEMA, struct_of
 from callscope.operators.pairing import HIT_ORDER, THREAD, wanted_hits
+from callscope.shipping import by_value
 from callscope.streaming.ordered import InTimeOrder
 
 _LONG, _TEXT = T.LongType(), T.StringType()
@@ -65,3 +66,6 @@ def stream_calls(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
         timeMode="EventTime",
         eventTimeColumnName="TS",
     )
+
+
+by_value(__name__)

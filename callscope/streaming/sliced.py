@@ -2,8 +2,7 @@
 
 Keyed stream state gives each thread to one task. Here every micro-batch runs the batch
 operators instead, which cut a thread's rows into time slices. Between micro-batches only
-two kinds of rows are kept, in a small table beside the checkpoint: entries still open, and
-rows of intervals that are not over yet.
+what later ones need is kept, in small tables beside the checkpoint.
 """
 
 from __future__ import annotations
@@ -13,11 +12,13 @@ from collections.abc import Callable, Sequence
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from callscope.model import DEFAULT_INTERVAL
+from callscope.model import DEFAULT_INTERVAL, TAGS_TYPE, struct_of
 from callscope.operators.counters import count_calls
 from callscope.operators.pairing import HIT_ORDER, THREAD, pair_hits, wanted_hits
+from callscope.operators.tagging import PROCESS, live_tags
 from callscope.plans.collect import samples_from_counters
 from callscope.sinks.base import Sink, fan_out
 from callscope.streaming.collect import Side, check_stream_options, current
@@ -26,11 +27,14 @@ NANOS = 1_000_000_000
 
 
 class SlicedCollector:
-    """A ``foreachBatch`` function from probe events to finished counters.
+    """A ``foreachBatch`` function from probe events, and execs where they are a stream, to finished counters.
 
     An interval is over when an event more than ``delay_seconds`` after its end was seen;
     rows of finished intervals that come later are dropped. What is kept goes to two places
-    in turn, so that a replayed micro-batch finds what its predecessor left.
+    in turn, so that a replayed micro-batch finds what its predecessor left: entries still
+    open, rows of intervals not over yet, and of each process the newest exec of finished
+    intervals with those after it. With ``live`` (HOSTNAME, PID of existing processes) what
+    belongs to others is dropped.
     """
 
     def __init__(
@@ -40,51 +44,96 @@ class SlicedCollector:
         interval: int = DEFAULT_INTERVAL,
         delay_seconds: int = 10,
         slice_seconds: int | None = None,
+        live: Side = None,
     ):
         self.folder = folder.rstrip("/")
         self.deliver = deliver
         self.interval = interval
         self.delay_ns = delay_seconds * NANOS
         self.slice_seconds = slice_seconds or interval
+        self.live = live
+        self.execs: DataFrame | None = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = wanted_hits(batch)
+        hits, execs = parted(batch)
+        fresh = wanted_hits(hits)
         newest, finished = 0, 0
         if batch_id > 0:
-            kept, newest, finished = self._kept(spark, batch_id - 1, fresh)
+            kept, known, newest, finished = self._kept(spark, batch_id - 1, fresh)
             fresh = fresh.where(F.col("t_ns") >= finished).unionByName(kept)
-        rows = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+            execs = execs.unionByName(known)
+        rows, execs = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (fresh, execs))
         try:
             seen = rows.agg(F.max("t_ns").alias("t")).first()["t"]
             newest = max(newest, seen or 0)
             width = self.interval * NANOS
             until = max(finished, (newest - self.delay_ns) // width * width)
             ready = rows.where(F.col("t_ns") < until)
+            self.execs = execs
             if until > finished:
                 calls = pair_hits(ready, self.slice_seconds)
                 self.deliver(count_calls(calls, self.interval), batch_id)
-            self._keep(rows.where(F.col("t_ns") >= until).unionByName(open_entries(ready)), batch_id, newest, until)
+            waiting = rows.where(F.col("t_ns") >= until).unionByName(self._living(open_entries(ready)))
+            self._keep(waiting, self._living(newest_execs(execs, until)), batch_id, newest, until)
         finally:
             rows.unpersist()
+            execs.unpersist()
+
+    def _living(self, rows: DataFrame) -> DataFrame:
+        live = current(self.live)
+        return rows if live is None else live_tags(rows, live)
 
     def _place(self, batch_id: int) -> str:
         return f"{self.folder}/{batch_id % 2}"
 
-    def _keep(self, rows: DataFrame, batch_id: int, newest: int, until: int) -> None:
+    def _keep(self, rows: DataFrame, execs: DataFrame, batch_id: int, newest: int, until: int) -> None:
         place = self._place(batch_id)
         rows.write.mode("overwrite").parquet(f"{place}/rows")
+        execs.write.mode("overwrite").parquet(f"{place}/execs")
         marks = rows.sparkSession.createDataFrame(
             [(batch_id, newest, until)], "batch_id long, newest long, finished long"
         )
         marks.coalesce(1).write.mode("overwrite").parquet(f"{place}/marks")
 
-    def _kept(self, spark: SparkSession, batch_id: int, like: DataFrame) -> tuple[DataFrame, int, int]:
+    def _kept(self, spark: SparkSession, batch_id: int, like: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
         place = self._place(batch_id)
         marks = spark.read.parquet(f"{place}/marks").first()
         if marks["batch_id"] != batch_id:
             raise RuntimeError(f"{place} holds micro-batch {marks['batch_id']}, wanted {batch_id}")
-        return spark.read.schema(like.schema).parquet(f"{place}/rows"), marks["newest"], marks["finished"]
+        rows = spark.read.schema(like.schema).parquet(f"{place}/rows")
+        return rows, spark.read.schema(_EXECS).parquet(f"{place}/execs"), marks["newest"], marks["finished"]
+
+
+_EXECS = struct_of(
+    HOSTNAME=T.StringType(), PID=T.LongType(), ts=T.TimestampType(), seq=T.LongType(), TAGS=TAGS_TYPE
+)
+
+
+def together(events: DataFrame, execs: DataFrame | None) -> DataFrame:
+    """Probe events and execs as one stream, so that a micro-batch sees both."""
+    hits = events.select(F.struct(*events.columns).alias("hit"))
+    if execs is None:
+        return hits.withColumn("exec", F.lit(None).cast(_EXECS))
+    typed = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _EXECS.fields])
+    return hits.withColumn("exec", F.lit(None).cast(_EXECS)).unionByName(
+        execs.select(F.lit(None).cast(hits.schema["hit"].dataType).alias("hit"), typed.alias("exec"))
+    )
+
+
+def parted(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The probe events and the execs of a micro-batch of ``together``, or of probe events alone."""
+    if "hit" not in batch.columns:
+        return batch, batch.sparkSession.createDataFrame([], _EXECS)
+    return batch.where("hit IS NOT NULL").select("hit.*"), batch.where("exec IS NOT NULL").select("exec.*")
+
+
+def newest_execs(execs: DataFrame, until: int) -> DataFrame:
+    """Per process the newest exec before ``until`` (nanoseconds), and all from there on. Combines before the shuffle."""
+    limit = F.timestamp_micros(F.lit(until // 1000))
+    last = F.max_by(F.struct("ts", "seq", "TAGS"), F.struct("ts", "seq"))
+    older = execs.where(F.col("ts") < limit).groupBy(*PROCESS).agg(last.alias("__last")).select(*PROCESS, "__last.*")
+    return older.unionByName(execs.where(F.col("ts") >= limit))
 
 
 def open_entries(rows: DataFrame) -> DataFrame:
@@ -104,21 +153,30 @@ def start_sliced_collect(
     interval: int = DEFAULT_INTERVAL,
     execs: Side = None,
     late: Side = None,
+    live: Side = None,
     delay_seconds: int = 10,
     slice_seconds: int | None = None,
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
-    """``streaming.collect.start_collect`` with sliced pairing; same samples, no keyed state."""
+    """Probe events to samples in all sinks, without keyed state: the collector to use by default.
+
+    ``execs`` is best a stream (HOSTNAME, PID, ts, seq, TAGS): then a micro-batch looks at its
+    own execs and one newest exec per process, never at the history. A table or a function
+    is read anew for every micro-batch. ``live`` drops what is kept of processes that are gone.
+    Unlike ``start_collect``, which goes by Spark's watermark, an event is too late here as soon
+    as its interval was finished.
+    """
     check_stream_options(options)
+    streamed = isinstance(execs, DataFrame) and execs.isStreaming
 
     def to_samples(counters: DataFrame) -> DataFrame:
-        return samples_from_counters(
-            counters, current(mounts), interval, execs=current(execs), late=current(late), **options
-        )
+        known = collector.execs if streamed else current(execs)
+        return samples_from_counters(counters, current(mounts), interval, execs=known, late=current(late), **options)
 
     collector = SlicedCollector(
-        f"{checkpoint.rstrip('/')}/kept", fan_out(sinks, to_samples), interval, delay_seconds, slice_seconds
+        f"{checkpoint.rstrip('/')}/kept", fan_out(sinks, to_samples), interval, delay_seconds, slice_seconds, live
     )
-    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(collector)
+    both = together(events, execs if streamed else None)
+    writer = both.writeStream.option("checkpointLocation", checkpoint).foreachBatch(collector)
     return writer.trigger(**(trigger or {"processingTime": f"{interval} seconds"})).start()

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from callscope.functions.tags import tag_entries
 from callscope.model import TAGS_TYPE, struct_of
 from callscope.operators.tagging import PROCESS
+from callscope.shipping import by_value
 from callscope.streaming.ordered import InTimeOrder
 
 _LONG, _TEXT = T.LongType(), T.StringType()
@@ -100,3 +101,6 @@ def stream_tags(
     return tagged.withColumn("r", back).select(
         *columns, F.from_json("TAGS", TAGS_TYPE).alias("TAGS")
     )
+
+
+by_value(__name__)

@@ -64,13 +64,13 @@ def test_first_seen_sticks_until_vacuum(spark):
     assert got == {("0:640", 0): "/mnt/proj", ("0:640", 1): "/mnt/proj2", ("0:1", 0): "/c"}
 
     facts = spark.createDataFrame(
-        [("h", 420, later), ("h", 420, next_epoch), ("h", 421, later), ("other", 420, later)],
+        [("h", 640, later), ("h", 640, next_epoch), ("h", 641, later), ("other", 640, later)],
         "HOSTNAME string, SBDEV long, TIMESTAMP timestamp",
     )
     found = attach_mounts(facts, resolved, vacuum=600)
     assert sorted((r.HOSTNAME, r.SBDEV, r.MOUNT, r.REMOTE_PATH) for r in found.collect()) == [
-        ("h", 420, "/mnt/proj", "/remote"), ("h", 420, "/mnt/proj2", "/remote"), ("h", 421, "", ""),
-        ("other", 420, "", ""),
+        ("h", 640, "/mnt/proj", "/remote"), ("h", 640, "/mnt/proj2", "/remote"), ("h", 641, "", ""),
+        ("other", 640, "", ""),
     ]
 
 

@@ -156,7 +156,7 @@ _HELP = "(VALUES " + ", ".join(f"('{m}', '{METRIC_PREFIX}{t}')" for m, t in METR
 def _metrics(source: str, ids: str) -> str:
     wide = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in STAT_COLUMNS)
     return (
-        f"SELECT {ids}, '{METRIC_PREFIX}' || u.metric AS name, h.help, round(u.value, 6) AS value FROM "
+        f"SELECT {ids}, '{METRIC_PREFIX}' || u.metric AS name, h.help, u.value FROM "
         f"(UNPIVOT (SELECT {ids}, {wide} FROM {source}) ON {', '.join(STAT_COLUMNS)} INTO NAME metric VALUE value) u "
         f"JOIN {_HELP} ON u.metric = h.metric"
     )
@@ -231,7 +231,7 @@ def build() -> dict[str, str]:
     q["tag_filter_all"] = with_(EVENTS) + f"{tagged_calls} WHERE k % 2 = 0 AND k % 3 = 0"
     q["anonymize"] = with_(_sample_view(DAY, True)) + (
         "SELECT TIMESTAMP, HOSTNAME, CAST(0 AS BIGINT) AS PID, UID, '--' AS COMM, '--' AS MOUNT, '--' AS REMOTE_PATH, "
-        "regexp_replace(TAGS, '=[^;]*', '=--', 'g') AS TAGS, OPEN_COUNT, READ_BYTES, WRITE_DURATION FROM samples"
+        f"regexp_replace(TAGS, '=[^;]*', '=--', 'g') AS TAGS, TIMEDELTA, {', '.join(STAT_COLUMNS)} FROM samples"
     )
     q["mount_lookup"] = with_(EVENTS, CALLS, MOUNTS) + (
         "SELECT c.SEQ, c.HOSTNAME, '0:' || c.SBDEV AS devt, coalesce(m.MOUNT, '') AS MOUNT, "
@@ -304,7 +304,10 @@ def build() -> dict[str, str]:
     q["metrics_long"] = with_(
         *chain(), by_comm, f"labelled AS ({as_labels}, {seconds()} FROM grouped)"
     ) + _metrics("labelled", labels)
-    sums = ", ".join(f"sum({c}) AS {c}" for c in STAT_COLUMNS)
+    sums = ", ".join(
+        f"CAST(sum(CAST(round({c} * 1e9) AS BIGINT)) AS DOUBLE) / 1e9 AS {c}" if c in DURATION_COLUMNS else f"sum({c}) AS {c}"
+        for c in STAT_COLUMNS
+    )
     q["metrics_merged"] = with_(
         _sample_view(30 * DAY, False),
         f"labelled AS ({as_labels}, {', '.join(STAT_COLUMNS)} FROM samples)",
@@ -315,7 +318,7 @@ def build() -> dict[str, str]:
     )
     hourly = with_(EVENTS, CALLS, counters(HOUR))
     q["ring_latest"] = hourly + """
-      SELECT TIMESTAMP, HOSTNAME, TID, UID, COMM, SBDEV, OPEN_COUNT, READ_BYTES FROM counters JOIN (
+      SELECT * FROM counters JOIN (
         SELECT HOSTNAME, TIMESTAMP FROM (
           SELECT *, row_number() OVER (PARTITION BY HOSTNAME ORDER BY TIMESTAMP DESC) AS rn
           FROM (SELECT DISTINCT HOSTNAME, TIMESTAMP FROM counters)) WHERE rn <= 100) USING (HOSTNAME, TIMESTAMP)"""
@@ -335,7 +338,8 @@ def build() -> dict[str, str]:
         'HOSTNAME|UID|COMM|MOUNT|REMOTE_PATH|JOBID|SCHEDID' AS header_names,
         concat_ws('|', HOSTNAME, UID, COMM, MOUNT, REMOTE_PATH, regexp_extract(TAGS, 'JOBID=([^;]*)', 1),
                   regexp_extract(TAGS, 'SCHEDID=([^;]*)', 1)) AS header_values,
-        epoch_us(TIMESTAMP) // 1000000 AS TIMESTAMP, TAGS, READ_COUNT, READ_BYTES, READ_DURATION FROM samples"""
+        epoch_us(TIMESTAMP) // 1000000 AS TIMESTAMP, TIMEDELTA, HOSTNAME, PID, UID, COMM, {', '.join(STAT_COLUMNS)},
+        TAGS, MOUNT, REMOTE_PATH FROM samples"""
     body = ", ".join(c for c in ["HOSTNAME", "PID", "UID", "COMM", *STAT_COLUMNS, "TAGS", "MOUNT", "REMOTE_PATH"])
     q["json_iso"] = with_(_sample_view(DAY, True)) + (
         f"SELECT strftime(TIMESTAMP, '%Y-%m-%dT%H:%M:%S') AS TIMESTAMP, TIMEDELTA, {body} FROM samples"
@@ -346,13 +350,49 @@ def build() -> dict[str, str]:
     q["conform_env_columns"] = with_(_sample_view(DAY, False)) + """
       SELECT TIMESTAMP, CAST(PID AS INTEGER) AS PID, CAST(OPEN_COUNT AS INTEGER) AS OPEN_COUNT, READ_DURATION,
              regexp_extract(TAGS, 'JOBID=([^;]*)', 1) AS ENV_JOBID, '' AS ENV_NOPE FROM samples"""
-    kept = ["MOUNT", "COMM", "PID", "UID", "REMOTE_PATH", "TAGS"] + [c for c in STAT_COLUMNS if c not in DURATION_COLUMNS]
+    kept = ["TIMEDELTA", "MOUNT", "COMM", "PID", "UID", "REMOTE_PATH", "TAGS"] + list(STAT_COLUMNS)
     texts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in kept)
     q["sample_transpose"] = with_(_sample_view(7 * DAY, True)) + (
-        f"SELECT * FROM (UNPIVOT (SELECT TIMESTAMP, HOSTNAME, CAST(row_number() OVER (PARTITION BY TIMESTAMP, HOSTNAME "
+        "SELECT TIMESTAMP, HOSTNAME, sample_no, field, CASE WHEN NOT ends_with(field, '_DURATION') THEN value END AS value, "
+        "CASE WHEN ends_with(field, '_DURATION') THEN CAST(value AS DOUBLE) END AS seconds FROM "
+        f"(UNPIVOT (SELECT TIMESTAMP, HOSTNAME, CAST(row_number() OVER (PARTITION BY TIMESTAMP, HOSTNAME "
         f"ORDER BY MOUNT, COMM, TAGS) - 1 AS INTEGER) AS sample_no, {texts} FROM samples) ON {', '.join(kept)} "
         "INTO NAME field VALUE value)"
     )
+    q["source_probe"] = q["pair_calls"]
+    q["source_counters"] = q["counter_flatten"]
+    parsed = q["env_parse"].partition("SELECT event_id, CASE")
+    q["source_execs"] = f"""
+      SELECT HOSTNAME, 1000 + user_id % 50 AS PID, e.event_id AS seq, TAGS
+      FROM (SELECT *, 'host' || (user_id % 4) AS HOSTNAME FROM events) e
+      JOIN ({parsed[0]}{parsed[1]}{parsed[2]}) p ON e.event_id = p.event_id WHERE TAGS <> ''"""
+    q["source_parts"] = """
+      SELECT 'host' || (c_custkey % 4) AS HOSTNAME, make_timestamp((1704067200 + c_custkey) * 1000000) AS seen_at, 2 AS source,
+             0 AS line_no, (st_dev // 1048576) || ':' || (st_dev % 1048576) AS devt, '/mnt/' || lower(c_mktsegment) || c_custkey AS MOUNT,
+             '10.2.0.' || c_nationkey || ':/vol' AS device
+      FROM (SELECT *, (c_custkey * 2654435) % 4294967296 AS st_dev FROM customer) WHERE c_custkey % 5 <> 0"""
+    q["source_mountinfo"] = f"""
+      SELECT 'host' || (c_custkey % 3) AS HOSTNAME, devt, MOUNT, device, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS source
+      FROM ({q["mountinfo_parse"]})"""
+    tag = lambda n: f"regexp_extract(TAGS, '{n}=([^;]*)', 1) AS ENV_{n}"
+    narrow = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ["TIMEDELTA", "PID", "UID", *[c for c in STAT_COLUMNS if c.endswith("_ERRORS")]])
+    wide = ", ".join(c for c in STAT_COLUMNS if not c.endswith("_ERRORS"))
+    q["sink_table"] = with_(_sample_view(DAY, True)) + (
+        f"SELECT TIMESTAMP, HOSTNAME, COMM, {narrow}, {wide}, MOUNT, TAGS, REMOTE_PATH, {tag('JOBID')}, {tag('SCHEDID')}, "
+        "strftime(TIMESTAMP, '%Y-%m-%d') AS date FROM samples"
+    )
+    q["sink_metrics"] = q["metrics_long"]
+    q["sink_fanout"] = with_(_sample_view(DAY, True)) + (
+        "SELECT HOSTNAME, TIMESTAMP, count(*) AS samples, CAST(sum(READ_COUNT) AS BIGINT) AS stored_reads, "
+        "CAST(sum(READ_COUNT) AS BIGINT) AS reads FROM samples GROUP BY ALL"
+    )
+    # Spark holds late rows against the watermark of the micro-batch before.
+    late = f"""arriving AS (
+      SELECT *, greatest(0, least(7, floor((epoch_us(TS) // 1000000 + SEQ % 3 * 21600 - 1704067200) * 8 / (30 * 86400)))) AS part FROM calls),
+    marks AS (SELECT part, max(epoch_us(TS)) // 1000 - 3600000 AS mark FROM arriving GROUP BY part),
+    seen AS (SELECT * FROM arriving a WHERE (epoch_us(TS) // {DAY * 1000000} + 1) * {DAY * 1000}
+      > coalesce((SELECT max(mark) FROM marks m WHERE m.part < a.part - 1), 0))"""
+    q["stream_late"] = with_(EVENTS, CALLS, late, counters(source="seen")) + "SELECT * FROM counters"
     q["stream_tumble"] = q["call_counters"]
     q["stream_pairs"] = q["pair_calls"]
     q["stream_tags"] = with_(EVENTS, EXECS) + """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,12 @@ from pyspark.sql import types as T
 from callscope.functions.environ import parse_environ
 from callscope.functions.records import json_iso, json_unix, message_headers, message_key
 from callscope.functions.scalars import device_text, remote_path
-from callscope.functions.tags import tag_text
+from callscope.functions.tags import tag_text, tag_value
 from callscope.model import (
     CALLER_COLUMNS,
-    DURATION_COLUMNS,
     OP_NUMBER,
     OPERATIONS,
+    PROBE_SCHEMA,
     SAMPLE_COLUMNS,
     SAMPLE_SCHEMA,
     STAT_COLUMNS,
@@ -31,7 +32,11 @@ from callscope.operators.retention import retained_files
 from callscope.operators.stats import anonymize, filter_stats, group_stats
 from callscope.operators.tagging import attach_tags, live_tags, tag_key_drift
 from callscope.plans.collect import collect_samples
-from callscope.sources.mounts import parse_mountinfo
+from callscope.plans.storage import scratch_path
+from callscope.sinks import JsonFileSink, MetricsSink, TableSink, fan_out
+from callscope.sinks.table import create_sample_table
+from callscope.sources import logs
+from callscope.sources.mounts import parse_mountinfo, parse_partitions, read_mountinfo
 from workload import streams, views
 from workload.views import DAY, TRACKED
 
@@ -61,7 +66,7 @@ def item_counters(spark, d):
     return plain(durations_to_seconds(group_stats(counters.select(*keys, *STAT_COLUMNS), keys)))
 
 
-def counter_flatten(spark, d):
+def _raw_counters(spark, d):
     calls = views.calls(spark, d)
     failed = is_error(F.col("OP_NO"), F.col("RC")).cast("long")
     zero = F.lit(0).cast("long")
@@ -82,7 +87,11 @@ def counter_flatten(spark, d):
         of("READ", F.col("REQ_BYTES")).alias("rbytes"),
         of("WRITE", F.col("REQ_BYTES")).alias("wbytes"),
     )
-    return plain(flatten_counters(raw.withColumn("TIMESTAMP", F.col("w.end")).withColumn("COMM", F.col("COMM").cast("binary"))))
+    return raw.withColumn("TIMESTAMP", F.col("w.end")).drop("w")
+
+
+def counter_flatten(spark, d):
+    return plain(flatten_counters(_raw_counters(spark, d).withColumn("COMM", F.col("COMM").cast("binary"))))
 
 
 def call_errors(spark, d):
@@ -154,10 +163,7 @@ def tag_filter_all(spark, d):
 
 def anonymized(spark, d):
     masked = anonymize(samples(spark, d), ["PID", "COMM", "MOUNT", "REMOTE_PATH", "TAGS"])
-    return plain(masked.select(
-        "TIMESTAMP", "HOSTNAME", "PID", "UID", "COMM", "MOUNT", "REMOTE_PATH", "TAGS",
-        "OPEN_COUNT", "READ_BYTES", "WRITE_DURATION",
-    ))
+    return plain(masked)
 
 
 def mount_lookup(spark, d):
@@ -219,7 +225,7 @@ def devt_format(spark, d):
     return orders.withColumn("devt", device_text(F.col("st_dev")))
 
 
-def mountinfo_parse(spark, d):
+def _mount_lines(spark, d):
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     line = F.concat(
         F.when(key % 3 == 0, F.lit("  ")).otherwise(F.lit("")), key, F.lit(" 25  0:"), key % 977,
@@ -229,10 +235,14 @@ def mountinfo_parse(spark, d):
         F.when(key % 5 == 0, F.lit("ext4")).when(key % 7 == 0, F.lit("nfs")).otherwise(F.lit("nfs4")),
         F.lit(" 10.1.0."), nation, F.lit(":/vol - rw,vers=4"),
     )
-    return parse_mountinfo(views.table(spark, d, "customer").select("c_custkey", line.alias("value")))
+    return views.table(spark, d, "customer").select("c_custkey", line.alias("value"))
 
 
-def env_parse(spark, d):
+def mountinfo_parse(spark, d):
+    return parse_mountinfo(_mount_lines(spark, d))
+
+
+def _environs(spark, d):
     k, nul = F.col("k"), F.lit("\0")
     user = F.pmod("user_id", F.lit(7))
     none = F.lit("")
@@ -243,7 +253,11 @@ def env_parse(spark, d):
         F.when(k % 3 == 0, F.concat(F.lit("SCHEDID="), nul)).otherwise(none),
         F.lit("JOBTAIL"),
     )
-    rows = views.events(spark, d).select("event_id", F.when(k != 0, text).alias("environ"))
+    return views.events(spark, d).select("event_id", "HOSTNAME", "PID", "ts", F.when(k != 0, text).alias("environ"))
+
+
+def env_parse(spark, d):
+    rows = _environs(spark, d)
     return plain(rows.select("event_id", parse_environ(F.col("environ"), ["JOB", "SCHEDID"]).alias("TAGS")))
 
 
@@ -283,7 +297,7 @@ def key_drift(spark, d):
 
 def _labels(metrics, *names):
     label = [F.try_element_at("labels", F.lit(n)).alias(n) for n in names]
-    return plain(metrics.select("TIMESTAMP", *label, "name", "help", F.round("value", 6).alias("value")))
+    return plain(metrics.select("TIMESTAMP", *label, "name", "help", "value"))
 
 
 _LABELS = ["HOSTNAME", "UID", "COMM", "MOUNT", "REMOTE_PATH", "JOBID"]
@@ -311,7 +325,7 @@ def metrics_merged(spark, d):
 
 def ring_latest(spark, d):
     kept = newest_samples(count_calls(views.calls(spark, d), HOUR), buffer_size=100)
-    return plain(kept.select("TIMESTAMP", "HOSTNAME", "TID", "UID", "COMM", "SBDEV", "OPEN_COUNT", "READ_BYTES"))
+    return plain(kept)
 
 
 def buffer_fill(spark, d):
@@ -328,7 +342,7 @@ def retention(spark, d):
 def kafka_records(spark, d):
     rows = samples(spark, d)
     records = rows.select(message_key().alias("key"), json_unix(rows).alias("value"), message_headers(TRACKED).alias("headers"))
-    body = F.from_json("value", "TIMESTAMP LONG, TAGS MAP<STRING, STRING>, READ_COUNT LONG, READ_BYTES LONG, READ_DURATION DOUBLE")
+    body = F.from_json("value", T.StructType([T.StructField("TIMESTAMP", T.LongType())] + [f for f in SAMPLE_SCHEMA.fields if f.name != "TIMESTAMP"]))
     return plain(records.select(
         F.col("key").cast("string").alias("key"),
         F.array_join("headers.key", "|").alias("header_names"),
@@ -361,14 +375,111 @@ def conform_env_columns(spark, d):
 
 
 def sample_transpose(spark, d):
-    rows = samples(spark, d, interval=7 * DAY).drop("TIMEDELTA", *DURATION_COLUMNS)
-    return plain(transpose(rows, ["MOUNT", "COMM", "TAGS"]))
+    """All fields; durations as numbers, because engines write small ones differently."""
+    long = transpose(samples(spark, d, interval=7 * DAY), ["MOUNT", "COMM", "TAGS"])
+    seconds = F.col("field").endswith("_DURATION")
+    return plain(long.select(
+        "TIMESTAMP", "HOSTNAME", "sample_no", "field",
+        F.when(~seconds, F.col("value")).alias("value"), F.when(seconds, F.col("value").cast("double")).alias("seconds"),
+    ))
+
+
+def _stored(df, name):
+    """A given table in a log format, in a new folder; returns its path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+def source_probe(spark, d):
+    hits = views.probe_events(spark, d).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PROBE_SCHEMA.fields])
+    return plain(pair_calls(logs.probe_events(spark, _stored(hits, "probe-log"))))
+
+
+def source_counters(spark, d):
+    return plain(logs.raw_counters(spark, _stored(_raw_counters(spark, d), "counter-log")))
+
+
+def source_execs(spark, d):
+    rows = _environs(spark, d).select("HOSTNAME", "PID", "ts", F.col("event_id").alias("seq"), "environ")
+    return plain(logs.tagged_execs(spark, _stored(rows, "exec-log"), ["JOB", "SCHEDID"]).select("HOSTNAME", "PID", "seq", "TAGS"))
+
+
+def source_parts(spark, d):
+    cust = F.col("c_custkey")
+    rows = views.table(spark, d, "customer").select(
+        F.concat(F.lit("host"), cust % 4).alias("HOSTNAME"), (cust * 2654435 % F.lit(4294967296)).alias("st_dev"),
+        F.concat(F.lit("/mnt/"), F.lower("c_mktsegment"), cust).alias("mountpoint"),
+        F.concat(F.lit("10.2.0."), F.col("c_nationkey"), F.lit(":/vol")).alias("device"),
+        F.when(cust % 5 == 0, F.lit("ext4")).otherwise(F.lit("nfs4")).alias("fstype"),
+        F.timestamp_seconds(F.lit(1704067200) + cust).alias("seen_at"),
+    )
+    found = parse_partitions(logs.partition_list(spark, _stored(rows, "partition-list")))
+    return plain(found)
+
+
+def source_mountinfo(spark, d):
+    """One file per host and process, as collected; written by Spark, a file per folder."""
+    path = scratch_path(spark, "mountinfo")
+    cust = F.col("c_custkey")
+    lines = _mount_lines(spark, d).select(
+        F.concat(F.lit("host"), cust % 3).alias("host"), F.when(cust % 2 == 0, F.lit("self")).otherwise(F.lit("77")).alias("pid"), "value"
+    )
+    lines.repartition(1).write.partitionBy("host", "pid").text(path)
+    found = read_mountinfo(spark, f"{path}/*/*/*", r"host=([^/]+)/pid=([^/]+)/[^/]+$")
+    return found.select("HOSTNAME", "devt", "MOUNT", "device", "source")
+
+
+def sink_table(spark, d):
+    """Stored by micro-batches of which each is replayed, in between a new tag column."""
+    table = f"callscope_check.samples_{uuid.uuid4().hex[:12]}"
+    create_sample_table(spark, table)
+    spark.sql(f"ALTER TABLE {table} ADD COLUMNS (ENV_JOBID STRING)")
+    sink, rows = TableSink(table, learn_tags=True, refresh_seconds=0), samples(spark, d)
+    sink.setup(spark)
+    for batch_id in (0, 1):
+        part = rows.where(F.pmod(F.xxhash64("HOSTNAME", "COMM"), F.lit(2)) == batch_id)
+        for _ in range(2):
+            sink.write(part, batch_id)
+        if batch_id == 0:
+            spark.sql(f"ALTER TABLE {table} ADD COLUMNS (ENV_SCHEDID STRING)")
+    stored = spark.table(table)
+    learned = F.col("batch_id") == 0  # the first batch was stored before the second column was there
+    wide = stored.withColumn("ENV_SCHEDID", F.when(learned, tag_value(F.col("TAGS"), "SCHEDID")).otherwise(F.col("ENV_SCHEDID")))
+    return plain(wide.drop("batch_id"))
+
+
+def sink_metrics(spark, d):
+    path = scratch_path(spark, "metrics")
+    sink = MetricsSink(path, ["JOBID"])
+    for _ in range(2):
+        sink.write(_command_samples(spark, d), 7)
+    return _labels(spark.read.schema("TIMESTAMP TIMESTAMP, name STRING, help STRING, labels MAP<STRING, STRING>, value DOUBLE").parquet(f"{path}/batch=7"), *_LABELS)
+
+
+def sink_fanout(spark, d):
+    """Two sinks and an empty micro-batch between; what both hold."""
+    files, metrics = JsonFileSink(scratch_path(spark, "samples")), MetricsSink(scratch_path(spark, "metrics"))
+    deliver = fan_out([files, metrics])
+    rows = samples(spark, d)
+    deliver(rows, 0)
+    deliver(rows.where("false"), 1)
+    deliver(rows, 0)
+    stored = logs.stored_samples(spark, files.path)
+    counted = spark.read.parquet(f"{metrics.path}/batch=0").where("name LIKE '%READ_COUNT'")
+    total = counted.groupBy(F.col("labels")["HOSTNAME"].alias("HOSTNAME"), "TIMESTAMP").agg(F.sum("value").cast("long").alias("reads"))
+    own = stored.groupBy("HOSTNAME", "TIMESTAMP").agg(F.count("*").alias("samples"), F.sum("READ_COUNT").alias("stored_reads"))
+    return plain(own.join(total, ["HOSTNAME", "TIMESTAMP"], "full"))
 
 
 def stream_tumble(spark, d):
     return plain(streams.tumbled_counters(spark, d, DAY))
 
 
+def stream_late(spark, d):
+    return plain(streams.late_counters(spark, d, DAY))
+
+
 def stream_pairs(spark, d):
     return plain(streams.paired_calls(spark, d))
 
@@ -424,7 +535,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "conform_env_columns": conform_env_columns,
     "sample_transpose": sample_transpose,
     "stream_tumble": stream_tumble,
+    "stream_late": stream_late,
     "stream_pairs": stream_pairs,
+    "source_probe": source_probe,
+    "source_counters": source_counters,
+    "source_execs": source_execs,
+    "source_parts": source_parts,
+    "source_mountinfo": source_mountinfo,
+    "sink_table": sink_table,
+    "sink_metrics": sink_metrics,
+    "sink_fanout": sink_fanout,
     "stream_tags": stream_tags,
     "stream_samples": stream_samples,
     "stream_samples_sliced": stream_samples_sliced,

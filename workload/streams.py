@@ -17,24 +17,34 @@ from workload import views
 
 DELAY = "1 day"
 DELAY_SECONDS = 86400
+PARTS = 8
+LATE = 6 * 3600
+START = 1704067200  # 2024-01-01
+
+
+def arrival(parts: int = PARTS):
+    """The file in which an event arrives: by time, two thirds of them six or twelve hours late."""
+    since = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 3 * LATE - START
+    return F.least(F.greatest(F.floor(since * parts / (30 * 86400)), F.lit(0)), F.lit(parts - 1)).cast("int")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole event table as a stream, ended by one row in the far future.
+    """The event table as a stream of ``PARTS`` files, one per micro-batch, ended by one row in the far future.
 
-    That row moves the watermark past all others. It never gets behind the watermark itself,
-    so nothing of it comes out.
+    Each file holds rows that are late against the one before. The last row moves the watermark
+    past all others. It never gets behind the watermark itself, so nothing of it comes out.
     """
     table = views.table(spark, sf_dir, "events")
-    end = scratch_path(spark, "end-of-events")
+    path = scratch_path(spark, "arriving-events")
+    arriving = table.withColumn("part", arrival())
+    for part in range(PARTS):  # one after the other: files are taken in the order they were written
+        arriving.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
     spark.range(1).select(
         F.lit(-1).cast("long").alias("event_id"), F.expr("TIMESTAMP_NTZ'2100-01-01 00:00:00'").alias("ts"),
         F.lit(0).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"),
         F.lit('{"k": 0}').alias("props"),
-    ).write.parquet(end)
-    read = lambda path: spark.readStream.schema(table.schema).parquet(path)
-    # A pattern, as a stream takes no path of a single file; it matches a folder of files too.
-    raw = read(f"{sf_dir}/{{events}}.parquet").unionByName(read(end))
+    ).coalesce(1).write.mode("append").parquet(path)
+    raw = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return views.with_caller(raw.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
@@ -54,37 +64,53 @@ def tumbled_counters(spark: SparkSession, sf_dir: str, interval: int) -> DataFra
     return finished(spark, count_calls(calls, interval), "counters")
 
 
+def late_counters(spark: SparkSession, sf_dir: str, interval: int) -> DataFrame:
+    """With a delay shorter than events are late: some come after their interval was closed."""
+    calls = views.calls_of(event_stream(spark, sf_dir)).withWatermark("TS", "1 hour")
+    return finished(spark, count_calls(calls, interval), "late-counters")
+
+
 def paired_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = views.probe_hits(event_stream(spark, sf_dir))
     return finished(spark, stream_calls(hits, DELAY), "calls")
 
 
+def exec_stream(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("event_type") == "signup").select(
+        "HOSTNAME", "PID", "ts", F.col("event_id").alias("seq"), views.event_tags().alias("TAGS")
+    ).where(F.size("TAGS") > 0)
+
+
 def tagged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir)
     samples = rows.where(F.col("event_type") != "signup").select(
         F.col("event_id").alias("SEQ"), "HOSTNAME", "PID", F.col("ts").alias("TIMESTAMP")
     )
-    execs = rows.where(F.col("event_type") == "signup").select(
-        "HOSTNAME", "PID", "ts", F.col("event_id").alias("seq"), views.event_tags().alias("TAGS")
-    ).where(F.size("TAGS") > 0)
-    return finished(spark, stream_tags(samples, execs, delay=DELAY).drop("TIMESTAMP"), "tagged")
+    return finished(spark, stream_tags(samples, exec_stream(rows), delay=DELAY).drop("TIMESTAMP"), "tagged")
 
 
-def collected_samples(spark: SparkSession, sf_dir: str, interval: int, start=start_collect, **options) -> DataFrame:
+def collected_samples(spark: SparkSession, sf_dir: str, interval: int) -> DataFrame:
+    """Keyed pairing; execs as a table that is read anew."""
+    return _collected(spark, sf_dir, interval, start_collect, lambda rows: lambda: views.execs(spark, sf_dir), delay=DELAY)
+
+
+def sliced_samples(spark: SparkSession, sf_dir: str, interval: int) -> DataFrame:
+    """Sliced pairing; execs as a stream."""
+    return _collected(spark, sf_dir, interval, start_sliced_collect, exec_stream, delay_seconds=DELAY_SECONDS)
+
+
+def _collected(spark, sf_dir, interval, start, execs, **options) -> DataFrame:
     sink = JsonFileSink(scratch_path(spark, "samples"))
+    rows = event_stream(spark, sf_dir)
     query = start(
-        views.probe_hits(event_stream(spark, sf_dir)),
+        views.probe_hits(rows),
         mounts=lambda: views.mounts(spark, sf_dir),
-        execs=lambda: views.execs(spark, sf_dir),
+        execs=execs(rows),
         sinks=[sink],
         checkpoint=scratch_path(spark, "samples-state"),
         interval=interval,
         trigger={"availableNow": True},
-        **(options or {"delay": DELAY}),
+        **options,
     )
     query.awaitTermination()
     return stored_samples(spark, sink.path)
-
-
-def sliced_samples(spark: SparkSession, sf_dir: str, interval: int) -> DataFrame:
-    return collected_samples(spark, sf_dir, interval, start_sliced_collect, delay_seconds=DELAY_SECONDS)
