@@ -43,6 +43,8 @@ def test_exposition(samples):
         'vnfs_OPEN_COUNT{HOSTNAME="worker-a",UID="1000",COMM="bash",MOUNT="/a\\"b\\\\c",REMOTE_PATH="/remote/mnt"} 1.0'
         in lines
     )
+    at = lines.index("# HELP vnfs_OPEN_COUNT vnfs_Number of NFS OPEN calls")
+    assert lines[at + 1] == "# TYPE vnfs_OPEN_COUNT gauge" and lines[at + 2].startswith("vnfs_OPEN_COUNT{")
 
 
 def test_drain(samples):

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from callscope.model import TABLE_SCHEMA
 from callscope.operators.conform import SchemaError, conform, tag_column_changes, tag_columns
 from callscope.sinks import ConsoleSink, JsonFileSink, MetricsSink, Sink, TableSink, fan_out, make_sink, register_sink
-from callscope.sinks.kafka import kafka_options, message_records
+from callscope.sinks.kafka import KafkaSink, kafka_options, message_records
 from callscope.sinks.table import create_sample_table
 from callscope.sources.logs import stored_samples
 
@@ -100,7 +100,7 @@ def test_metrics_sink(spark, samples, tmp_path):
     MetricsSink(str(tmp_path / "m"), ["JOB"]).write(samples, 0)
     assert spark.read.parquet(str(tmp_path / "m")).count() == 260
     MetricsSink(str(tmp_path / "t"), as_text=True).write(samples, 0)
-    assert spark.read.text(str(tmp_path / "t")).count() == 260
+    assert spark.read.text(str(tmp_path / "t")).count() == 260 + 2 * 65
 
 
 def test_console(samples, capfd):
@@ -175,3 +175,36 @@ def test_kafka_options(tmp_path):
     ]:
         with pytest.raises(ValueError):
             kafka_options(**base, **wrong)
+
+
+def test_table_replaces_a_replayed_batch(spark, samples, table):
+    create_sample_table(spark, table)
+    sink = TableSink(table)
+    sink.setup(spark)
+    sink.write(samples, 3)
+    sink.write(samples, 3)
+    sink.write(samples, 4)
+    stored = spark.table(table)
+    assert stored.count() == 8
+    assert sorted({(r["date"], r["batch_id"]) for r in stored.collect()}) == [("2024-08-14", 3), ("2024-08-14", 4)]
+    assert "PartitionFilters: [isnotnull(date" in stored.where("date = '2024-08-14'")._jdf.queryExecution().toString()
+
+
+def test_files_keep_their_limits(spark, samples, tmp_path):
+    sink = JsonFileSink(str(tmp_path / "out"), max_size_mb=1, max_backups=2)
+    for n in range(5):
+        sink.write(samples.coalesce(1), n)
+    left = sorted({r["path"].split("batch=")[1][0] for r in sink.files(spark).collect()})
+    assert left == ["2", "3", "4"]
+
+
+def test_messages_that_are_too_large_are_set_aside(spark, samples, tmp_path):
+    sent = []
+
+    class Recorded(KafkaSink):
+        def send(self, records):
+            sent.extend(records.collect())
+
+    sink = Recorded(set_aside=str(tmp_path / "aside"), bootstrap_servers="a:1", topic="t", max_request_size=10_000)
+    sink.write(samples.withColumn("MOUNT", F.when(F.col("COMM") == "bash", F.repeat(F.lit("x"), 20_000)).otherwise(F.col("MOUNT"))), 5)
+    assert len(sent) == 3 and spark.read.parquet(str(tmp_path / "aside" / "batch=5")).count() == 1

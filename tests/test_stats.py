@@ -82,3 +82,10 @@ def test_anonymize_refuses(samples):
         anonymize(samples, ["HOSTNAME"])
     with pytest.raises(ValueError, match="cannot be masked"):
         anonymize(samples.withColumn("PID", F.col("TIMESTAMP")), ["PID"])
+
+
+def test_last_is_the_same_for_any_order_of_rows(samples):
+    """Without a sequence all other columns decide, so that rows that tie are equal."""
+    shuffled = samples.orderBy(F.desc("COMM"), F.desc("OPEN_COUNT"))
+    first, second = (group_stats(df, ["MOUNT"]).collect() for df in (samples, shuffled.coalesce(1)))
+    assert first == second

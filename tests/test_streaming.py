@@ -16,7 +16,8 @@ from callscope.sinks import JsonFileSink
 from callscope.sources.logs import probe_events, stored_samples
 from callscope.streaming.collect import start_collect, stop_collect, stream_counters
 from callscope.streaming.pairing import stream_calls
-from callscope.streaming.sliced import SlicedCollector, start_sliced_collect
+from callscope.operators.tagging import attach_tags
+from callscope.streaming.sliced import SlicedCollector, start_sliced_collect, together
 from callscope.streaming.tagging import stream_tags
 
 FAR = 4_000_000_000 * 10**9
@@ -164,3 +165,49 @@ def test_sliced_drops_rows_of_finished_intervals(spark, tmp_path):
     for n, rows in enumerate([[hit("E", 1), hit("R", 2), end_row(20 * 10**9)], [hit("E", 3), hit("R", 4)], [end_row()]]):
         collector(spark.createDataFrame(rows, PROBE_SCHEMA), n)
     assert sum(r.LOOKUP_COUNT for r in counted) == 1
+
+
+def exec_batch(spark, hits, execs):
+    return together(
+        spark.createDataFrame(hits, PROBE_SCHEMA),
+        spark.createDataFrame(execs, "HOSTNAME string, PID long, ts timestamp, seq long, TAGS map<string,string>"),
+    )
+
+
+def test_sliced_keeps_what_lives(spark, tmp_path):
+    """Open calls and newest execs of processes that are gone leave the kept tables; the others' tags still serve."""
+    hit = lambda pid, phase, t: ("h", pid, pid, 0, "c", "nfs_lookup", phase, t * 10**9, t, 1, 0, 0, 0, 0)
+    second = lambda t: utc(1970, 1, 1) + timedelta(seconds=t)
+    seen, alive = [], [(n,) for n in range(1, 9)]
+
+    def deliver(counters, n):
+        seen.extend(attach_tags(counters, collector.execs).select("PID", "TAGS").collect())
+
+    collector = SlicedCollector(
+        str(tmp_path / "kept"), deliver, interval=5, delay_seconds=1,
+        live=lambda: spark.createDataFrame(alive, "PID long").withColumn("HOSTNAME", F.lit("h")),
+    )
+    kept = lambda n, what: spark.read.parquet(f"{tmp_path}/kept/{n % 2}/{what}")
+    execs = [("h", p, second(1), p, {"JOB": str(p)}) for p in range(1, 9)] + [("h", 1, second(2), 9, {"JOB": "new"})]
+    collector(exec_batch(spark, [hit(p, "E", 3) for p in range(1, 9)] + [hit(99, "E", 20)], execs), 0)
+    assert kept(0, "execs").count() == 8  # the newest of each process
+    assert kept(0, "rows").where("PID <> 99").count() == 8  # open entries
+    alive[:] = [(1,), (2,)]
+    collector(exec_batch(spark, [hit(p, "R", 21) for p in (1, 2)] + [hit(99, "E", 40)], []), 1)
+    assert sorted(r["PID"] for r in kept(1, "execs").collect()) == [1, 2]
+    assert kept(1, "rows").where("PID NOT IN (1, 2, 99)").count() == 0
+    assert sorted((r["PID"], r["TAGS"]["JOB"]) for r in seen) == [(1, "new"), (2, "2")]
+
+
+def test_missing_values_alike_in_tables_and_streams(spark, tmp_path):
+    """A missing code is success, missing bytes none, a missing device has no mount."""
+    rows = [
+        ("h", 1, 1, 0, "c", "nfs_lookup", "E", 10**9, 1, 1, 0, None, None, None),
+        ("h", 1, 1, 0, "c", "nfs_lookup", "R", 2 * 10**9, 2, 1, 0, None, None, None),
+    ]
+    write_batches(spark, tmp_path / "in", [rows, [end_row()]], PROBE_SCHEMA)
+    streamed = run(stream_calls(read(spark, tmp_path / "in"), "10 seconds"), tmp_path, "out").collect()
+    stored = pair_calls(spark.createDataFrame(rows, PROBE_SCHEMA))
+    assert [tuple(r) for r in streamed] == [tuple(r) for r in stored.collect()]
+    counted = count_calls(stored, 5).first()
+    assert (counted["SBDEV"], counted["LOOKUP_ERRORS"], counted["LOOKUP_COUNT"]) == (-1, 0, 1)
