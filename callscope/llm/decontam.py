@@ -233,7 +233,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = find_leaks(docs.select("doc_id", "text"), items)
     return found.select(
-        "doc_id", (F.size("leaks") > 0).alias("leaked"), F.size("leaks").cast("long").alias("n_items"),
+        "doc_id", (F.size("leaks") == 0).alias("kept"), F.size("leaks").cast("long").alias("n_items"),
         F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",").alias("items"),
         F.array_max(F.transform("leaks", lambda x: x["overlap"])).alias("overlap"),
     )

@@ -160,7 +160,7 @@ def test_leaks_equal_brute_force(spark):
         want = {p for p in brute_leaks(texts, items) if p[1] != 1001}
         assert {p for p in got if p[1] != 1001} == want
     short = spark.createDataFrame([(1, "so many words and two words more", None, None), (2, "two", None, None)], SCHEMA)
-    assert [x["doc_id"] for x in decontam.query(short, bench).where("leaked").collect()] == [1]
+    assert [x["doc_id"] for x in decontam.query(short, bench).where("not kept").collect()] == [1]
     docs = documents(spark, extra=True)
     assert decontam.decontaminate(docs, bench).columns == docs.columns
     assert decontam.decontaminate(docs, bench.where("false")).count() == len(DOCS)
