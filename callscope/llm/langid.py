@@ -5,7 +5,7 @@ the longest phrases that occur in the reference; the language that needs the few
 the logarithm of the reference's length, so that references of different lengths compare.
 
 The references are a bounded sample of labelled documents: per language the ``SAMPLE_DOCS`` documents with the smallest
-hash of their id, up to ``SAMPLE_BYTES`` bytes of normalised text. Everything else covers whole texts of all documents:
+hash of their id, up to ``SAMPLE_BYTES`` bytes of normalised text, and ``TOTAL_BYTES`` in all. Everything else covers whole texts of all documents:
 letters are lower-cased, other ASCII characters become one space, and the UTF-8 bytes are parsed in pieces of ``PIECE``
 bytes, all pieces of a batch side by side, one byte a step for all languages at once.
 
@@ -29,6 +29,8 @@ from callscope.llm.textops import chunks
 
 SAMPLE_DOCS = 64
 SAMPLE_BYTES = 40_000
+#: All references together, shared equally: a language's table has at most two states a byte.
+TOTAL_BYTES = 400_000
 PIECE = 2048
 UNKNOWN = "und"
 #: Bytes of text parsed side by side.
@@ -147,7 +149,8 @@ def _references(docs: DataFrame, sample_docs: int, sample_bytes: int) -> dict[st
             data = np.frombuffer(row["text"].lower().encode(), np.uint8)
             plain = normalised(data, np.array([0, len(data)]))[0].tobytes().strip()
             texts[row["lang"]] = (have + b" " + plain)[:sample_bytes] if plain else have
-    return {lang: text for lang, text in texts.items() if text.strip()}
+    share = TOTAL_BYTES // max(len(texts), 1)
+    return {lang: text[:share] for lang, text in texts.items() if text[:share].strip()}
 
 
 _parsers: dict[int, Parser] = {}
