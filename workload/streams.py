@@ -37,14 +37,14 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = views.table(spark, sf_dir, "events")
     path = scratch_path(spark, "arriving-events")
     arriving = table.withColumn("part", arrival())
-    for part in range(PARTS):  # one after the other: files are taken in the order they were written
-        arriving.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    # One task writes one file after the other; a stream takes them in the order of their times.
+    arriving.coalesce(1).sortWithinPartitions("part").write.partitionBy("part").parquet(path)
     spark.range(1).select(
         F.lit(-1).cast("long").alias("event_id"), F.expr("TIMESTAMP_NTZ'2100-01-01 00:00:00'").alias("ts"),
         F.lit(0).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"),
         F.lit('{"k": 0}').alias("props"),
-    ).coalesce(1).write.mode("append").parquet(path)
-    raw = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    ).coalesce(1).write.parquet(f"{path}/part={PARTS}")
+    raw = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
     return views.with_caller(raw.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
