@@ -9,14 +9,10 @@ from __future__ import annotations
 from callscope.model import (
     BYTE_OPERATIONS,
     DURATION_COLUMNS,
-    FILE_OPERATIONS,
-    KEPT_FILE_TYPES,
     METRIC_HELP,
     METRIC_PREFIX,
-    MODE_TYPE_MASK,
     OP_NUMBER,
     OPERATIONS,
-    PROBES,
     STAT_COLUMNS,
 )
 
@@ -125,7 +121,11 @@ def _sample_view(width: int, squash: bool) -> str:
     return f"samples AS ({_samples(width, squash)})"
 
 
-_PROBE_NAMES = {op: [p for p, o in PROBES.items() if o == op] for op in OPERATIONS}
+# --- fixed values: numbers of the operations whose entries are filtered by file, the type bits
+# of a mode word, and the types that are kept (directory, regular file, symbolic link) ---
+FILTERED = "0, 1, 2, 3, 6, 7, 8, 9, 10"
+TYPE_BITS, KEPT_TYPES = 61440, "16384, 32768, 40960"
+# --- end of fixed values ------------------------------------------------------------------
 
 PROBE_EVENTS = f"""pe AS (
   SELECT HOSTNAME, TID, PID, UID, COMM, CAST(event_id % {len(OPERATIONS)} AS INTEGER) AS OP_NO, k, event_id AS seq,
@@ -138,8 +138,7 @@ PROBE_EVENTS = f"""pe AS (
   FROM ev),
 hits AS (
   SELECT *, 'E' AS phase, t0 AS t FROM pe
-  WHERE OP_NO NOT IN ({', '.join(str(OP_NUMBER[o]) for o in FILE_OPERATIONS)})
-     OR (name_len > 0 AND (mode & {MODE_TYPE_MASK}) IN ({', '.join(map(str, KEPT_FILE_TYPES))}))
+  WHERE OP_NO NOT IN ({FILTERED}) OR (name_len > 0 AND (mode & {TYPE_BITS}) IN ({KEPT_TYPES}))
   UNION ALL SELECT *, 'R' AS phase, t1 AS t FROM pe),
 looked AS (
   SELECT *, lag(phase) OVER w AS p_phase, lag(t) OVER w AS p_t, lag(sbdev) OVER w AS p_dev,
