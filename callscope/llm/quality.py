@@ -37,6 +37,8 @@ ORDER = 4
 HIGH = 0.99
 SPREAD = 3.0
 LEAST = 0.75
+#: A block holds about so much text: the more, the fewer requests; a task reads it compressed.
+BLOCK_BYTES = 16_000_000
 #: Bytes of text whose n-grams a task holds at a time.
 STEP = 500_000
 # A key: 28 bits of the language's hash, 3 bits of the order, the bytes.
@@ -240,9 +242,9 @@ def _trusted(labels: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, mark (a hash of text and language), language, n_grams, logp (sum) of every document."""
-    spark = docs.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
     mark = F.xxhash64(text, "lang")
     plain = docs.select(
         F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), mark)), F.lit(blocks)).cast("int").alias("block"),
