@@ -12,11 +12,13 @@ Nothing of the corpus is collected or broadcast, and a very frequent n-gram cost
 
 Discounts come from the counts of counts per language and order. A document is rejected if its log-perplexity lies above
 a threshold of its language and length class (powers of four bytes): the median of the trusted documents there plus
-``SPREAD`` times the distance from the median to the ``HIGH`` quantile, and at least ``LEAST`` nats above the median.
+``SPREAD`` times the distance from the median to the ``HIGH`` quantile. Both are taken out of training: trusted documents
+are dealt into two folds by a hash of the text, and each is judged by a model of the other fold. A class with fewer than
+``FEW`` trusted documents takes the limit of all trusted documents of its language.
 
-Defined results: null texts are empty, have no n-grams, perplexity null, and are kept; documents whose language or
-class has no trusted document are kept; null languages form one language; rows that repeat an id and text are scored
-alike; a document labelled twice is trusted if any label trusts it; no rows give no rows; without trusted text all is kept.
+Defined results: null texts are empty, have no n-grams, perplexity null, and are kept; null languages form one language;
+documents whose language has no trusted document are kept; rows that repeat an id and text are scored alike; a document labelled twice is trusted if any label trusts it; no rows
+give no rows; without trusted text all is kept.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ from callscope.plans.storage import written
 
 ORDER = 4
 HIGH = 0.99
-SPREAD = 3.0
-LEAST = 0.75
+#: Of 1, 1.25, 1.5, 2 and 3 the one that rejects nearest to 1 - ``HIGH`` of clean documents out of training and limits (sf0.1).
+SPREAD = 1.5
+#: So many trusted documents make a length class of its own.
+FEW = 50
 #: A block holds about so much text: the more, the fewer requests; a task reads it compressed.
 BLOCK_BYTES = 16_000_000
 #: Bytes of text whose n-grams a task holds at a time.
@@ -44,6 +48,8 @@ STEP = 500_000
 # A key: 28 bits of the language's hash, 3 bits of the order, the bytes.
 _ORDER_AT, _LANGUAGE_AT = 32, 35
 _LANGUAGES = 1 << 28
+# The lowest two bits of a language: 0 for the model of all its trusted text, 1 + f for the one without fold f.
+_FOLDS = 2
 
 
 def _keys(text: bytes, language: int) -> np.ndarray:
@@ -90,10 +96,11 @@ def _keys_from(text: bytes, language: int, low: int) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, count) of trusted texts, summed within a batch."""
+    """(gram, count) of trusted texts in each model they train, summed within a batch."""
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
-        rows = ((i, t or b"", lang) for i, (t, lang) in enumerate(zip(texts, batch.column("language").to_pylist())))
+        own = zip(texts, batch.column("languages").to_pylist())
+        rows = ((i, t or b"", lang) for i, (t, languages) in enumerate(own) for lang in languages)
         grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for _, keys, _ in _pieces(rows):
             own, times = np.unique(keys, return_counts=True)
@@ -121,21 +128,50 @@ def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             *[lists(batch.column(c).to_pylist(), t) for c, t in (("doc_id", pa.int64()), ("mark", pa.int64()), ("language", pa.int32()))],
             lists([len(t) for t in texts], pa.int64()),
             pa.array([pack(b"".join(texts[a:b])) for a, b in spans], pa.binary()),
-        ], names=["block", "ids", "marks", "languages", "sizes", "packed"])
+            pa.array([[]] * len(spans), pa.list_(pa.int64())),
+        ], names=_FRAME_NAMES)
 
 
-_FRAMES = "block int, ids array<long>, marks array<long>, languages array<int>, sizes array<long>, packed binary"
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The trusted ids of a batch by block: frames without documents."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        blocks, ids = (batch.column(c).to_numpy() for c in ("block", "doc_id"))
+        order = np.argsort(blocks, kind="stable")
+        own, first = np.unique(blocks[order], return_index=True)
+        none = [[]] * len(own)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(own, pa.int32()), *[pa.array(none, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())],
+            pa.array([pack(b"")] * len(own), pa.binary()),
+            pa.array(np.split(ids[order], first[1:]), pa.list_(pa.int64())),
+        ], names=_FRAME_NAMES)
+
+
+_FRAMES = "block int, ids array<long>, marks array<long>, languages array<int>, sizes array<long>, packed binary, trusted array<long>"
+_FRAME_NAMES = [column.split()[0] for column in _FRAMES.split(", ")]
+
+
+def _models(frames: pd.DataFrame) -> list[list[int]]:
+    """The models of each document of a block: its language's, and for trusted ones that without their fold."""
+    trusted = {int(x) for xs in frames["trusted"] for x in xs}
+    out = []
+    for block, ids, languages in zip(frames["block"], frames["ids"], frames["languages"]):
+        held = 1 + int(block) % _FOLDS
+        out += [[int(own), int(own) + held] if i in trusted else [int(own)] for i, own in zip(ids, languages)]
+    return out
 
 
 def _texts(frames: pd.DataFrame) -> Iterator[tuple[int, bytes, int]]:
-    """(row, text, language) of a block's documents in order."""
+    """(row, text, language) of a block's documents in order, a row for each of a document's models."""
     unpack = zstandard.ZstdDecompressor().decompress
-    row = 0
-    for packed, sizes, languages in zip(frames["packed"], frames["sizes"], frames["languages"]):
+    row, models = 0, iter(_models(frames))
+    for packed, sizes in zip(frames["packed"], frames["sizes"]):
         data, at = unpack(packed), 0
-        for size, language in zip(sizes, languages):
-            yield row, data[at : at + size], int(language)
-            row, at = row + 1, at + size
+        for size in sizes:
+            for language in next(models):
+                yield row, data[at : at + size], language
+                row += 1
+            at += size
 
 
 def _requests(frames: pd.DataFrame) -> pd.DataFrame:
@@ -167,18 +203,21 @@ def _probabilities(keys: np.ndarray, k: int, grams: np.ndarray, p: np.ndarray, s
 
 
 def _scored(frames: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """The sum of log-probabilities of each document of a block."""
+    """The sum of log-probabilities of each document of a block, in each of its models."""
     answers = answers.sort_values("gram")
     grams, p, spare = (answers[c].to_numpy() for c in ("gram", "p", "spare"))
-    size = np.concatenate([np.asarray(x, np.int64) for x in frames["sizes"]]) if len(frames) else np.zeros(0, np.int64)
+    models = _models(frames)
+    times = np.array([len(own) for own in models], np.int64)
+    size = np.repeat(np.array([x for xs in frames["sizes"] for x in xs], np.int64), times)
     total = np.zeros(len(size))
     for rows, keys, first in _pieces(_texts(frames)):
         own, place = np.unique(keys, return_inverse=True)
         logs = np.log(_probabilities(own, ORDER, grams, p.astype(float), spare.astype(float)))
         values = np.concatenate([[0.0], np.cumsum(logs[place])])
         np.add.at(total, rows, values[first[1:]] - values[first[:-1]])
-    flat = lambda c: pd.array([x for xs in frames[c] for x in xs], "Int64")
-    return pd.DataFrame({"doc_id": flat("ids"), "mark": flat("marks"), "language": flat("languages").astype("Int32"), "n_grams": size, "logp": total})
+    flat = lambda c: pd.array([x for xs in frames[c] for x in xs], "Int64").repeat(times)
+    own = pd.array([x for xs in models for x in xs], "Int32")
+    return pd.DataFrame({"doc_id": flat("ids"), "mark": flat("marks"), "language": own, "n_grams": size, "logp": total})
 
 
 def _model(counts: DataFrame) -> DataFrame:
@@ -241,22 +280,36 @@ def _trusted(labels: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, mark (a hash of text and language), language, n_grams, logp (sum) of every document."""
+    """doc_id, mark (a hash of text and language), language (a model), n_grams, logp (sum) of every document.
+
+    A trusted document has a second row, of the model that lacks its fold.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
     mark = F.xxhash64(text, "lang")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    dealt = max(1, -(-size // (BLOCK_BYTES * _FOLDS)))
+    fold, language = F.col("fold"), F.col("language")
+
+    def block(key: Column, fold: Column) -> Column:
+        return (F.pmod(F.xxhash64(key), F.lit(dealt)) * _FOLDS + fold).cast("int")  # of one fold: asks one model without it
+
+    own_fold = F.pmod(F.xxhash64(text), F.lit(_FOLDS)).cast("int")
     plain = docs.select(
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), mark)), F.lit(blocks)).cast("int").alias("block"),
+        block(F.coalesce(F.col("doc_id").cast("long"), mark), own_fold).alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"),
-        F.pmod(F.xxhash64("lang"), F.lit(_LANGUAGES)).cast("int").alias("language"), text.alias("text"),
+        F.shiftleft(F.pmod(F.xxhash64("lang"), F.lit(_LANGUAGES >> 2)), 2).cast("int").alias("language"),
+        own_fold.alias("fold"), text.alias("text"),
     )
     # of the texts only those that may be trusted move: Spark filters the scan by a Bloom filter of the labels' ids
-    trusted = plain.select("doc_id", "language", "text").join(_trusted(labels), "doc_id", "left_semi")
-    counts = trusted.select("language", "text").mapInArrow(_counted, "gram long, count long")
+    trusted = plain.select("doc_id", "language", "fold", "text").join(_trusted(labels), "doc_id", "left_semi")
+    trained = F.array(language, *[F.when(fold != f, language + 1 + f) for f in range(_FOLDS)])
+    counts = trusted.select(F.array_compact(trained).alias("languages"), "text").mapInArrow(_counted, "gram long, count long")
     model = written(_model(written(counts.groupBy("gram").agg(F.sum("count").alias("count")), "grams")), "model")
+    names = _trusted(labels).where("doc_id is not null").withColumn("fold", F.explode(F.array(*map(F.lit, range(_FOLDS)))))
+    names = names.select(block(F.col("doc_id"), fold).alias("block"), "doc_id").mapInArrow(_named, _FRAMES)
+    rows = plain.select("block", "doc_id", "mark", "language", "text").mapInArrow(_framed, _FRAMES)
     # both reads of the frames share one shuffle
-    framed = plain.mapInArrow(_framed, _FRAMES).groupBy("block")
+    framed = rows.unionAll(names).groupBy("block")
     requests = framed.applyInPandas(_requests, "block int, gram long")
     answers = requests.join(model, "gram").select("block", "gram", "p", "spare")
     return framed.cogroup(answers.groupBy("block")).applyInPandas(
@@ -264,17 +317,20 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, spread: float = SPREAD, least: float = LEAST) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, spread: float = SPREAD) -> DataFrame:
     """doc_id, mark, n_grams, perplexity, threshold (a perplexity, or null), kept of every document."""
+    fold = F.col("language").bitwiseAND(F.lit(3))
     scored = written(score(docs, labels), "scored").withColumn(
         "loss", F.when(F.col("n_grams") > 0, -F.col("logp") / F.col("n_grams"))
-    ).withColumn("class", F.floor(F.log2(F.col("n_grams") + 1) / 2).cast("int"))
-    known = scored.where("loss is not null").join(_trusted(labels), "doc_id", "left_semi")
-    limits = known.groupBy("language", "class").agg(
-        F.percentile_approx("loss", F.lit(0.5), F.lit(10000)).alias("middle"),
-        F.percentile_approx("loss", F.lit(high), F.lit(10000)).alias("high"),
-    ).select("language", "class", (F.col("middle") + F.greatest(spread * (F.col("high") - F.col("middle")), F.lit(least))).alias("limit"))
-    rows = scored.join(limits, ["language", "class"], "left")
+    ).withColumn("class", F.floor(F.log2(F.col("n_grams") + 1) / 2).cast("int")).withColumn("fold", fold)
+    known = scored.where("fold > 0 and loss is not null").withColumn("language", F.col("language") - fold)
+
+    def limits(*by: str) -> DataFrame:
+        middle, top = (F.percentile_approx("loss", F.lit(q), F.lit(10000)) for q in (0.5, high))
+        return known.groupBy(*by).agg((middle + spread * (top - middle)).alias(f"limit{len(by)}"), F.count(F.lit(1)).alias(f"n{len(by)}"))
+
+    rows = scored.where("fold = 0").join(limits("language", "class").where(F.col("n2") >= FEW), ["language", "class"], "left")
+    rows = rows.join(limits("language"), "language", "left").withColumn("limit", F.coalesce("limit2", "limit1"))
     return rows.select(
         "doc_id", "mark", "n_grams", F.exp("loss").alias("perplexity"), F.exp("limit").alias("threshold"),
         F.coalesce(F.col("loss") <= F.col("limit"), F.lit(True)).alias("kept"),

@@ -320,6 +320,47 @@ def test_quality_keeps_clean_documents_and_finds_junk(spark):
     assert all(clean) and sum(junk) < 0.3 * len(junk)
 
 
+def prose(seed, count, words, letters="abcdefgh"):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choices(letters, k=r.randint(2, 7))) for _ in range(300)]
+    return [" ".join(r.choices(vocabulary, k=words)) for _ in range(count)]
+
+
+def brute_losses(spark, texts):
+    """Of each text the nats a byte under the model of the texts in the other fold."""
+    folds = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("pmod(xxhash64(t), 2)").collect()]
+    models = [brute_model([t.encode() for t, f in zip(texts, folds) if f != fold]) for fold in (0, 1)]
+    losses = []
+    for t, f in zip(texts, folds):
+        full = b" " * (quality.ORDER - 1) + t.encode()
+        losses.append(-sum(math.log(models[f](full[j : j + quality.ORDER])) for j in range(len(t))) / len(t))
+    return losses
+
+
+def brute_limit(losses):
+    rank = lambda q: sorted(losses)[math.ceil(q * len(losses)) - 1]
+    return math.exp(rank(0.5) + quality.SPREAD * (rank(quality.HIGH) - rank(0.5)))
+
+
+def test_quality_limits_come_from_documents_out_of_training(spark):
+    r = random.Random(5)
+    texts = prose(1, 60, 80) + prose(1, 6, 20)
+    # a tenth of the letters changed: above the limit by less than the 0.75 nats that once were let through
+    junk = "".join(r.choice("abcdefgh") if c != " " and r.random() < 0.1 else c for c in prose(1, 61, 80)[-1])
+    rows = [(i, t, "x", None) for i, t in enumerate([*texts, junk])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.query(docs, labels).collect()}
+    losses = brute_losses(spark, texts)
+    size = lambda t: int(math.log2(len(t) + 1) // 2)
+    large = [x for t, x in zip(texts, losses) if size(t) == size(texts[0])]
+    assert len(large) == 60 and size(junk) == size(texts[0])
+    assert math.isclose(got[0]["threshold"], brute_limit(large), rel_tol=1e-9)
+    assert math.isclose(got[60]["threshold"], brute_limit(losses), rel_tol=1e-9)  # too few of its length
+    middle = sorted(math.log(got[i]["perplexity"]) for i in range(60))[29]
+    assert not got[66]["kept"] and math.log(got[66]["perplexity"]) < middle + 0.75
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     """Every stage on all its predecessor kept, with decisions recomputed without the operators' own methods."""
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
