@@ -14,11 +14,12 @@ Discounts come from the counts of counts per language and order. A document is r
 a threshold of its language and length class (powers of four bytes): the median of the trusted documents there plus
 ``SPREAD`` times the distance from the median to the ``HIGH`` quantile. Both are taken out of training: trusted documents
 are dealt into two folds by a hash of the text, and each is judged by a model of the other fold. A class with fewer than
-``FEW`` trusted documents takes the limit of all trusted documents of its language.
+``FEW`` trusted documents takes the limit of all trusted documents of its language. Documents of a language with fewer
+than ``FEW_OF_LANGUAGE`` trusted documents, or with none in a fold, have the perplexity and the limits of all trusted text.
 
 Defined results: null texts are empty, have no n-grams, perplexity null, and are kept; null languages form one language;
-documents whose language has no trusted document are kept; rows that repeat an id and text are scored alike; a document labelled twice is trusted if any label trusts it; no rows
-give no rows; without trusted text all is kept.
+rows that repeat an id and text are scored alike; a document labelled twice is trusted if any label trusts it; no rows
+give no rows; without trusted text all is kept; if all trusted text is in one fold the limit is a perplexity of 256.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ HIGH = 0.99
 SPREAD = 1.5
 #: So many trusted documents make a length class of its own.
 FEW = 50
+#: So many give a language a model of its own, if there are some in each fold.
+FEW_OF_LANGUAGE = 5
 #: A block holds about so much text: the more, the fewer requests; a task reads it compressed.
 BLOCK_BYTES = 16_000_000
 #: Bytes of text whose n-grams a task holds at a time.
@@ -50,6 +53,8 @@ _ORDER_AT, _LANGUAGE_AT = 32, 35
 _LANGUAGES = 1 << 28
 # The lowest two bits of a language: 0 for the model of all its trusted text, 1 + f for the one without fold f.
 _FOLDS = 2
+#: The language of all trusted text.
+_WIDE = 0
 
 
 def _keys(text: bytes, language: int) -> np.ndarray:
@@ -151,20 +156,22 @@ _FRAMES = "block int, ids array<long>, marks array<long>, languages array<int>,
 _FRAME_NAMES = [column.split()[0] for column in _FRAMES.split(", ")]
 
 
-def _models(frames: pd.DataFrame) -> list[list[int]]:
-    """The models of each document of a block: its language's, and for trusted ones that without their fold."""
+def _models(frames: pd.DataFrame, wide: bool) -> list[list[int]]:
+    """The models of each document of a block: its language's, and for trusted ones those without their fold."""
     trusted = {int(x) for xs in frames["trusted"] for x in xs}
     out = []
     for block, ids, languages in zip(frames["block"], frames["ids"], frames["languages"]):
         held = 1 + int(block) % _FOLDS
-        out += [[int(own), int(own) + held] if i in trusted else [int(own)] for i, own in zip(ids, languages)]
+        for i, own in zip(ids, languages):
+            more = {int(own) + held, *([_WIDE + held] if wide else [])} if i in trusted else ()
+            out.append([int(own), *more])
     return out
 
 
-def _texts(frames: pd.DataFrame) -> Iterator[tuple[int, bytes, int]]:
+def _texts(frames: pd.DataFrame, models: list[list[int]]) -> Iterator[tuple[int, bytes, int]]:
     """(row, text, language) of a block's documents in order, a row for each of a document's models."""
     unpack = zstandard.ZstdDecompressor().decompress
-    row, models = 0, iter(_models(frames))
+    row, models = 0, iter(models)
     for packed, sizes in zip(frames["packed"], frames["sizes"]):
         data, at = unpack(packed), 0
         for size in sizes:
@@ -174,10 +181,10 @@ def _texts(frames: pd.DataFrame) -> Iterator[tuple[int, bytes, int]]:
             at += size
 
 
-def _requests(frames: pd.DataFrame) -> pd.DataFrame:
+def _requests(frames: pd.DataFrame, wide: bool) -> pd.DataFrame:
     """The distinct n-grams of a block and all shorter ones that their probabilities may come from."""
     grams = np.zeros(0, np.int64)
-    for _, keys, _ in _pieces(_texts(frames)):
+    for _, keys, _ in _pieces(_texts(frames, _models(frames, wide))):
         grams = np.union1d(grams, keys)
     found = [grams]
     for k in range(ORDER, 0, -1):
@@ -202,15 +209,15 @@ def _probabilities(keys: np.ndarray, k: int, grams: np.ndarray, p: np.ndarray, s
     return np.where(np.isnan(own), np.where(np.isnan(weight), 1.0, weight) * below, own)
 
 
-def _scored(frames: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+def _scored(frames: pd.DataFrame, answers: pd.DataFrame, wide: bool) -> pd.DataFrame:
     """The sum of log-probabilities of each document of a block, in each of its models."""
     answers = answers.sort_values("gram")
     grams, p, spare = (answers[c].to_numpy() for c in ("gram", "p", "spare"))
-    models = _models(frames)
+    models = _models(frames, wide)
     times = np.array([len(own) for own in models], np.int64)
     size = np.repeat(np.array([x for xs in frames["sizes"] for x in xs], np.int64), times)
     total = np.zeros(len(size))
-    for rows, keys, first in _pieces(_texts(frames)):
+    for rows, keys, first in _pieces(_texts(frames, models)):
         own, place = np.unique(keys, return_inverse=True)
         logs = np.log(_probabilities(own, ORDER, grams, p.astype(float), spare.astype(float)))
         values = np.concatenate([[0.0], np.cumsum(logs[place])])
@@ -282,7 +289,7 @@ def _trusted(labels: DataFrame) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, mark (a hash of text and language), language (a model), n_grams, logp (sum) of every document.
 
-    A trusted document has a second row, of the model that lacks its fold.
+    A trusted document has more rows, of models that lack its fold.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     mark = F.xxhash64(text, "lang")
@@ -297,23 +304,29 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     plain = docs.select(
         block(F.coalesce(F.col("doc_id").cast("long"), mark), own_fold).alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"),
-        F.shiftleft(F.pmod(F.xxhash64("lang"), F.lit(_LANGUAGES >> 2)), 2).cast("int").alias("language"),
+        F.shiftleft(F.pmod(F.xxhash64("lang"), F.lit((_LANGUAGES >> 2) - 1)) + 1, 2).cast("int").alias("language"),
         own_fold.alias("fold"), text.alias("text"),
     )
     # of the texts only those that may be trusted move: Spark filters the scan by a Bloom filter of the labels' ids
     trusted = plain.select("doc_id", "language", "fold", "text").join(_trusted(labels), "doc_id", "left_semi")
-    trained = F.array(language, *[F.when(fold != f, language + 1 + f) for f in range(_FOLDS)])
+    known = trusted.where("text != ''").groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("folds"))
+    known = written(known.where((F.col("n") >= FEW_OF_LANGUAGE) & (F.col("folds") == _FOLDS)).select("language", F.lit(True).alias("known")), "languages")
+    # no document needs the model of all trusted text if each has a language's
+    wide = not plain.select("language").distinct().join(known, "language", "left_anti").isEmpty()
+    trained = F.array(*[x for own in [language, F.lit(_WIDE)][: 1 + wide] for x in (own, *[F.when(fold != f, own + 1 + f) for f in range(_FOLDS)])])
     counts = trusted.select(F.array_compact(trained).alias("languages"), "text").mapInArrow(_counted, "gram long, count long")
     model = written(_model(written(counts.groupBy("gram").agg(F.sum("count").alias("count")), "grams")), "model")
     names = _trusted(labels).where("doc_id is not null").withColumn("fold", F.explode(F.array(*map(F.lit, range(_FOLDS)))))
     names = names.select(block(F.col("doc_id"), fold).alias("block"), "doc_id").mapInArrow(_named, _FRAMES)
-    rows = plain.select("block", "doc_id", "mark", "language", "text").mapInArrow(_framed, _FRAMES)
+    own = F.when(F.col("known"), language).otherwise(F.lit(_WIDE)).alias("language")
+    rows = plain.join(known, "language", "left") if wide else plain.withColumn("known", F.lit(True))
+    rows = rows.select("block", "doc_id", "mark", own, "text").mapInArrow(_framed, _FRAMES)
     # both reads of the frames share one shuffle
     framed = rows.unionAll(names).groupBy("block")
-    requests = framed.applyInPandas(_requests, "block int, gram long")
+    requests = framed.applyInPandas(lambda frames: _requests(frames, wide), "block int, gram long")
     answers = requests.join(model, "gram").select("block", "gram", "p", "spare")
     return framed.cogroup(answers.groupBy("block")).applyInPandas(
-        _scored, "doc_id long, mark long, language int, n_grams long, logp double"
+        lambda frames, answers: _scored(frames, answers, wide), "doc_id long, mark long, language int, n_grams long, logp double"
     )
 
 

@@ -361,6 +361,22 @@ def test_quality_limits_come_from_documents_out_of_training(spark):
     assert not got[66]["kept"] and math.log(got[66]["perplexity"]) < middle + 0.75
 
 
+def test_quality_judges_languages_without_labels(spark):
+    r = random.Random(6)
+    texts = prose(1, 60, 80)
+    noise = lambda n: "".join(r.choices("zyxwvuts ", k=n))
+    odd = [("y", noise(900)), (None, noise(900)), ("z", noise(900)), ("x", noise(5)), ("x", noise(70_000)), ("y", ""), ("y", prose(1, 61, 80)[-1])]
+    rows = [(i, t, "z" if i < 2 else "x", None) for i, t in enumerate(texts)] + [(60 + i, t, lang, None) for i, (lang, t) in enumerate(odd)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.query(docs, labels).collect()}
+    assert [got[60 + i]["kept"] for i in range(len(odd))] == [False] * 5 + [True] * 2
+    assert got[65]["perplexity"] is None and len(got) == len(rows)
+    want = brute_limit(brute_losses(spark, texts))
+    assert all(math.isclose(got[i]["threshold"], want, rel_tol=1e-9) for i in (0, 60, 61, 62, 66))  # of all trusted text
+    assert not math.isclose(got[2]["threshold"], want, rel_tol=1e-9)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     """Every stage on all its predecessor kept, with decisions recomputed without the operators' own methods."""
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
