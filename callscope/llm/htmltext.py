@@ -6,7 +6,7 @@ main text and other, one weight per feature and label and four transition weight
 (forward and backward sums) on labelled pages, and decoded by Viterbi.
 
 Scripts, styles, templates, titles and other elements that never show text are no blocks. Comments and declarations
-vanish; unclosed elements end where their parent ends; a quote that is never closed ends its tag at the next ``>``.
+vanish; unclosed elements end where their parent ends, and a head at the first tag or text that cannot stand in it; a quote that is never closed ends its tag at the next ``>``.
 
 Defined results: null, empty and textless pages give an empty text; pages are decided one by one, so ties, repeated rows
 and null ids change nothing; no pages give no rows. Extra columns are left out.
@@ -34,6 +34,8 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _HIDDEN = frozenset("script style noscript template title textarea iframe svg math object select option button head".split())
+#: What can stand in a head; any other start tag, or text, ends it.
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag that ends an open element of these kinds first.
 _ENDS = {
@@ -79,10 +81,17 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
             links -= name == "a"
         del stack[depth:]
 
+    def end_head() -> None:
+        depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "head"), None) if hidden else None
+        if depth is not None:
+            pop(depth)
+
     at, size = 0, len(page)
     while at < size:
         tag = _TAG.search(page, at)
         text = page[at : tag.start() if tag else size]
+        if hidden and stack[-1][0] == "head" and text.strip():
+            end_head()
         if text and not hidden:
             pieces.append(text)
             if links:
@@ -103,6 +112,8 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
             if depth is not None and (name in _BLOCK or not any(e[0] in _BLOCK for e in stack[depth + 1 :])):
                 pop(depth)
             continue
+        if name not in _IN_HEAD:
+            end_head()
         if name in _RAW:
             end = re.compile(f"</{name}", re.I).search(page, at)
             stop = page.find(">", end.end()) if end else -1

@@ -242,6 +242,16 @@ def test_pages(spark):
     assert htmltext.query(empty(spark, "page_id long, url string, html string")).collect() == []
 
 
+def test_pages_without_the_end_of_their_head():
+    field = htmltext.default_field()
+    rest = "<article><h1>News of today</h1><p>First line, and more of it.<p>Second line.</article>"
+    whole = "<html><head><meta charset=utf-8><title>x</title><style>p {}</style><link href=a>%s" + rest + "</body></html>"
+    want = htmltext.main_text(whole % "</head><body>", field)
+    assert want == "News of today\nFirst line, and more of it.\nSecond line."
+    assert all(htmltext.main_text(whole % end, field) == want for end in ("<body>", "", "<textarea>a</textarea>", "\n<script>b</script>\n"))
+    assert [t for t, _, _ in htmltext.blocks("<head><title>x</title> Text <b>of</b> a page")] == ["Text of a page"]
+
+
 def brute_model(texts, order=quality.ORDER):
     """Interpolated modified Kneser-Ney as in the papers, with plain dictionaries."""
     counts = {order: Counter()}
