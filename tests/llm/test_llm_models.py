@@ -252,6 +252,11 @@ def test_pages_without_the_end_of_their_head():
     assert [t for t, _, _ in htmltext.blocks("<head><title>x</title> Text <b>of</b> a page")] == ["Text of a page"]
 
 
+def test_punctuation_is_counted_over_the_whole_block():
+    for before, points in itertools.product((1, 399, 5000), range(6)):
+        assert f"points={min(3, points)}" in htmltext._text_features("a" * before + ", b" * points, 0.0)
+
+
 def brute_model(texts, order=quality.ORDER):
     """Interpolated modified Kneser-Ney as in the papers, with plain dictionaries."""
     counts = {order: Counter()}
