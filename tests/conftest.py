@@ -1,14 +1,8 @@
-import os
-import sys
-from datetime import datetime, timezone
-
 import pytest
+from helpers import sample_row, utc
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
-
-from callscope.model import SAMPLE_SCHEMA, STAT_COLUMNS  # noqa: E402
-from callscope.session import build_session  # noqa: E402
+from callscope.model import SAMPLE_SCHEMA
+from callscope.session import build_session
 
 
 @pytest.fixture(scope="session")
@@ -26,21 +20,6 @@ def spark():
     session.stop()
 
 
-def utc(*parts):
-    return datetime(*parts, tzinfo=timezone.utc)
-
-
-def sample_row(**values):
-    row = {f.name: 0 for f in SAMPLE_SCHEMA.fields}
-    row.update({c: 0.0 for c in STAT_COLUMNS if c.endswith("_DURATION")})
-    row.update(
-        TIMEDELTA=5, HOSTNAME="worker-a", UID=1000, MOUNT="/mnt", REMOTE_PATH="/remote/mnt",
-        READDIR_COUNT=2, ACCESS_COUNT=1, ACCESS_ERRORS=1,
-    )
-    row.update(values)
-    return tuple(row[f.name] for f in SAMPLE_SCHEMA.fields)
-
-
 @pytest.fixture(scope="session")
 def samples(spark):
     """Four known sample rows."""

@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import utc
+from helpers import utc
 
 from callscope.operators.mounts import resolve_mounts
 from callscope.plans.collect import check_options, collect_samples

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import utc
+from helpers import utc
 from pyspark.sql import functions as F
 
 from callscope.functions.environ import parse_environ

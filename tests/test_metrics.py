@@ -1,6 +1,6 @@
 from datetime import timedelta
 
-from conftest import utc
+from helpers import utc
 from pyspark.sql import functions as F
 
 from callscope.operators.metrics import (

@@ -1,4 +1,4 @@
-from conftest import utc
+from helpers import utc
 from pyspark.sql import functions as F
 
 from callscope.model import PARTITION_SCHEMA

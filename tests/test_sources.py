@@ -1,5 +1,5 @@
 import pytest
-from conftest import utc
+from helpers import utc
 
 from callscope.model import EXEC_SCHEMA, OPERATIONS, PARTITION_SCHEMA, RAW_COUNTER_SCHEMA
 from callscope.operators.tagging import late_tags, with_tag_columns

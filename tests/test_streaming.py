@@ -4,7 +4,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import utc
+from helpers import utc
 from pyspark.sql import functions as F
 from test_pairing import COLUMNS, random_events, state_machine
 from test_tags import HISTORY, SAMPLE, newest, random_case

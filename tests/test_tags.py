@@ -2,7 +2,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import utc
+from helpers import utc
 from pyspark.sql import functions as F
 
 from callscope.model import EXEC_SCHEMA
