@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import decontam, exact, htmltext, langid, lines, mixing, near, pii, quality, warc
+from callscope.llm import (
+    codes, decontam, exact, htmltext, langid, lexical, lines, mixing, near, pii, quality, secrets, warc,
+)
 from callscope.session import apply_settings
 
 
@@ -53,11 +55,25 @@ def op10_warc_archive(spark, sf_dir):
     return warc.query(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return codes.query(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark, sf_dir):
+    return secrets.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_quality_classifier, op3_personal_data, op4_language_id, op5_html_extraction, op6_decontamination,
     op7_exact_dedup, op8_jaccard_join, op9_line_dedup, op10_warc_archive,
+    op11_lexical_search, op12_vector_codes, op13_secret_scan,
 )}
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE, "op9_line_dedup": lines.ORACLE,
-    "op10_warc_archive": warc.ORACLE,
+    "op10_warc_archive": warc.ORACLE, "op11_lexical_search": lexical.ORACLE, "op12_vector_codes": codes.ORACLE,
+    "op13_secret_scan": secrets.ORACLE,
 }
