@@ -43,7 +43,7 @@ from callscope.llm.textops import chunks
 from callscope.plans.storage import written
 
 #: Bytes of text in a block of the index, and of items that are searched for at once.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 6_000_000
 BATCH_BYTES = 4_000_000
 #: Ranges of documents that are halved at once.
 BEAM = 128
@@ -54,7 +54,7 @@ _LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.ui
 _IN_TERM = ((_BYTE >= 48) & (_BYTE <= 57)) | ((_LOWER >= 97) & (_LOWER <= 122)) | (_BYTE >= 128)
 #: Which child a quarter of a cell is, by the cell's four bits; -1 for an empty quarter.
 _RANK = np.array([[bin(bits & ((1 << q) - 1)).count("1") if bits >> q & 1 else -1 for q in range(4)] for bits in range(16)])
-_CHILDREN = np.array([bin(bits).count("1") for bits in range(16)])
+_CHILDREN = np.array([bin(bits).count("1") for bits in range(16)], np.int32)
 
 
 def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -141,8 +141,8 @@ class Grid:
         self.bits = np.zeros(cells + 1, np.uint8)
         self.bits[:inner] = np.stack([packed & 15, packed >> 4], axis=1).ravel()[:inner]
         children = _CHILDREN[self.bits]
-        self.first = 1 + np.cumsum(children) - children
-        self.largest = np.zeros(cells + 1, np.int64)
+        self.first = np.cumsum(children, dtype=np.int32) - children + 1
+        self.largest = np.zeros(cells + 1, np.int32)
         self.largest[:cells] = np.frombuffer(drops, np.int32)
         low = 0
         for size, below in zip(sizes, sizes[1:]):
@@ -154,7 +154,7 @@ class Grid:
     def search(self, rows: np.ndarray, weights: np.ndarray, top: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """(columns, scores) of all columns that may be among the ``top`` best with a score of ``least`` or more."""
         columns, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        cells = np.zeros((1, len(rows)), np.int64)
+        cells = np.zeros((1, len(rows)), np.int32)
         level, prefix = np.zeros(1, np.int64), np.zeros(1, np.int64)
         bound = self.largest[cells] @ weights
         if self.height == 0:
