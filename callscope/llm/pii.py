@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPANS = "array<struct<start:int,end:int,found:string,lead:string>>"
+from callscope.llm.columns import located
+
 #: Code points before a span in which context words count.
 LEAD = 40
 
@@ -80,28 +81,10 @@ KINDS = {
 BASE = ("email", "ip", "card", "phone")
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Each match: start, end (exclusive), itself, and what stands just before it (back to the match before)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(
-        found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)),
-        lambda m, gap: F.struct(m.alias("m"), F.char_length(gap).alias("gap"), F.right(gap, F.lit(LEAD)).alias("lead")),
-    )
-
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        end = start + F.char_length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("found"), x["lead"].alias("lead"))
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out"))
-
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    return F.aggregate(pairs, none, step, lambda done: done["out"])
-
-
 def spans(text: Column, kind: str) -> Column:
     """The confirmed spans of a kind with their scores."""
     test, pattern, valid, base, words = KINDS[kind]
-    confirmed = F.filter(located(text, pattern), lambda s: valid(s["found"]))
+    confirmed = F.filter(located(text, pattern, LEAD), lambda s: valid(s["found"]))
     scored = F.transform(confirmed, lambda s: F.struct(
         F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         F.when(F.lower(s["lead"]).rlike(words), base + 0.15).otherwise(base).alias("score"),
