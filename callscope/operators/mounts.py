@@ -27,6 +27,17 @@ def upsert_mounts(candidates: DataFrame) -> DataFrame:
     ).select(*MOUNT_KEY, "__m.MOUNT", "__m.device", remote_path(F.col("__m.device")).alias("REMOTE_PATH"))
 
 
+def first_mounts(candidates: DataFrame, vacuum: int = DEFAULT_VACUUM) -> DataFrame:
+    """Of the candidates of a host, device and vacuum period the one that counts, with all its columns and ``epoch``.
+
+    Taking it again from results of parts gives the result of all, so it can be kept from one micro-batch to the next."""
+    key = [*MOUNT_KEY, "epoch"]
+    rows = candidates.withColumn("epoch", mount_epoch(F.col("seen_at"), vacuum))
+    own = [c for c in rows.columns if c not in key]
+    first = F.min_by(F.struct(*own), F.struct("seen_at", "source", -F.col("line_no")))
+    return rows.groupBy(*key).agg(first.alias("__m")).select(*[c if c in key else f"__m.{c}" for c in rows.columns])
+
+
 def resolve_mounts(candidates: DataFrame, vacuum: int = DEFAULT_VACUUM) -> DataFrame:
     """One row per host, device and vacuum period: the first one seen sticks.
 

@@ -47,9 +47,12 @@ def attach_tags(
     late: DataFrame | None = None,
     time: str = "TIMESTAMP",
     slice_seconds: int = DEFAULT_SLICE_SECONDS,
+    ttl_seconds: int | None = None,
 ) -> DataFrame:
     """TAGS of each row's process: the newest exec at or before the row's time.
 
+    With ``ttl_seconds`` an exec longer ago than that is forgotten, as if there were none.
+
     ``execs`` has HOSTNAME, PID, ts, seq, TAGS. Rows without an earlier exec take the tags
     of ``late`` (HOSTNAME, PID, TAGS, one row per process), else an empty map. Without
     ``execs`` nothing is tracked and all maps are empty.
@@ -64,27 +67,29 @@ def attach_tags(
         return samples.withColumn("TAGS", no_tags())
     slice_of = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(slice_seconds))
     payload = [c for c in samples.columns if c not in (*PROCESS, "TAGS")]
+    # when the exec was; only carried along where it is asked for
+    aged = lambda at: [] if ttl_seconds is None else [at.alias("__at")]
     rows = samples.select(
         *PROCESS,
         slice_of(F.col(time)).alias("__slice"), F.col(time).cast("timestamp").alias("__ts"),
         F.lit(2).alias("__side"), F.lit(0).cast("long").alias("__seq"),
-        F.lit(None).cast(TAGS_TYPE).alias("TAGS"),
+        F.lit(None).cast(TAGS_TYPE).alias("TAGS"), *aged(F.lit(None).cast("timestamp")),
         F.struct(*payload).alias("__row"),
     )
     in_time = Window.partitionBy(*PROCESS).orderBy("__ts", "__seq")
     history = execs.select(
         *PROCESS,
         slice_of(F.col("ts")).alias("__slice"), F.col("ts").cast("timestamp").alias("__ts"),
-        F.col("seq").cast("long").alias("__seq"), F.col("TAGS").cast(TAGS_TYPE).alias("TAGS"),
+        F.col("seq").cast("long").alias("__seq"), F.col("TAGS").cast(TAGS_TYPE).alias("TAGS"), *aged(F.col("ts").cast("timestamp")),
     ).withColumn("__next", F.lead("__slice").over(in_time))
     # Itself, and at the start of each later slice up to the one of the next exec.
     places = F.sequence("__slice", F.coalesce("__next", "__slice"))
-    repeated = history.select(*PROCESS, "__ts", "__seq", "TAGS", F.col("__slice").alias("__from"), F.explode(places).alias("__slice"))
+    repeated = history.select(*PROCESS, "__ts", "__seq", "TAGS", *aged(F.col("__at")), F.col("__slice").alias("__from"), F.explode(places).alias("__slice"))
     itself = F.col("__slice") == F.col("__from")
     known = repeated.select(
         *PROCESS, "__slice",
         F.when(itself, F.col("__ts")).otherwise(F.timestamp_seconds(F.col("__slice") * slice_seconds)).alias("__ts"),
-        F.when(itself, F.lit(1)).otherwise(F.lit(0)).alias("__side"), "__seq", "TAGS",
+        F.when(itself, F.lit(1)).otherwise(F.lit(0)).alias("__side"), "__seq", "TAGS", *aged(F.col("__at")),
         F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"),
     )
     inside = (
@@ -94,10 +99,16 @@ def attach_tags(
     )
     walked = rows.unionByName(known).withColumn("__own", F.last("TAGS", ignorenulls=True).over(inside))
     newest = history.where(F.col("__next").isNull()).select(
-        *PROCESS, F.col("TAGS").alias("__newest"), F.col("__slice").alias("__since")
+        *PROCESS, F.col("TAGS").alias("__newest"), F.col("__slice").alias("__since"), *[c.alias("__newest_at") for c in aged(F.col("__at"))]
     )
+    if ttl_seconds is not None:
+        walked = walked.withColumn("__own_at", F.last("__at", ignorenulls=True).over(inside))
     tagged = lookup(walked.where("__side = 2"), newest, PROCESS)
-    found = F.coalesce("__own", F.when(F.col("__since") < F.col("__slice"), F.col("__newest")))
+    later = F.col("__since") < F.col("__slice")
+    found = F.coalesce("__own", F.when(later, F.col("__newest")))
+    if ttl_seconds is not None:
+        at = F.coalesce("__own_at", F.when(later, F.col("__newest_at")))
+        found = F.when(F.unix_micros("__ts") - F.unix_micros(at) <= ttl_seconds * 1_000_000, found)
     if late is not None:
         tagged = lookup(tagged, late.select(*PROCESS, F.col("TAGS").alias("__late")), PROCESS)
         found = F.coalesce(found, "__late")

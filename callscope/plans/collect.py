@@ -54,6 +54,7 @@ def samples_from_counters(
     vacuum: int = DEFAULT_VACUUM,
     tracked_from_table: bool = False,
     tag_slice_seconds: int = DEFAULT_SLICE_SECONDS,
+    tag_ttl_seconds: int | None = None,
 ) -> DataFrame:
     """Samples (SAMPLE_COLUMNS) of flat counters, in the fixed order
     mount, tags, tag filter, grouping, masking.
@@ -66,7 +67,7 @@ def samples_from_counters(
     """
     check_options(tracked, tag_filter, anon_fields, tracked_from_table)
     located = attach_mounts(counters.drop("TID"), mounts, ["MOUNT"], vacuum)
-    tagged = attach_tags(located, execs, late, slice_seconds=tag_slice_seconds)
+    tagged = attach_tags(located, execs, late, slice_seconds=tag_slice_seconds, ttl_seconds=tag_ttl_seconds)
     if tag_filter is not None:
         tagged = filter_stats(tagged, tracked, tag_filter)
     group = squash_processes if squash_pid else keep_processes

@@ -39,3 +39,57 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop's path, its file system): whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    place, system = _file_system(spark, path)
+    system.delete(place, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place, system = _file_system(spark, path)
+    return system.exists(place)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders directly in a folder, sorted; none if it is not there."""
+    place, system = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(place)) if system.exists(place) else []
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename inside one store; the target must not be there."""
+    (old, system), (new, _) = _file_system(spark, source), _file_system(spark, target)
+    system.mkdirs(new.getParent())
+    if not system.rename(old, new):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one step: under another name first, then renamed over an older one."""
+    place, system = _file_system(spark, path)
+    part, _ = _file_system(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = system.create(part, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    system.delete(place, False)
+    if not system.rename(part, place):
+        raise OSError(f"cannot write {path}")
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None."""
+    place, system = _file_system(spark, path)
+    if not system.exists(place):
+        return None
+    stream = system.open(place)
+    text = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    stream.close()
+    return text

@@ -387,7 +387,7 @@ def build() -> dict[str, str]:
     )
     # Spark holds late rows against the watermark of the micro-batch before.
     late = f"""arriving AS (
-      SELECT *, greatest(0, least(7, floor((epoch_us(TS) // 1000000 + SEQ % 3 * 21600 - 1704067200) * 8 / (30 * 86400)))) AS part FROM calls),
+      SELECT *, {_part("SEQ", "epoch_us(TS)", VERY_LATE, 8)} AS part FROM calls),
     marks AS (SELECT part, max(epoch_us(TS)) // 1000 - 3600000 AS mark FROM arriving GROUP BY part),
     seen AS (SELECT * FROM arriving a WHERE (epoch_us(TS) // {DAY * 1000000} + 1) * {DAY * 1000}
       > coalesce((SELECT max(mark) FROM marks m WHERE m.part < a.part - 1), 0))"""
@@ -400,4 +400,153 @@ def build() -> dict[str, str]:
         ON s.HOSTNAME = x.HOSTNAME AND s.PID = x.PID AND s.ts >= x.ts"""
     q["stream_samples"] = q["probe_samples"]
     q["stream_samples_sliced"] = q["probe_samples"]
+    _add_kept_state(q)
+    _add_sinks(q, narrow, wide, tag)
     return q
+
+
+LATE, VERY_LATE = 6 * HOUR, 6 * DAY
+TTL = 6 * HOUR
+
+
+def _part(seq: str, micros: str, late: int = LATE, parts: int = 4) -> str:
+    """The part in which an event arrives."""
+    return f"CAST(greatest(0, least({parts - 1}, floor(({micros} // 1000000 + {seq} % 3 * {late} - 1704067200) * {parts} / (30 * 86400)))) AS BIGINT)"
+
+
+def _arrived(late: int = LATE, delay: int = DAY, width: int = DAY) -> str:
+    """Hits with their part, and for each part the time up to which intervals are over after it."""
+    return f"""arrived AS (SELECT *, {_part("seq", "t0", late)} AS part FROM hits),
+overs AS (
+  SELECT part, ((max(max(t)) OVER (ORDER BY part) - {delay * 1000000}) // {width * 1000000}) * {width * 1000000} AS until
+  FROM arrived GROUP BY part)"""
+
+
+_EXEC_PARTS = f"exec_parts AS (SELECT HOSTNAME, PID, ts, event_id AS seq, {_part('event_id', 'epoch_us(ts)')} AS part, {TAG_TEXT} AS tags FROM ev WHERE event_type = 'signup' AND (k % 2 = 0 OR k % 3 = 0))"
+
+
+def _sample_rows(width: int = DAY) -> str:
+    return (
+        f"SELECT CAST({width} AS BIGINT) AS TIMEDELTA, TIMESTAMP, HOSTNAME, PID, UID, COMM, "
+        f"{seconds()}, TAGS, MOUNT, REMOTE_PATH FROM grouped"
+    )
+
+
+def _add_kept_state(q: dict[str, str]) -> None:
+    """Streams that keep rows from one micro-batch to the next."""
+    in_time = f"in_time AS (SELECT * FROM paired WHERE DURATION_NS <= {TTL * 1000000000})"
+    remembered = f"""tagged AS (
+  SELECT l.*, CASE WHEN epoch_us(l.TIMESTAMP) - epoch_us(x.ts) <= {TTL * 1000000} THEN x.tags ELSE '' END AS TAGS
+  FROM located l ASOF LEFT JOIN execs x ON l.HOSTNAME = x.HOSTNAME AND l.PID = x.PID AND l.TIMESTAMP >= x.ts)"""
+    q["stream_ttl"] = with_(EVENTS, PROBE_EVENTS, in_time, counters(DAY, "in_time"), MOUNTS, LOCATED, EXECS, remembered, SQUASH) + _sample_rows()
+    q["stream_ttl_state"] = with_(EVENTS, PROBE_EVENTS, _arrived(), _EXEC_PARTS) + f"""
+      , ready AS (
+        SELECT o.part AS batch, until, a.*, row_number() OVER (PARTITION BY o.part, HOSTNAME, TID ORDER BY t DESC, seq DESC, phase DESC) AS n
+        FROM overs o JOIN arrived a ON a.part <= o.part AND t < until),
+      known AS (
+        SELECT o.part AS batch, until, epoch_us(ts) AS t, HOSTNAME, PID,
+               row_number() OVER (PARTITION BY o.part, HOSTNAME, PID, epoch_us(ts) < until ORDER BY ts DESC, seq DESC) AS n
+        FROM overs o JOIN exec_parts e ON e.part <= o.part)
+      SELECT o.part AS batch, 'rows' AS name,
+             (SELECT count(*) FROM arrived a WHERE a.part <= o.part AND t >= until)
+             + (SELECT count(*) FROM ready r WHERE r.batch = o.part AND n = 1 AND phase = 'E' AND t >= o.until - {TTL * 1000000}) AS n
+      FROM overs o
+      UNION ALL SELECT o.part, 'execs', (SELECT count(*) FROM known k WHERE k.batch = o.part
+        AND (t >= o.until OR (n = 1 AND t >= o.until - {TTL * 1000000}))) FROM overs o"""
+    q["stream_late_rows"] = with_(EVENTS, PROBE_EVENTS, _arrived(VERY_LATE, HOUR)) + """
+      SELECT HOSTNAME, TID, seq, phase, t * 1000 AS t_ns, a.part AS batch
+      FROM arrived a JOIN overs o ON o.part = a.part - 1 WHERE t < until"""
+    # a process is asked in the first micro-batch that counts it while no exec of it has come
+    asked = """delivered AS (
+      SELECT part, until, coalesce(lag(until) OVER (ORDER BY part), 0) AS since, row_number() OVER (ORDER BY part) AS n
+      FROM (SELECT part, until FROM (SELECT *, lag(until) OVER (ORDER BY part) AS was FROM overs) WHERE until > coalesce(was, 0)
+            UNION ALL SELECT 4, 9000000000000000)),
+    counted AS (
+      SELECT DISTINCT HOSTNAME, PID, d.part, d.n FROM counters c JOIN delivered d ON epoch_us(TIMESTAMP) > since AND epoch_us(TIMESTAMP) <= until),
+    asked AS (
+      SELECT HOSTNAME, PID, min(n) AS n FROM counted c WHERE NOT EXISTS (
+        SELECT 1 FROM exec_parts e WHERE e.HOSTNAME = c.HOSTNAME AND e.PID = c.PID AND e.part <= c.part) GROUP BY HOSTNAME, PID),
+    tagged AS (
+      SELECT l.*, coalesce(x.tags, CASE WHEN l.PID % 2 = 0 THEN 'LATE=' || a.n END, '') AS TAGS
+      FROM located l ASOF LEFT JOIN execs x ON l.HOSTNAME = x.HOSTNAME AND l.PID = x.PID AND l.TIMESTAMP >= x.ts
+      LEFT JOIN asked a ON a.HOSTNAME = l.HOSTNAME AND a.PID = l.PID)"""
+    q["stream_late_tags"] = with_(
+        EVENTS, PROBE_EVENTS, _arrived(), _EXEC_PARTS, counters(DAY, "paired"), MOUNTS, LOCATED, EXECS, asked, SQUASH
+    ) + _sample_rows()
+    period = DAY // 4 * 1000000
+    seen = f"""seen AS (
+      SELECT *, row_number() OVER (PARTITION BY HOSTNAME, dev, epoch ORDER BY ts, event_id % 3, event_id DESC) AS rn
+      FROM (SELECT HOSTNAME, CAST(k % 30 AS BIGINT) AS dev, ts, event_id, epoch_us(ts) // {period} AS epoch FROM ev WHERE event_type = 'signup')),
+    located AS (
+      SELECT c.* EXCLUDE (epoch), coalesce('/mnt/' || m.event_id, '') AS MOUNT, coalesce('/export/' || m.event_id, '') AS REMOTE_PATH
+      FROM (SELECT *, (epoch_us(TIMESTAMP) - 1) // {period} AS epoch FROM counters) c
+      ASOF LEFT JOIN (SELECT * FROM seen WHERE rn = 1) m ON c.HOSTNAME = m.HOSTNAME AND c.SBDEV = m.dev AND c.epoch >= m.epoch)"""
+    q["stream_mounts"] = with_(EVENTS, PROBE_EVENTS, counters(DAY, "paired"), seen, EXECS, TAGGED, SQUASH) + _sample_rows()
+
+
+def _add_sinks(q: dict[str, str], narrow: str, wide: str, tag) -> None:
+    """Sinks that rotate, retry, store once, and learn."""
+    stored = f"SELECT TIMESTAMP, HOSTNAME, COMM, {narrow}, {wide}, MOUNT, TAGS, REMOTE_PATH"
+    day = "strftime(TIMESTAMP, '%Y-%m-%d') AS date"
+    q["sink_retry"] = with_(_sample_view(DAY, True)) + f"{stored}, {tag('JOBID')}, {tag('SCHEDID')}, {day}, CAST(1 AS BIGINT) AS retries FROM samples"
+    q["sink_once"] = with_(_sample_view(DAY, True)) + f"SELECT TIMESTAMP, HOSTNAME, COMM, READ_COUNT, {tag('JOBID')} FROM samples"
+    q["sink_source"] = q["samples_squash"]
+    # The names known in the first half are those of the first column; an exec without any of them does not count there.
+    half = """cut AS (SELECT until FROM overs WHERE part = 1),
+    job_execs AS (SELECT HOSTNAME, PID, ts, 'JOBID=' || (user_id % 7) AS tags FROM ev WHERE event_type = 'signup' AND k % 2 = 0),
+    tagged AS (
+      SELECT l.*, CASE WHEN epoch_us(l.TIMESTAMP) <= until THEN coalesce(j.tags, '') ELSE coalesce(x.tags, '') END AS TAGS
+      FROM located l ASOF LEFT JOIN execs x ON l.HOSTNAME = x.HOSTNAME AND l.PID = x.PID AND l.TIMESTAMP >= x.ts
+      ASOF LEFT JOIN job_execs j ON l.HOSTNAME = j.HOSTNAME AND l.PID = j.PID AND l.TIMESTAMP >= j.ts, cut)"""
+    grouped = _grouped("TIMESTAMP, HOSTNAME, MOUNT, COMM, TAGS", ["PID", "UID", "REMOTE_PATH"])
+    base = with_(
+        EVENTS, PROBE_EVENTS, _arrived(), counters(DAY, "paired"), MOUNTS, LOCATED, EXECS,
+        half, grouped,
+        f"samples AS (SELECT CAST({DAY} AS BIGINT) AS TIMEDELTA, TIMESTAMP, HOSTNAME, PID, UID, COMM, {seconds()}, TAGS, MOUNT, "
+        "REMOTE_PATH, epoch_us(TIMESTAMP) <= until AS early FROM grouped, cut)",
+    )
+    q["stream_learned"] = base + (
+        f"{stored}, {tag('JOBID')}, CASE WHEN NOT early THEN {tag('SCHEDID').removesuffix(' AS ENV_SCHEDID')} END AS ENV_SCHEDID, {day} FROM samples"
+    )
+    ring = with_(EVENTS, CALLS, counters(HOUR), f"""batches AS (
+      SELECT *, CAST((epoch_us(TIMESTAMP) // 1000000 - 1704067200 - {HOUR}) // {30 * DAY // 8} AS BIGINT) AS batch FROM counters),
+    held AS (
+      SELECT b.batch, HOSTNAME, TIMESTAMP, row_number() OVER (PARTITION BY b.batch, HOSTNAME ORDER BY TIMESTAMP DESC) AS n
+      FROM range(8) b(batch) JOIN (SELECT DISTINCT HOSTNAME, TIMESTAMP, batch AS came FROM batches) ON came <= b.batch)""")
+    q["stream_ring"] = ring + "SELECT c.* FROM counters c SEMI JOIN (SELECT * FROM held WHERE batch = 7 AND n <= 150) h USING (HOSTNAME, TIMESTAMP)"
+    q["stream_ring_usage"] = ring + """
+      SELECT batch, HOSTNAME, least(count(*), 150) AS samples, least(count(*), 150) / 150 * 100.0 AS usage_pct,
+             least(count(*), 150) / 150 * 100.0 > 80 AS over_limit FROM held GROUP BY batch, HOSTNAME"""
+    q["scrape_drain"] = q["metrics_long"].replace(
+        "SELECT TIMESTAMP, HOSTNAME, UID, COMM, MOUNT, REMOTE_PATH, JOBID, ",
+        f"SELECT CAST(least((epoch_us(TIMESTAMP) // 1000000 - 1704067200) // {5 * DAY}, 5) // 2 + 1 AS BIGINT) AS scrape, "
+        "TIMESTAMP, HOSTNAME, UID, COMM, MOUNT, REMOTE_PATH, JOBID, ", 1,
+    )
+    q["sink_rotation"] = _rotation(6, 5 * DAY, int(0.2 * 1024 * 1024), 3, 50_000)
+
+
+def _rotation(batches: int, width: int, size: int, backups: int, lane_bytes: int) -> str:
+    """Volumes of JSON lines, batch by batch: a running sum over lanes (by a hash of the line) and the lines in them."""
+    names = ["HOSTNAME", "TID", "PID", "UID", "COMM", "SBDEV", "SEQ", *STAT_COLUMNS]
+    packed = ", ".join(["'TIMESTAMP': strftime(TIMESTAMP, '%Y-%m-%dT%H:%M:%S')", *[f"'{c}': {c}" for c in names]])
+    parts = [with_(EVENTS, CALLS, counters(DAY), f"""lines AS (
+      SELECT (epoch_us(TIMESTAMP) // 1000000 - 1704067200) // {width} AS batch, CAST(to_json({{{packed}}}) AS VARCHAR) AS value FROM counters),
+    totals AS (
+      SELECT batch, sum(strlen(value) + 1) AS total, {size} - max(strlen(value) + 1) AS room FROM lines GROUP BY batch),
+    laned AS (
+      SELECT l.*, strlen(value) + 1 AS bytes, room, CAST('0x' || substr(md5(value), 1, 8) AS BIGINT) % CAST(ceil(total / {lane_bytes}) AS BIGINT) AS lane
+      FROM lines l JOIN totals USING (batch)),
+    ended AS (SELECT *, sum(bytes) OVER (PARTITION BY batch ORDER BY lane, value ROWS UNBOUNDED PRECEDING) AS until FROM laned),
+    state0 AS (SELECT 0 AS volume, 0 AS used)""").rstrip()]
+    for k in range(batches):
+        parts.append(f"""
+    put{k} AS (SELECT e.*, s.volume + (until + used - 1) // room AS volume, s.volume AS open, used FROM ended e, state{k} s WHERE batch = {k}),
+    state{k + 1} AS (
+      SELECT volume, CAST(sum(bytes) + max(CASE WHEN volume = open THEN used ELSE 0 END) AS BIGINT) AS used FROM put{k}
+      WHERE volume = (SELECT max(volume) FROM put{k}) GROUP BY volume)""")
+    every = " UNION ALL ".join(f"SELECT volume, batch, bytes, value FROM put{k}" for k in range(batches))
+    return ",".join(parts) + f""",
+    every AS ({every}),
+    oldest AS (SELECT least((SELECT min(volume) FROM put{batches - 1}), (SELECT max(volume) FROM every) - {backups}) AS volume)
+    SELECT CAST(volume AS BIGINT) AS volume, CAST(batch AS BIGINT) AS batch, count(*) AS samples, CAST(sum(bytes) AS BIGINT) AS bytes, min(value) AS first_line
+    FROM every WHERE volume >= (SELECT volume FROM oldest) GROUP BY volume, batch"""

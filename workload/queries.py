@@ -32,8 +32,8 @@ from callscope.operators.retention import retained_files
 from callscope.operators.stats import anonymize, filter_stats, group_stats
 from callscope.operators.tagging import attach_tags, live_tags, tag_key_drift
 from callscope.plans.collect import collect_samples
-from callscope.plans.storage import scratch_path
-from callscope.sinks import JsonFileSink, MetricsSink, TableSink, fan_out
+from callscope.plans.storage import delete_path, scratch_path
+from callscope.sinks import BufferSink, JsonFileSink, MetricsSink, TableSink, fan_out, make_sink
 from callscope.sinks.table import create_sample_table
 from callscope.sources import logs
 from callscope.sources.mounts import parse_mountinfo, parse_partitions, read_mountinfo
@@ -190,12 +190,7 @@ def mount_precedence(spark, d):
 
 def mount_asof(spark, d):
     """Devices collected now and then: most periods of a device have no candidate of their own."""
-    ev, n = views.events(spark, d), F.col("event_id")
-    seen = ev.where("event_type = 'signup'").select(
-        "HOSTNAME", F.concat(F.lit("0:"), F.col("k") % 30).alias("devt"),
-        F.concat(F.lit("/mnt/"), n).alias("MOUNT"), F.concat(F.lit("10.0.0.1:/export/"), n).alias("device"),
-        (n % 3).cast("int").alias("source"), F.col("ts").alias("seen_at"), n.alias("line_no"),
-    )
+    seen = views.seen_mounts(views.events(spark, d))
     found = attach_mounts(views.calls(spark, d), resolve_mounts(seen, vacuum=DAY // 4), vacuum=DAY // 4, time="TS")
     return found.select("SEQ", "HOSTNAME", "SBDEV", "MOUNT", "REMOTE_PATH")
 
@@ -419,13 +414,13 @@ def source_parts(spark, d):
 
 
 def source_mountinfo(spark, d):
-    """One file per host and process, as collected; written by Spark, a file per folder."""
+    """One file per host and process, as collected: the lines of a process are one task's."""
     path = scratch_path(spark, "mountinfo")
     cust = F.col("c_custkey")
     lines = _mount_lines(spark, d).select(
         F.concat(F.lit("host"), cust % 3).alias("host"), F.when(cust % 2 == 0, F.lit("self")).otherwise(F.lit("77")).alias("pid"), "value"
     )
-    lines.repartition(1).write.partitionBy("host", "pid").text(path)
+    lines.repartition("host", "pid").write.partitionBy("host", "pid").text(path)
     found = read_mountinfo(spark, f"{path}/*/*/*", r"host=([^/]+)/pid=([^/]+)/[^/]+$")
     return found.select("HOSTNAME", "devt", "MOUNT", "device", "source")
 
@@ -472,6 +467,115 @@ def sink_fanout(spark, d):
     return plain(own.join(total, ["HOSTNAME", "TIMESTAMP"], "full"))
 
 
+def sink_rotation(spark, d):
+    """Two days of counters per micro-batch in volumes of 0.2 MB, each micro-batch replayed; what is left of them, by volume."""
+    sink = JsonFileSink(scratch_path(spark, "rotated"), max_size_mb=0.2, max_backups=3, lane_bytes=50_000)
+    counters = count_calls(views.calls(spark, d), DAY)
+    for batch_id in range(6):
+        rows = counters.where(F.floor((F.unix_seconds("TIMESTAMP") - 1704067200) / F.lit(5 * DAY)) == batch_id)
+        for _ in range(2):
+            sink.write(rows, batch_id)
+    lines = spark.read.text(sink.path)
+    return lines.groupBy("volume", "batch").agg(
+        F.count("*").alias("samples"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.min("value").alias("first_line")
+    ).select(F.col("volume").cast("long").alias("volume"), F.col("batch").cast("long").alias("batch"), "samples", "bytes", "first_line")
+
+
+def sink_retry(spark, d):
+    """A column that is added after the schema was read: the first write fails, the second one has it."""
+    table = f"callscope_check.samples_{uuid.uuid4().hex[:12]}"
+    create_sample_table(spark, table)
+    spark.sql(f"ALTER TABLE {table} ADD COLUMNS (ENV_JOBID STRING)")
+    sink = TableSink(table, learn_tags=True)
+    sink.setup(spark)
+    spark.sql(f"ALTER TABLE {table} ADD COLUMNS (ENV_SCHEDID STRING)")
+    sink.write(samples(spark, d), 0)
+    return plain(spark.table(table).drop("batch_id").withColumn("retries", F.lit(sink.retries).cast("long")))
+
+
+def sink_once(spark, d):
+    """A table without partitions: every micro-batch is replayed, one after it was cut off before the ledger had it."""
+    table = f"callscope_check.plain_{uuid.uuid4().hex[:12]}"
+    spark.sql("CREATE DATABASE IF NOT EXISTS callscope_check")
+    spark.sql(f"CREATE TABLE {table} (TIMESTAMP TIMESTAMP, HOSTNAME STRING, COMM STRING, READ_COUNT BIGINT, ENV_JOBID STRING) USING parquet")
+    rows, ledger = samples(spark, d), scratch_path(spark, "ledger")
+    for batch_id in (0, 1, 2):
+        part = rows.where(F.pmod(F.xxhash64("HOSTNAME", "COMM"), F.lit(3)) == batch_id)
+        for again in (False, True):
+            sink = TableSink(table, ledger=ledger)
+            sink.setup(spark)
+            sink.write(part, batch_id)
+            if batch_id == 1 and not again:
+                delete_path(spark, f"{ledger}/{batch_id}")
+    return plain(spark.table(table))
+
+
+def sink_source(spark, d):
+    """Stored through a registered data source, one batch twice, and read back through it."""
+    path = scratch_path(spark, "source")
+    sink, rows = make_sink("source", path=path), samples(spark, d)
+    sink.setup(spark)
+    for batch_id in (0, 1, 0):
+        sink.write(rows.where(F.pmod(F.xxhash64("HOSTNAME"), F.lit(2)) == batch_id), batch_id)
+    return plain(spark.read.format(sink.source.name()).load(path))
+
+
+def _hourly_batches(spark, d, parts=8):
+    """Counters by the hour, in micro-batches of some days each."""
+    counters = count_calls(views.calls(spark, d), HOUR)
+    days = 30 * DAY // parts
+    for batch_id in range(parts):
+        since = F.unix_seconds("TIMESTAMP") - 1704067200 - HOUR
+        yield batch_id, counters.where(F.floor(since / F.lit(days)) == batch_id)
+
+
+def _filled_buffer(spark, d):
+    buffer = BufferSink(scratch_path(spark, "buffer"), buffer_size=150)
+    for batch_id, rows in _hourly_batches(spark, d):
+        buffer.write(rows, batch_id)
+        if batch_id in (0, 5):
+            buffer.write(rows, batch_id)  # replayed
+    return buffer
+
+
+def stream_ring(spark, d):
+    """What the buffer holds after eight micro-batches."""
+    return plain(_filled_buffer(spark, d).samples(spark))
+
+
+def stream_ring_usage(spark, d):
+    """How full each host's buffer was after each of them."""
+    return plain(_filled_buffer(spark, d).usage(spark).withColumn("batch", F.col("batch").cast("long")))
+
+
+def scrape_drain(spark, d):
+    """Three scrapes between micro-batches; the second one fails after it has stored its rows and is repeated."""
+    buffer, out = BufferSink(scratch_path(spark, "buffer"), buffer_size=100_000), scratch_path(spark, "scrapes")
+    rows = _command_samples(spark, d)
+    failing = {2}
+
+    def store(held, number):
+        to_metrics(held, ["JOBID"]).write.mode("overwrite").parquet(f"{out}/scrape={number}")
+        if number in failing:
+            failing.remove(number)
+            raise ConnectionError("the scraper went away")
+
+    for batch_id in range(6):
+        days = F.floor((F.unix_seconds("TIMESTAMP") - 1704067200) / F.lit(5 * DAY))
+        part = rows.where(F.least(days, F.lit(5)) == batch_id)
+        buffer.write(part, batch_id)
+        if batch_id in (1, 3, 5):
+            try:
+                buffer.scrape(spark, store)
+            except ConnectionError:
+                buffer.write(part, batch_id)  # replayed meanwhile: the scrape has it already
+                buffer.scrape(spark, store)
+    buffer.scrape(spark, store)  # nothing since
+    scraped = spark.read.parquet(out)
+    label = [F.try_element_at("labels", F.lit(n)).alias(n) for n in _LABELS]
+    return plain(scraped.select(F.col("scrape").cast("long").alias("scrape"), "TIMESTAMP", *label, "name", "help", "value"))
+
+
 def stream_tumble(spark, d):
     return plain(streams.tumbled_counters(spark, d, DAY))
 
@@ -496,6 +600,38 @@ def stream_samples_sliced(spark, d):
     return plain(streams.sliced_samples(spark, d, DAY).select(*SAMPLE_COLUMNS))
 
 
+def stream_ttl(spark, d):
+    return plain(streams.forgetting(spark, d)[0].select(*SAMPLE_COLUMNS))
+
+
+def stream_ttl_state(spark, d):
+    """Rows that are kept after each micro-batch but the last, of open calls and of execs."""
+    kept = streams.forgetting(spark, d)[1].where(F.col("name").isin("rows", "execs") & (F.col("batch") < streams.FEW_PARTS))
+    return plain(kept.withColumn("batch", F.col("batch").cast("long")))
+
+
+def stream_late_rows(spark, d):
+    late = streams.set_aside(spark, d)
+    return plain(late.select("HOSTNAME", "TID", "seq", "phase", "t_ns", F.col("batch").cast("long").alias("batch")))
+
+
+def stream_late_tags(spark, d):
+    return plain(streams.asked_late(spark, d).select(*SAMPLE_COLUMNS))
+
+
+def stream_mounts(spark, d):
+    return plain(streams.mounts_seen(spark, d, DAY // 4).select(*SAMPLE_COLUMNS))
+
+
+def stream_learned(spark, d):
+    """A tag column is added when half of the events have arrived; processes that started before have it, too."""
+    table = f"callscope_check.samples_{uuid.uuid4().hex[:12]}"
+    create_sample_table(spark, table)
+    spark.sql(f"ALTER TABLE {table} ADD COLUMNS (ENV_JOBID STRING)")
+    stored = streams.learned_names(spark, d, table, lambda: spark.sql(f"ALTER TABLE {table} ADD COLUMNS (ENV_SCHEDID STRING)"))
+    return plain(stored.drop("batch_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "call_counters": call_counters,
     "counter_flatten": counter_flatten,
@@ -548,4 +684,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_tags": stream_tags,
     "stream_samples": stream_samples,
     "stream_samples_sliced": stream_samples_sliced,
+    "sink_rotation": sink_rotation,
+    "sink_retry": sink_retry,
+    "sink_once": sink_once,
+    "sink_source": sink_source,
+    "stream_ring": stream_ring,
+    "stream_ring_usage": stream_ring_usage,
+    "scrape_drain": scrape_drain,
+    "stream_ttl": stream_ttl,
+    "stream_ttl_state": stream_ttl_state,
+    "stream_late_rows": stream_late_rows,
+    "stream_late_tags": stream_late_tags,
+    "stream_mounts": stream_mounts,
+    "stream_learned": stream_learned,
 }

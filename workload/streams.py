@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.operators.counters import count_calls
 from callscope.plans.storage import scratch_path
-from callscope.sinks import JsonFileSink
+from callscope.sinks import JsonFileSink, TableSink
 from callscope.sources.logs import stored_samples
 from callscope.streaming.collect import start_collect
+from callscope.streaming.kept import kept_sizes
 from callscope.streaming.pairing import stream_calls
 from callscope.streaming.sliced import start_sliced_collect
 from callscope.streaming.tagging import stream_tags
@@ -19,33 +23,55 @@ DELAY = "1 day"
 DELAY_SECONDS = 86400
 PARTS = 8
 LATE = 6 * 3600
+VERY_LATE = 6 * 86400
 START = 1704067200  # 2024-01-01
+HOUR, DAY = 3600, 86400
 
 
-def arrival(parts: int = PARTS):
-    """The file in which an event arrives: by time, two thirds of them six or twelve hours late."""
-    since = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 3 * LATE - START
+def arrival(parts: int = PARTS, late: int = LATE):
+    """The part in which an event arrives: by time, two thirds of them ``late`` seconds late or twice that."""
+    since = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 3 * late - START
     return F.least(F.greatest(F.floor(since * parts / (30 * 86400)), F.lit(0)), F.lit(parts - 1)).cast("int")
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a stream of ``PARTS`` files, one per micro-batch, ended by one row in the far future.
+class Arrivals:
+    """The event table as it arrives: in ``parts`` parts, each holding rows that are late against the one before, ended by
+    one row in the far future that moves the watermark past all others and never gets behind it itself.
 
-    Each file holds rows that are late against the one before. The last row moves the watermark
-    past all others. It never gets behind the watermark itself, so nothing of it comes out.
+    Each part is written by a job of its own into as many files as the table has partitions, at least two; a stream
+    takes the files of one part per micro-batch.
     """
-    table = views.table(spark, sf_dir, "events")
-    path = scratch_path(spark, "arriving-events")
-    arriving = table.withColumn("part", arrival())
-    # One task writes one file after the other; a stream takes them in the order of their times.
-    arriving.coalesce(1).sortWithinPartitions("part").write.partitionBy("part").parquet(path)
-    spark.range(1).select(
-        F.lit(-1).cast("long").alias("event_id"), F.expr("TIMESTAMP_NTZ'2100-01-01 00:00:00'").alias("ts"),
-        F.lit(0).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"),
-        F.lit('{"k": 0}').alias("props"),
-    ).coalesce(1).write.parquet(f"{path}/part={PARTS}")
-    raw = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
-    return views.with_caller(raw.withColumn("ts", F.col("ts").cast("timestamp")))
+
+    def __init__(self, spark: SparkSession, sf_dir: str, late: int = LATE, parts: int = PARTS):
+        self.spark = spark
+        self.parts = parts
+        self.table = views.table(spark, sf_dir, "events")
+        self.late = late
+        self.path = scratch_path(spark, "arriving-events")
+        self.files = max(2, self.table.rdd.getNumPartitions())
+
+    def write(self, first: int = 0, last: int | None = None) -> None:
+        """Let the parts from ``first`` up to, not including ``last`` arrive; without ``last`` all, and the end."""
+        for part in range(first, self.parts if last is None else last):
+            rows = self.table.where(arrival(self.parts, self.late) == part)
+            rows.repartition(self.files).write.parquet(f"{self.path}/part={part}")
+        if last is None:
+            self.spark.range(1).select(
+                F.lit(-1).cast("long").alias("event_id"), F.expr("TIMESTAMP_NTZ'2100-01-01 00:00:00'").alias("ts"),
+                F.lit(0).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"),
+                F.lit('{"k": 0}').alias("props"),
+            ).coalesce(1).write.parquet(f"{self.path}/part={self.parts}")
+
+    def stream(self) -> DataFrame:
+        raw = self.spark.readStream.schema(self.table.schema).option("maxFilesPerTrigger", self.files).parquet(f"{self.path}/part=*")
+        return views.with_caller(raw.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def event_stream(spark: SparkSession, sf_dir: str, late: int = LATE, parts: int = PARTS) -> DataFrame:
+    """All of the arriving events as a stream."""
+    arrivals = Arrivals(spark, sf_dir, late, parts)
+    arrivals.write()
+    return arrivals.stream()
 
 
 def finished(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -66,7 +92,7 @@ def tumbled_counters(spark: SparkSession, sf_dir: str, interval: int) -> DataFra
 
 def late_counters(spark: SparkSession, sf_dir: str, interval: int) -> DataFrame:
     """With a delay shorter than events are late: some come after their interval was closed."""
-    calls = views.calls_of(event_stream(spark, sf_dir)).withWatermark("TS", "1 hour")
+    calls = views.calls_of(event_stream(spark, sf_dir, VERY_LATE)).withWatermark("TS", "1 hour")
     return finished(spark, count_calls(calls, interval), "late-counters")
 
 
@@ -114,3 +140,89 @@ def _collected(spark, sf_dir, interval, start, execs, **options) -> DataFrame:
     )
     query.awaitTermination()
     return stored_samples(spark, sink.path)
+
+
+def collect(spark, rows, sinks, checkpoint, execs=None, mounts=None, delay_seconds=DELAY_SECONDS, **options) -> None:
+    """The sliced collector over what has arrived by now."""
+    start_sliced_collect(
+        views.probe_hits(rows), mounts=mounts, execs=execs, sinks=sinks, checkpoint=checkpoint, interval=DAY,
+        trigger={"availableNow": True}, delay_seconds=delay_seconds, **options,
+    ).awaitTermination()
+
+
+TTL = 6 * HOUR
+#: Parts of the queries that look at what a collector keeps.
+FEW_PARTS = 4
+
+
+def forgetting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(samples, rows kept after each micro-batch) of a collector that forgets after six hours."""
+    sink, checkpoint = JsonFileSink(scratch_path(spark, "samples")), scratch_path(spark, "samples-state")
+    rows = event_stream(spark, sf_dir, parts=FEW_PARTS)
+    collect(spark, rows, [sink], checkpoint, exec_stream(rows), lambda: views.mounts(spark, sf_dir), ttl_seconds=TTL)
+    return stored_samples(spark, sink.path), kept_sizes(spark, f"{checkpoint}/kept")
+
+
+def set_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that came too late for a collector whose delay is shorter than events are late."""
+    sink, aside = JsonFileSink(scratch_path(spark, "samples")), scratch_path(spark, "too-late")
+    rows = event_stream(spark, sf_dir, VERY_LATE, FEW_PARTS)
+    collect(
+        spark, rows, [sink], scratch_path(spark, "samples-state"), None, lambda: views.mounts(spark, sf_dir),
+        delay_seconds=HOUR, late_rows=aside,
+    )
+    return spark.read.parquet(aside)
+
+
+def asked_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples whose processes without an exec are looked up late, in an environment that changes from one micro-batch to the next."""
+    sink = JsonFileSink(scratch_path(spark, "samples"))
+    rows, known = event_stream(spark, sf_dir, parts=FEW_PARTS), views.events(spark, sf_dir).select("HOSTNAME", "PID").distinct()
+    asked = itertools.count(1)
+
+    def environment() -> DataFrame:
+        return known.where(F.col("PID") % 2 == 0).withColumn("TAGS", F.create_map(F.lit("LATE"), F.lit(str(next(asked)))))
+
+    collect(
+        spark, rows, [sink], scratch_path(spark, "samples-state"), exec_stream(rows), lambda: views.mounts(spark, sf_dir),
+        late=environment,
+    )
+    return stored_samples(spark, sink.path)
+
+
+def mounts_seen(spark: SparkSession, sf_dir: str, vacuum: int) -> DataFrame:
+    """Samples with mounts that come as a stream of their own, now and then."""
+    sink = JsonFileSink(scratch_path(spark, "samples"))
+    rows = event_stream(spark, sf_dir, parts=FEW_PARTS)
+    collect(
+        spark, rows, [sink], scratch_path(spark, "samples-state"), exec_stream(rows), views.seen_mounts(rows), vacuum=vacuum
+    )
+    return stored_samples(spark, sink.path)
+
+
+def learned_names(spark: SparkSession, sf_dir: str, table: str, add_column: Callable[[], None]) -> DataFrame:
+    """Samples in a table that gets another tag column when half of the events have arrived."""
+    arrivals, checkpoint = Arrivals(spark, sf_dir, parts=FEW_PARTS), scratch_path(spark, "samples-state")
+    sink = TableSink(table, learn_tags=True, refresh_seconds=0)
+    for first, last in ((0, FEW_PARTS // 2), (FEW_PARTS // 2, None)):
+        arrivals.write(first, last)
+        rows = arrivals.stream()
+        collect(
+            spark, rows, [sink], checkpoint, environ_stream(rows), lambda: views.mounts(spark, sf_dir),
+            learned=lambda: sink.tracked,
+        )
+        if last is not None:
+            add_column()
+    return spark.table(table)
+
+
+def environ_stream(rows: DataFrame) -> DataFrame:
+    """Started processes with their environment as it is."""
+    k, user, nul = F.col("k"), F.pmod("user_id", F.lit(7)), F.lit("\0")
+    text = F.concat(
+        F.lit("PATH=/bin"), nul, F.when(k % 2 == 0, F.concat(F.lit("JOBID="), user, nul)).otherwise(F.lit("")),
+        F.when(k % 3 == 0, F.concat(F.lit("SCHEDID="), k % 4, nul)).otherwise(F.lit("")),
+    )
+    return rows.where((F.col("event_type") == "signup") & ((k % 2 == 0) | (k % 3 == 0))).select(
+        "HOSTNAME", "PID", "ts", F.col("event_id").alias("seq"), text.alias("environ")
+    )

@@ -110,6 +110,16 @@ def mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def seen_mounts(rows: DataFrame) -> DataFrame:
+    """Sign-up events as mounts that are seen: most periods of a device have none of their own."""
+    n = F.col("event_id")
+    return rows.where("event_type = 'signup'").select(
+        "HOSTNAME", F.concat(F.lit("0:"), F.col("k") % 30).alias("devt"),
+        F.concat(F.lit("/mnt/"), n).alias("MOUNT"), F.concat(F.lit("10.0.0.1:/export/"), n).alias("device"),
+        (n % 3).cast("int").alias("source"), F.col("ts").alias("seen_at"), n.alias("line_no"),
+    )
+
+
 def probe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two probe hits per event; stretched so that the calls of a thread overlap."""
     return probe_hits(events(spark, sf_dir))
