@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from callscope.model import TABLE_SCHEMA
 from callscope.operators.conform import SchemaError, conform, tag_column_changes, tag_columns
-from callscope.sinks import ConsoleSink, JsonFileSink, MetricsSink, Sink, TableSink, fan_out, make_sink, register_sink
+from callscope.sinks import (
+    BufferSink, ConsoleSink, JsonFileSink, MetricsSink, Sink, SourceSink, TableSink, fan_out, make_sink, register_sink,
+)
 from callscope.sinks.kafka import KafkaSink, kafka_options, message_records
 from callscope.sinks.table import create_sample_table
 from callscope.sources.logs import stored_samples
@@ -190,12 +192,153 @@ def test_table_replaces_a_replayed_batch(spark, samples, table):
     assert "PartitionFilters: [isnotnull(date" in stored.where("date = '2024-08-14'")._jdf.queryExecution().toString()
 
 
-def test_files_keep_their_limits(spark, samples, tmp_path):
+def volumes(spark, sink):
+    rows = spark.read.text(sink.path).groupBy("volume").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.count("*").alias("n"))
+    return {r["volume"]: (r["bytes"], r["n"]) for r in rows.collect()}
+
+
+def test_small_batches_share_a_volume(spark, samples, tmp_path):
     sink = JsonFileSink(str(tmp_path / "out"), max_size_mb=1, max_backups=2)
     for n in range(5):
-        sink.write(samples.coalesce(1), n)
-    left = sorted({r["path"].split("batch=")[1][0] for r in sink.files(spark).collect()})
-    assert left == ["2", "3", "4"]
+        sink.write(samples, n)
+        sink.write(samples, n)  # replayed
+    assert stored_samples(spark, sink.path).count() == 20 and list(volumes(spark, sink)) == [0]
+
+
+def test_rotation_keeps_the_newest_batch_whole(spark, samples, tmp_path):
+    many = samples.crossJoin(spark.range(500)).withColumn("PID", F.col("id")).drop("id").repartition(20)
+    sink = JsonFileSink(str(tmp_path / "out"), max_size_mb=0.5, max_backups=1, lane_bytes=300_000)
+    sink.write(samples, 0)
+    sink.write(many, 1)
+    held = volumes(spark, sink)
+    assert stored_samples(spark, sink.path).where("batch = 1").count() == 2000  # more than the log may hold
+    assert max(held.values())[0] <= 512 * 1024 and min(b for b, _ in list(held.values())) > 0
+    sink.write(many.limit(900), 2)
+    held = volumes(spark, sink)
+    assert stored_samples(spark, sink.path).where("batch = 2").count() == 900
+    assert sorted(held)[-1] - sorted(held)[0] <= 3 and all(b <= 512 * 1024 for b, _ in held.values())
+    sink.write(samples.where("false"), 3)
+    assert volumes(spark, sink) == held
+
+
+def test_lines_longer_than_a_volume(spark, samples, tmp_path):
+    sink = JsonFileSink(str(tmp_path / "out"), max_size_mb=0.001, max_backups=10)
+    sink.write(samples, 0)
+    assert [n for _, n in volumes(spark, sink).values()] == [1, 1, 1, 1]
+
+
+def timed(spark, samples, count, start=0):
+    """One row for each of ``count`` intervals of two hosts."""
+    rows = spark.range(start, start + count).select(F.timestamp_seconds(F.col("id") * 5).alias("at"))
+    one = samples.limit(1).crossJoin(rows).withColumn("TIMESTAMP", F.col("at")).drop("at")
+    return one.withColumn("HOSTNAME", F.explode(F.array(F.lit("a"), F.lit("b"))))
+
+
+def test_buffer_drops_the_oldest_and_warns(spark, samples, tmp_path, caplog):
+    buffer = BufferSink(str(tmp_path / "buffer"), buffer_size=10)
+    buffer.write(timed(spark, samples, 8), 0)
+    assert not caplog.records  # 80 % is not above 80 %
+    buffer.write(timed(spark, samples, 1, 8), 1)
+    assert "90.00 %" in caplog.text
+    buffer.write(timed(spark, samples, 6, 9), 4)
+    buffer.write(timed(spark, samples, 6, 9), 4)  # replayed
+    held = buffer.samples(spark)
+    assert held.count() == 20 and held.agg(F.min(F.unix_seconds("TIMESTAMP"))).first()[0] == 25
+    usage = {(r["batch"], r["HOSTNAME"]): r["samples"] for r in buffer.usage(spark).collect()}
+    assert usage == {(b, h): n for b, n in ((0, 8), (1, 9), (4, 10)) for h in "ab"}
+    for batch_id in (5, 6):
+        buffer.write(timed(spark, samples, 10, batch_id * 100), batch_id)
+    left = sorted(p.name for p in (tmp_path / "buffer" / "rows").iterdir())
+    assert left == ["batch_id=5", "batch_id=6"]  # the newest, and what a replay of it starts from
+
+
+def test_scrapes_share_nothing_and_lose_nothing(spark, samples, tmp_path):
+    buffer, seen = BufferSink(str(tmp_path / "buffer")), {}
+
+    def deliver(rows, number, fail=False):
+        seen[number] = sorted(r[0] for r in rows.select(F.unix_seconds("TIMESTAMP")).where("HOSTNAME = 'a'").collect())
+        if fail:
+            raise ConnectionError("gone")
+
+    assert buffer.scrape(spark, deliver) is None
+    buffer.write(timed(spark, samples, 3), 0)
+    assert buffer.scrape(spark, deliver) == 1
+    buffer.write(timed(spark, samples, 3), 0)  # replayed after the scrape took it
+    assert buffer.samples(spark) is None
+    buffer.write(timed(spark, samples, 2, 3), 1)
+    with pytest.raises(ConnectionError):
+        buffer.scrape(spark, lambda rows, n: deliver(rows, n, fail=True))
+    again = BufferSink(str(tmp_path / "buffer"))  # a new driver
+    again.write(timed(spark, samples, 2, 5), 2)
+    assert again.scrape(spark, deliver) == 2 and seen[2] == [15, 20]
+    assert again.scrape(spark, deliver) == 3 and again.scrape(spark, deliver) is None
+    assert seen == {1: [0, 5, 10], 2: [15, 20], 3: [25, 30]}
+
+
+def test_ledger_stores_each_batch_once(spark, samples, table, tmp_path):
+    spark.sql(f"CREATE TABLE {table} (PID int, COMM string) USING parquet")
+    store = lambda batch_id: TableSink(table, ledger=str(tmp_path / "ledger")).write(samples, batch_id)
+    for batch_id in (0, 0, 1):
+        store(batch_id)
+    assert spark.table(table).count() == 8
+    (tmp_path / "ledger" / "1").unlink()  # cut off between moving and entering
+    store(1)
+    assert spark.table(table).count() == 8
+    spark.sql(f"CREATE TABLE {table}_p (PID int, COMM string) USING parquet PARTITIONED BY (COMM)")
+    with pytest.raises(ValueError, match="partitions"):
+        TableSink(f"{table}_p", ledger=str(tmp_path / "other")).write(samples, 0)
+    spark.sql(f"DROP TABLE {table}_p")
+
+
+def test_overwriting_leaves_the_session_alone(spark, samples, table):
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    create_sample_table(spark, table)
+    TableSink(table).write(samples, 0)
+    assert spark.conf.get(key) == before
+
+
+class FoundSink(Sink):
+    def write(self, batch, batch_id):
+        pass
+
+
+def test_sinks_of_installed_packages(monkeypatch, caplog):
+    from importlib.metadata import EntryPoint
+
+    from callscope.sinks import SINKS, base, discover_sinks
+
+    offered = [
+        EntryPoint("found", "test_sinks:FoundSink", "callscope.sinks"), EntryPoint("broken", "no_such_module:X", "callscope.sinks"),
+        EntryPoint("file", "test_sinks:FoundSink", "callscope.sinks"),
+    ]
+    monkeypatch.setattr(base, "entry_points", lambda group: [e for e in offered if e.group == group])
+    monkeypatch.setitem(SINKS, "found", None)
+    del SINKS["found"]
+    assert discover_sinks() == ["found"] and "broken" in caplog.text
+    assert type(make_sink("found")).__name__ == "FoundSink" and SINKS["file"] is JsonFileSink
+    monkeypatch.setattr(base, "entry_points", lambda group: [EntryPoint("wrong", "json:dumps", group)])
+    with pytest.raises(TypeError, match="wrong"):
+        discover_sinks()
+
+
+def test_source_writes_are_whole(spark, samples, tmp_path):
+    path = str(tmp_path / "source")
+    sink = SourceSink(path)
+    sink.setup(spark)
+    for batch_id in (0, 1, 0):
+        sink.write(samples, batch_id)
+    back = spark.read.format("callscope").load(path)
+    order = ["READDIR_DURATION", "COMM"]
+    assert back.count() == 8
+    assert back.orderBy(*order).limit(2).collect() == samples.orderBy(*order).limit(1).collect() * 2
+    fails = samples.withColumn("PID", F.when(F.col("COMM") == "bash", F.raise_error(F.lit("down")).cast("long")).otherwise(F.col("PID")))
+    with pytest.raises(Exception, match="down"):
+        fails.repartition(4).write.format("callscope").mode("append").save(path)
+    assert spark.read.format("callscope").load(path).count() == 8
+    assert not any((tmp_path / "source" / "_staged").iterdir())
+    samples.limit(1).write.format("callscope").mode("overwrite").save(path)
+    assert spark.read.format("callscope").load(path).count() == 1
 
 
 def test_messages_that_are_too_large_are_set_aside(spark, samples, tmp_path):

@@ -16,7 +16,9 @@ from callscope.sinks import JsonFileSink
 from callscope.sources.logs import probe_events, stored_samples
 from callscope.streaming.collect import start_collect, stop_collect, stream_counters
 from callscope.streaming.pairing import stream_calls
+from callscope.operators.mounts import attach_mounts
 from callscope.operators.tagging import attach_tags
+from callscope.streaming.kept import kept_sizes
 from callscope.streaming.sliced import SlicedCollector, start_sliced_collect, together
 from callscope.streaming.tagging import stream_tags
 
@@ -211,3 +213,104 @@ def test_missing_values_alike_in_tables_and_streams(spark, tmp_path):
     assert [tuple(r) for r in streamed] == [tuple(r) for r in stored.collect()]
     counted = count_calls(stored, 5).first()
     assert (counted["SBDEV"], counted["LOOKUP_ERRORS"], counted["LOOKUP_COUNT"]) == (-1, 0, 1)
+
+
+def seconds(t):
+    return utc(1970, 1, 1) + timedelta(seconds=t)
+
+
+def call_hit(pid, phase, t):
+    return ("h", pid, pid, 0, "c", "nfs_lookup", phase, t * 10**9, t, 1, 0, 0, 0, 0)
+
+
+def test_sliced_forgets_after_its_time(spark, tmp_path):
+    """Old execs and open calls leave the kept tables, and what they would have served is as if they had never been."""
+    seen = []
+
+    def deliver(counters, n):
+        seen.extend(attach_tags(counters, collector.execs, ttl_seconds=30).select("PID", "LOOKUP_COUNT", "TAGS").collect())
+
+    collector = SlicedCollector(str(tmp_path / "kept"), deliver, interval=5, delay_seconds=1, ttl_seconds=30)
+    batches = [
+        ([call_hit(p, "E", 3) for p in (1, 2)] + [call_hit(9, "E", 12)], [("h", p, seconds(1), p, {"JOB": str(p)}) for p in (1, 2, 3)]),
+        ([call_hit(1, "R", 20), call_hit(9, "R", 50)], []),
+        ([call_hit(2, "R", 60), call_hit(3, "E", 61), call_hit(3, "R", 62), call_hit(9, "E", 80)], [("h", 3, seconds(55), 9, {"JOB": "new"})]),
+    ]
+    for n, (hits, execs) in enumerate(batches):
+        collector(exec_batch(spark, hits, execs), n)
+    sizes = {(r["batch"], r["name"]): r["n"] for r in kept_sizes(spark, str(tmp_path / "kept")).collect()}
+    assert [sizes[n, "execs"] for n in range(3)] == [3, 0, 1]  # the state grows and falls
+    assert sizes[0, "rows"] == 3 and sizes[1, "rows"] == 1
+    assert sorted((r["PID"], r["LOOKUP_COUNT"], r["TAGS"].get("JOB")) for r in seen) == [(1, 1, "1"), (3, 1, "new")]
+
+
+def test_sliced_asks_once_for_late_tags(spark, tmp_path):
+    """The environment is read when a process is first counted without an exec; later changes and empty answers change nothing."""
+    seen, environment = [], {}
+
+    def deliver(counters, n):
+        seen.extend((n, r["PID"], r["TAGS"]) for r in attach_tags(counters, collector.execs, collector.late_tags).collect())
+
+    def late():
+        rows = [("h", p, tags) for p, tags in environment.items()]
+        return spark.createDataFrame(rows, "HOSTNAME string, PID long, TAGS map<string,string>")
+
+    collector = SlicedCollector(str(tmp_path / "kept"), deliver, interval=5, delay_seconds=1, late=late)
+    call = lambda p, t: [call_hit(p, "E", t), call_hit(p, "R", t + 1)]
+    environment[1] = {"JOB": "first"}
+    collector(exec_batch(spark, call(1, 1) + call(2, 1) + call(3, 1) + call(9, 10), [("h", 3, seconds(1), 0, {"JOB": "exec"})]), 0)
+    environment.update({p: {"JOB": "later"} for p in (1, 2, 3)})
+    collector(exec_batch(spark, call(1, 11) + call(2, 11) + call(4, 11) + call(9, 20), [("h", 2, seconds(16), 0, {"JOB": "exec"})]), 1)
+    collector(exec_batch(spark, call(2, 21) + call(9, 40), []), 2)
+    assert sorted(s for s in seen if s[1] != 9) == [
+        (0, 1, {"JOB": "first"}), (0, 2, {}), (0, 3, {"JOB": "exec"}), (1, 1, {"JOB": "first"}), (1, 2, {}), (1, 4, {}), (2, 2, {"JOB": "exec"}),
+    ]
+
+
+def test_sliced_sets_late_rows_aside(spark, tmp_path):
+    rows = random_events(8, 300)
+    batches = mixed_up(rows, 60, 80) + [[end_row()]]
+    counted, aside = {}, str(tmp_path / "late")
+    collector = SlicedCollector(
+        str(tmp_path / "kept"), lambda counters, n: counted.update({n: counters.collect()}), interval=5, delay_seconds=1, late_rows=aside,
+    )
+    for n, batch in enumerate(batches):
+        collector(spark.createDataFrame(batch, PROBE_SCHEMA), n)
+        collector(spark.createDataFrame(batch, PROBE_SCHEMA), n)
+    late = {(r["HOSTNAME"], r["TID"], r["t_ns"], r["seq"], r["phase"]) for r in spark.read.parquet(aside).collect()}
+    assert late
+    kept = [r for r in rows if (r[0], r[1], r[7], r[8], r[6]) not in late]
+    want = count_calls(pair_calls(spark.createDataFrame(kept, PROBE_SCHEMA)), 5).collect()
+    assert sorted(tuple(r) for part in counted.values() for r in part) == sorted(map(tuple, want))
+
+
+def test_sliced_keeps_the_mounts_in_force(spark, tmp_path):
+    """Of each device the mount of the newest period and those after it; the first one seen in a period stays."""
+    seen = []
+
+    def deliver(counters, n):
+        found = attach_mounts(counters, collector.mounts, vacuum=10)
+        seen.extend((n, r["SBDEV"], r["MOUNT"]) for r in found.collect())
+
+    collector = SlicedCollector(str(tmp_path / "kept"), deliver, interval=5, delay_seconds=1, vacuum=10)
+    mount = lambda dev, name, t, source=0: ("h", f"0:{dev}", f"/{name}", f"s:/{name}", source, seconds(t), 1)
+    call = lambda dev, t: [(*hit[:11], dev, 0, 0) for hit in (call_hit(dev, "E", t), call_hit(dev, "R", t + 1))]
+
+    def batch(hits, mounts):
+        return together(
+            spark.createDataFrame(hits, PROBE_SCHEMA), None,
+            spark.createDataFrame(mounts, "HOSTNAME string, devt string, MOUNT string, device string, source int, seen_at timestamp, line_no long"),
+        )
+
+    collector(batch(call(1, 1) + call(2, 1) + call(99, 12), [mount(1, "b", 2, 1), mount(1, "a", 2), mount(1, "c", 3), mount(2, "x", 1)]), 0)
+    collector(batch(call(1, 21) + call(2, 21) + call(99, 40), [mount(1, "d", 25), mount(1, "late", 4)]), 1)
+    assert sorted(s for s in seen if s[1] != 99) == [(0, 1, "/a"), (0, 2, "/x"), (1, 1, "/d"), (1, 2, "/x")]
+    kept = spark.read.parquet(f"{tmp_path}/kept/1/mounts")
+    assert sorted((r["devt"], r["MOUNT"]) for r in kept.collect()) == [("0:1", "/d"), ("0:2", "/x")]
+
+
+def test_kept_tables_of_another_batch_are_not_read(spark, tmp_path):
+    collector = SlicedCollector(str(tmp_path / "kept"), lambda counters, n: None, interval=5, delay_seconds=1)
+    collector(spark.createDataFrame([call_hit(1, "E", 1)], PROBE_SCHEMA), 0)
+    with pytest.raises(RuntimeError, match="micro-batch"):
+        collector(spark.createDataFrame([call_hit(1, "R", 2)], PROBE_SCHEMA), 2)
