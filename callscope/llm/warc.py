@@ -100,15 +100,16 @@ def _reconstructed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for header, packed in zip(batch.column("header").to_pylist(), batch.column("packed").to_pylist()):
             fields = parse_header(header)
             payload = unpack(packed) if packed is not None else b""
-            sound = len(payload) == int(fields["content-length"])
-            if fields["warc-type"] == "response":
-                sound &= "sha256:" + hashlib.sha256(payload).hexdigest() == fields["x-payload-strong-digest"]
-                sound &= "sha1:" + hashlib.sha1(payload).hexdigest() == fields["warc-payload-digest"]
+            digest, response = hashlib.sha1(payload).hexdigest(), fields["warc-type"] == "response"
+            sound = packed is not None and "sha256:" + hashlib.sha256(payload).hexdigest() == fields["x-payload-strong-digest"]
+            sound &= "sha1:" + digest == fields["warc-payload-digest"] and len(payload) == int(fields["x-payload-length"])
+            block = payload if response else b""  # a revisit's own block is empty: its payload is the one it refers to
+            sound &= len(block) == int(fields["content-length"])
             own, other = (re.sub(r"[^0-9-]", "", fields.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
             rows.append((
-                int(own) if own else None, header + payload + b"\r\n\r\n", fields["warc-type"],
-                int(other) if other else None, int(fields["x-payload-length"]),
-                fields["warc-payload-digest"].partition(":")[2], sound,
+                int(own) if own else None, header + block + b"\r\n\r\n", fields["warc-type"],
+                int(other) if other else None, len(payload) if packed is not None else None,
+                digest if packed is not None else None, sound,
             ))
         types = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         yield pa.RecordBatch.from_arrays(
@@ -120,14 +121,13 @@ _RECORDS = "page_id long, record binary, record_type string, refers_to long, pay
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records as bytes with the fields of their headers; ``sound`` where length and digests agree."""
+    """The records as bytes with the fields of their headers, and length and digest of their payloads, all rebuilt from
+    the payload table, those of revisits too; ``sound`` where length and digests agree with the header. A record
+    whose payload is missing has neither and is not sound."""
     records = spark.read.schema("page_id long, strong string, record_type string, header binary").parquet(f"{path}/records")
     payloads = spark.read.schema("strong string, packed binary").parquet(f"{path}/payloads")
-    address = F.when(F.col("record_type") == "response", F.col("strong")).alias("strong")
-    # revisits have no address here, so they match nothing and stay where they are
-    joined = records.select(address, "header").where("strong is not null").join(payloads, "strong", "left").select("header", "packed")
-    rest = records.where("record_type = 'revisit'").select("header", F.lit(None).cast("binary").alias("packed"))
-    return joined.unionAll(rest).mapInArrow(_reconstructed, _RECORDS)
+    joined = records.select("strong", "header").join(payloads, "strong", "left").select("header", "packed")
+    return joined.mapInArrow(_reconstructed, _RECORDS)
 
 
 def export_warc(records: DataFrame, path: str) -> None:

@@ -179,6 +179,24 @@ def test_archive_gives_back_every_record(spark, tmp_path):
     assert sorted(bytes(r["record"]) for r in back) == sorted(bytes(r["record"]) for r in records)
 
 
+def test_a_missing_payload_shows_in_all_its_records(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    path = str(tmp_path / "archive")
+    warc.write_archive(pages, path)
+    stored = spark.read.parquet(f"{path}/payloads")
+    lost = hashlib.sha256(b"x" * 2000).hexdigest()
+    changed = hashlib.sha256("é".encode() * 500).hexdigest()
+    other = stored.where(F.col("strong") == hashlib.sha256(b"short").hexdigest()).select(F.lit(changed).alias("strong"), "packed")
+    stored.where(~F.col("strong").isin(lost, changed)).unionAll(other).write.parquet(f"{tmp_path}/broken/payloads")
+    spark.read.parquet(f"{path}/records").write.parquet(f"{tmp_path}/broken/records")
+    rows = warc.read_archive(spark, f"{tmp_path}/broken").collect()
+    unsound = [(r["page_id"], r["record_type"], r["payload_bytes"]) for r in rows if not r["sound"]]
+    assert sorted(unsound, key=str) == sorted([
+        (1, "revisit", None), (2, "response", None), (2, "response", None), (None, "response", None),
+        (5, "revisit", 5), (6, "response", 5),
+    ], key=str)
+
+
 def test_empty_tables(spark):
     for module in (mixing, exact, lines, pii):
         assert module.query(empty(spark)).collect() == []
