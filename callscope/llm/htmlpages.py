@@ -58,9 +58,19 @@ def _boilerplate(r: Random, kind: str) -> tuple[str, int]:
         return f"{tag}<p>{_sentences(r, 1, 2)}</p>{end}", 1
     if kind == "form":
         return f"<form action='/s'><label>{_words(r, 1, 2)}</label><input name='q'><p>{_words(r, 2, 6)}</p></form>", 2
-    tag, end = r.choice([("<section class='comments'>", "</section>"), ("<div id='comments'>", "</div>"), ("<ol class='commentlist'>", "</ol>"), ("<div class='replies'>", "</div>")])
+    tag, end = r.choice([
+        ("<section class='comments'>", "</section>"), ("<div id='comments'>", "</div>"), ("<ol class='commentlist'>", "</ol>"), ("<div class='replies'>", "</div>"),
+        ("<section id='discussion'>", "</section>"), ("<div class='responses'>", "</div>"), ("<section class='reader-comments'>", "</section>"),
+        ("<div id='respond'>", "</div>"), ("<div id='disqus_thread'>", "</div>"), ("<div class='feedback'>", "</div>"), ("<ul class='thread'>", "</ul>"),
+    ])
     n = r.randint(1, 5)
-    one = "<li class='comment'><p>{}</p></li>" if tag.startswith("<ol") else "<div class='comment'><p>{}</p></div>"
+    opening, closing = r.choice([
+        ("<div class='comment'>", "</div>"), ("<article class='comment-body'>", "</article>"), ("<div class='reply'>", "</div>"),
+        ("<article class='comment'>", "</article>"), ("<div class='response'>", "</div>"), ("<div>", "</div>"),
+    ])
+    if tag.startswith(("<ol", "<ul")):
+        opening, closing = r.choice([("<li class='comment'>", "</li>"), ("<li class='reply'>", "</li>"), ("<li>", "</li>")])
+    one = f"{opening}<p>{{}}</p>{closing}"
     return tag + "".join(one.format(_sentences(r, 1, 4)) for _ in range(n)) + end, n
 
 

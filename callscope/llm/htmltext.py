@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -34,7 +35,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_HIDDEN = frozenset("script style noscript template title textarea iframe svg math object select option button head".split())
+_HIDDEN = frozenset("script style noscript template title textarea iframe select option button head".split())
 #: What can stand in a head; any other start tag, or text, ends it.
 _IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,35 +58,60 @@ def _hints(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(words))
 
 
-def blocks(page: str) -> list[tuple[str, tuple, float]]:
-    """(text, path of (tag, hints) from the root, share of link text) of each block in page order."""
-    out: list[tuple[str, tuple, float]] = []
+def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
+    """(text, features of the elements around it, share of link text) of each block in page order.
+
+    What is open is counted as elements open and close, so time grows with the page and not with its depth."""
+    out: list[tuple[str, tuple[str, ...], float]] = []
     stack: list[tuple[str, tuple]] = []
+    around: list[str] = []  # the block elements of the stack
+    opened: Counter[str] = Counter()
+    features: Counter[str] = Counter()
+    known: tuple[str, ...] | None = None
     pieces: list[str] = []
     linked = links = 0
     hidden = 0
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, known
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                path = tuple(e for e in stack if e[0] in _BLOCK)
-                out.append((text, path, min(1.0, linked / max(1, len(text)))))
+                if known is None:
+                    known = tuple(sorted([*features, f"own={around[-1] if around else ''}"]))
+                out.append((text, known, min(1.0, linked / max(1, len(text)))))
             pieces.clear()
         linked = 0
 
+    def push(name: str, hints: tuple) -> None:
+        nonlocal hidden, links, known
+        stack.append((name, hints))
+        opened[name] += 1
+        hidden += name in _HIDDEN
+        links += name == "a"
+        if name in _BLOCK:
+            around.append(name)
+            features.update((f"above={name}", *hints))
+            known = None
+
     def pop(depth: int) -> None:
-        nonlocal hidden, links
-        for name, _ in stack[depth:]:
+        nonlocal hidden, links, known
+        while len(stack) > depth:
+            name, hints = stack.pop()
+            opened[name] -= 1
             hidden -= name in _HIDDEN
             links -= name == "a"
-        del stack[depth:]
+            if name in _BLOCK:
+                around.pop()
+                for feature in (f"above={name}", *hints):
+                    features[feature] -= 1
+                    if not features[feature]:
+                        del features[feature]
+                known = None
 
     def end_head() -> None:
-        depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "head"), None) if hidden else None
-        if depth is not None:
-            pop(depth)
+        if opened["head"]:
+            pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "head"))
 
     at, size = 0, len(page)
     while at < size:
@@ -107,11 +133,15 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
                 at = size if end < 0 else end + 3
             continue
         if tag[1] or tag[4]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if name in _BLOCK:
                 close()
-            if depth is not None and (name in _BLOCK or not any(e[0] in _BLOCK for e in stack[depth + 1 :])):
-                pop(depth)
+            if opened[name]:
+                depth = len(stack) - 1
+                # the end of an inline element does not reach beyond the block it stands in
+                while stack[depth][0] != name and (name in _BLOCK or stack[depth][0] not in _BLOCK):
+                    depth -= 1
+                if stack[depth][0] == name:
+                    pop(depth)
             continue
         if name not in _IN_HEAD:
             end_head()
@@ -119,33 +149,27 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
             end = re.compile(f"</{name}", re.I).search(page, at)
             stop = page.find(">", end.end()) if end else -1
             at = size if stop < 0 else stop + 1
-            pieces.append(" ")
+            if name in ("textarea", "iframe"):  # these take room in the text, a script does not
+                pieces.append(" ")
             continue
         if name == "br":
             pieces.append(" ")
         if name in _BLOCK:
             close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in _ENDS.get(name, ()):
-                    pop(i)
-                    continue
-                if stack[i][0] in _BLOCK:
+            ended = ("p", *_ENDS.get(name, ()))
+            depth = len(stack) - 1
+            while depth >= 0 and any(opened[e] for e in ended):
+                if stack[depth][0] in ended:
+                    pop(depth)
+                elif stack[depth][0] in _BLOCK:
                     break
+                depth -= 1
         if name not in _VOID and not (tag[3] or tag[6] or "").endswith("/"):
-            stack.append((name, _hints(tag[3] or tag[6] or "")))
-            hidden += name in _HIDDEN
-            links += name == "a"
+            push(name, _hints(tag[3] or tag[6] or ""))
     close()
     return out
 
 
-@lru_cache(maxsize=65536)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    found = {f"above={name}" for name, _ in path} | {hint for _, hints in path for hint in hints}
-    found.add(f"own={path[-1][0] if path else ''}")
-    return tuple(sorted(found))
-
-
 def _text_features(text: str, linked: float) -> tuple[str, ...]:
     length = len(text)
     return (
@@ -165,7 +189,7 @@ class Field:
         found = [self.weights[f] for f in features if f in self.weights]
         return sum(w[0] for w in found), sum(w[1] for w in found)
 
-    def decode(self, page: list[tuple[str, tuple, float]]) -> list[int]:
+    def decode(self, page: list[tuple[str, tuple[str, ...], float]]) -> list[int]:
         """The labels of a page's blocks with the highest sum (Viterbi); equal sums go to other."""
         back, other, main = [], 0.0, 0.0
         (oo, om), (mo, mm) = self.moves
@@ -173,7 +197,7 @@ class Field:
             if path not in self._of_path:
                 if len(self._of_path) > 50_000:
                     self._of_path.clear()
-                self._of_path[path] = self._sum(_path_features(path))
+                self._of_path[path] = self._sum(path)
             a, b = self._of_path[path]
             c, d = self._sum(_text_features(text, linked))
             if i:
@@ -194,7 +218,7 @@ def train(pages: list[tuple[str, list[int]]], rounds: int = ROUNDS, rate: float
     data = []
     for page, labels in pages:
         rows = [
-            [ids.setdefault(f, len(ids)) for f in (*_path_features(path), *_text_features(text, linked))]
+            [ids.setdefault(f, len(ids)) for f in (*path, *_text_features(text, linked))]
             for text, path, linked in blocks(page)
         ]
         assert len(rows) == len(labels), "a label for each block"
