@@ -1,27 +1,35 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items.
 
-Items are cut into parts of at most ``PART`` shingles, which are the index's entries. A document is read in passages of
-``PASSAGE`` words that overlap by half, so every part that a document holds lies in one passage. A passage is a query of
-its distinct words. An entry is retrieved if its score reaches its threshold: the score of the whole part less its
-heaviest words, as many as may be missing when 80 % of its shingles are there. No such entry can be lost.
+An item is a question and an answer, its last line. Both are cut into parts of at most ``PART`` shingles, which are the
+index's entries. A document is read in passages of ``PASSAGE`` words that overlap by half, so every part that a document
+holds in one piece lies in one passage. A passage is a query of its distinct words. An entry is retrieved if its score
+reaches its threshold: the score of the whole part less its heaviest words, as many as may be missing.
+
+How many that is follows from what a leak is: 80 % of the shingles of question and answer, standing together or
+anywhere in the document. Then one of the parts holds that share, too; if the answer has at most half as many shingles as the
+question, only the question's parts are entries (a short answer would be in every document) and its share is lowered by
+what the answer can add; and the other way round. So question and answer may stand any number of words apart. Only a
+part that is itself torn into pieces in different passages can be missed.
 
 Retrieval is block-max WAND on arrays. Words that many entries share cannot reach a threshold alone: their total is
 taken off the threshold, and only the rarer words are looked up. Entries stand in blocks, and a word has its largest
 weight per block; blocks whose bound misses their lowest threshold are skipped, and only postings of the others are
-scored, exactly. Retrieved items are verified in the words around the passage: at least 80 % of the shingles of five
-words of question and answer together; the overlap of each is reported, too. An item's answer is its last line.
+scored, exactly. Retrieved items are verified on the shingles of the whole document: at least 80 % of those of question and
+answer as one text, or of both counted apart; the overlap of each is reported, too.
 
-The index is broadcast in shards of at most ``SHARD`` items, one pass over the documents each, so that it is bounded
-whatever the number of items. Documents stay where they are; nothing is shuffled.
+Items are taken in shards by a hash, of about ``SHARD_BYTES`` of text, whatever their number. The index of a shard is
+broadcast for one pass over the documents, and dropped before that of the next one: between passes the documents
+are written. With one shard documents stay where they are, and nothing is shuffled.
 
-Defined results: null or empty texts and items without words match nothing; items of fewer words than a shingle are
+Defined results: null or empty texts and items without words match nothing; a side of fewer words than a shingle is
 compared as one; repeated items are reported under each id; a null item id is left out; no items or no documents leave
-everything clean. Other columns of the documents pass through untouched.
+everything clean. Item ids are read as long numbers. Other columns of the documents pass through untouched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +38,13 @@ from pyspark.sql import functions as F
 
 from callscope.llm.columns import fresh
 from callscope.llm.textops import chunks, shingles, words
+from callscope.plans.storage import written
 
 WORDS = 5
 OVERLAP = 0.8
 PART = 44
 PASSAGE = 128
-SHARD = 20_000
+SHARD_BYTES = 8_000_000
 BLOCK = 16
 _K1, _B = 1.2, 0.75
 
@@ -48,6 +57,40 @@ def _distinct_shingles(hashes: np.ndarray) -> np.ndarray:
     return np.unique(shingles(hashes, np.array([0, len(hashes)]), WORDS)[0])
 
 
+class _Item(NamedTuple):
+    """Shingles of an item as one text, of its question and of its answer, and their numbers of words."""
+
+    item_id: int
+    whole: np.ndarray
+    question: np.ndarray
+    answer: np.ndarray
+    question_words: int
+    answer_words: int
+
+    @property
+    def words(self) -> int:
+        return self.question_words + self.answer_words
+
+
+class _Held:
+    """The shingles of one document."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.of_length: dict[int, np.ndarray] = {}
+
+    def share(self, wanted: np.ndarray, count: int) -> float:
+        """The part of the shingles that the document holds, of a text of ``count`` words; 0 if there are none."""
+        n = min(WORDS, count)
+        if not len(wanted) or len(self.hashes) < n:
+            return 0.0
+        if n not in self.of_length:
+            self.of_length[n] = np.unique(shingles(self.hashes, np.array([0, len(self.hashes)]), n)[0])
+        seen = self.of_length[n]
+        at = np.minimum(np.searchsorted(seen, wanted), len(seen) - 1)
+        return float((seen[at] == wanted).mean())
+
+
 class Index:
     """BM25 entries of some items, as arrays."""
 
@@ -59,15 +102,20 @@ class Index:
             if not question.strip():
                 question, answer = answer, ""
             q, a = _words_of(question), _words_of(answer)
-            whole = np.concatenate([q, a])
-            if item_id is None or not len(whole):
+            if item_id is None or not len(q) + len(a):
                 continue
-            self.items.append((item_id, _distinct_shingles(whole), _distinct_shingles(q), _distinct_shingles(a)))
-            for low in range(0, max(1, len(whole) - WORDS + 1), PART):
-                entries.append((len(self.items) - 1, whole[low : low + PART + WORDS - 1]))
-        self.item_of = np.array([i for i, _ in entries], np.int64)
-        self.vocabulary, flat = np.unique(np.concatenate([w for _, w in entries]) if entries else np.zeros(0, np.uint64), return_inverse=True)
-        length = np.array([len(w) for _, w in entries])
+            sides = [(own, _distinct_shingles(own)) for own in (q, a)]
+            self.items.append(_Item(item_id, _distinct_shingles(np.concatenate([q, a])), *[s for _, s in sides], len(q), len(a)))
+            total = len(sides[0][1]) + len(sides[1][1])
+            # a side that is less than half of the other one is not looked for on its own
+            asked = [(own, found) for (own, found), other in zip(sides, sides[::-1]) if len(found) and 2 * len(found) > len(other[1])]
+            share = max(0.0, 1 - ((1 - overlap) * total + 1) / sum(len(found) for _, found in asked))
+            for own, _ in asked:
+                for low in range(0, max(1, len(own) - WORDS + 1), PART):
+                    entries.append((len(self.items) - 1, own[low : low + PART + WORDS - 1], share))
+        self.item_of = np.array([i for i, _, _ in entries], np.int64)
+        self.vocabulary, flat = np.unique(np.concatenate([w for _, w, _ in entries]) if entries else np.zeros(0, np.uint64), return_inverse=True)
+        length = np.array([len(w) for _, w, _ in entries])
         owner = np.repeat(np.arange(len(entries)), length)
         # (term, entry) postings with their weight
         key, count = np.unique(flat.astype(np.int64) * max(1, len(entries)) + owner, return_counts=True)
@@ -82,7 +130,7 @@ class Index:
         edges = np.searchsorted(self.entry[order], np.arange(len(entries) + 1))
         for e in range(len(entries)):
             own = self.weight[order[edges[e] : edges[e + 1]]]
-            missing = int((1 - overlap) * length[e]) + 1
+            missing = int((1 - entries[e][2]) * length[e]) + 1
             self.threshold[e] = max(own[missing:].sum() - 1e-9, own[-1] if len(own) else 0.0) if len(own) > missing else min(own) - 1e-9
         # words that more than a tenth of the entries share: looked up only when an entry is scored
         self.common = df > max(2, 0.1 * len(entries))
@@ -161,53 +209,45 @@ class Index:
             own = start[doc] + (at - first[doc]) // half
             passage, entry = self.retrieve(np.concatenate([own, own + 1]), np.concatenate([term, term]))
             doc = np.searchsorted(start, passage, side="right") - 1
-            near = {}
-            for d, item, p in sorted(zip(doc.tolist(), self.item_of[entry].tolist(), (passage - start[doc]).tolist())):
-                near.setdefault((d, item), []).append(p)
-            for (d, item), passages in near.items():
-                item_id, whole, question, answer = self.items[item]
-                room = len(whole) + WORDS
-                best = (0.0, 0.0, 0.0)
-                # passages of one place are looked at together
-                low = None
-                spans = []
-                for p in passages:
-                    a, b = (p - 1) * half - room, (p + 1) * half + room
-                    if low is not None and a <= spans[-1][1]:
-                        spans[-1][1] = b
-                    else:
-                        spans.append([a, b])
-                    low = a
-                for a, b in spans:
-                    text = hashes[max(first[d], first[d] + a) : min(first[d + 1], first[d] + b)]
-                    seen = shingles(text, np.array([0, len(text)]), WORDS)[0]
-                    if len(whole) == 1 and len(text) >= WORDS:  # maybe an item of fewer words than a shingle
-                        seen = np.concatenate([seen, *[shingles(text, np.array([0, len(text)]), k)[0] for k in range(1, WORDS)]])
-                    share = [float(np.isin(s, seen).mean()) if len(s) else 1.0 for s in (whole, question, answer)]
-                    best = max(best, tuple(share))
-                if best[0] >= self.overlap:
-                    out[base + d].append((item_id, *best))
+            hits: dict[int, set[int]] = {}
+            for d, item in zip(doc.tolist(), self.item_of[entry].tolist()):
+                hits.setdefault(d, set()).add(item)
+            for d, items in hits.items():
+                held = _Held(hashes[first[d] : first[d + 1]])
+                for item in sorted(items):
+                    own = self.items[item]
+                    whole = held.share(own.whole, own.words)
+                    question, answer = held.share(own.question, own.question_words), held.share(own.answer, own.answer_words)
+                    sizes = len(own.question), len(own.answer)
+                    apart = (question * sizes[0] + answer * sizes[1]) / sum(sizes)
+                    if max(whole, apart) >= self.overlap - 1e-12:
+                        out[base + d].append((own.item_id, max(whole, apart), question if sizes[0] else 1.0, answer if sizes[1] else 1.0))
         return out
 
 
-def _shards(items: DataFrame, shard: int) -> Iterator[list[tuple[int, str]]]:
-    """Bounded lists of items: at most about ``shard`` of them each."""
-    count = items.count()
-    parts = -(-count // shard)
-    slots = items.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(parts, 1))).alias("part"))
+def _shards(items: DataFrame, shard_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """Lists of items of about ``shard_bytes`` of text each, by a hash of the item."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    size = rows.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).first()["n"] or 0
+    parts = -(-size // shard_bytes)
+    slots = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(parts, 1))))
     for part in range(parts):
-        yield [(r["item_id"], r["text"]) for r in slots.where(F.col("part") == part).collect() if r["item_id"] is not None]
+        yield [(r["item_id"], r["text"]) for r in slots.where(F.col("part") == part).collect()]
 
 
 _FOUND = "array<struct<item_id:long,overlap:double,question:double,answer:double>>"
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, shard: int = SHARD, name: str = "leaks") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES, name: str = "leaks") -> DataFrame:
     """The documents with a column ``leaks``: the items each holds, by id, with their overlaps."""
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c.lower() != name]
     out = docs.select(*[f"`{c}`" for c in kept], F.array().cast(_FOUND).alias(name))
-    for part in _shards(items, shard):
+    index = None
+    for part in _shards(items, shard_bytes):
+        if index is not None:
+            out = written(out, "decontaminated")
+            index.destroy()
         index = spark.sparkContext.broadcast(Index(part, overlap))
 
         def read(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,9 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -130,11 +132,49 @@ def test_perfect_hash_is_minimal_and_perfect():
         assert sorted(found.tolist()) == list(range(n))
 
 
+def held(x, t):
+    """How much of the shingles of one text another one holds; one of few words as one shingle."""
+    n = len(re.findall(r"[a-z0-9\x80-\U0010ffff]+", (x or "").lower()))
+    if n >= 5:
+        return len(shingles_of(x) & shingles_of(t)), len(shingles_of(x))
+    words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    mine = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (x or "").lower())
+    return int(bool(n) and any(words[i : i + n] == mine for i in range(len(words)))), int(n > 0)
+
+
 def brute_leaks(texts, items):
-    return {
-        (i, item) for i, t in enumerate(texts) for item, x in items
-        if shingles_of(x) and len(shingles_of(x) & shingles_of(t)) >= 0.8 * len(shingles_of(x))
-    }
+    """Question and answer, as one text or each for itself, anywhere in the document."""
+    out = set()
+    for item, x in items:
+        question, _, answer = (x or "").rpartition("\n")
+        if not question.strip():
+            question, answer = answer, ""
+        for i, t in enumerate(texts):
+            (w, n), (q, nq), (a, na) = held(f"{question} {answer}", t), held(question, t), held(answer, t)
+            if n and (w >= 0.8 * n - 1e-9 or q + a >= 0.8 * (nq + na) - 1e-9):
+                out.add((i, item))
+    return out
+
+
+def test_answers_apart_from_their_questions(spark):
+    """Question and answer any number of words apart, in either order, with words changed."""
+    r = random.Random(6)
+    make = lambda n: ["".join(r.choices("abcdefgh", k=7)) for _ in range(n)]
+    items = [(k, " ".join(make(r.randint(8, 70))) + "\n" + " ".join(make(r.randint(1, 70)))) for k in range(40)]
+    texts = []
+    for k, x in items:
+        question, answer = (part.split() for part in x.split("\n"))
+        for gap in (0, 60, 100, 300, 2000):
+            own = [list(question), list(answer)]
+            if gap % 100 and len(question) > 30:
+                own[0][len(question) // 2] = "changed"
+            first, second = own[:: r.choice([1, -1])]
+            texts.append(" ".join(make(150) + first + make(gap) + second + make(90)))
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA)
+    rows = decontam.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x["doc_id"], leak["item_id"]) for x in rows for leak in x["leaks"]}
+    want = brute_leaks(texts, items)
+    assert got == want and len(want) >= 0.9 * len(texts)
 
 
 def test_leaks_equal_brute_force(spark):
@@ -154,8 +194,8 @@ def test_leaks_equal_brute_force(spark):
                 texts.append(" ".join(r.choices(vocabulary, k=r.randint(0, 300))) + " " + " ".join(v) + " " + " ".join(r.choices(vocabulary, k=200)))
     docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for shard in (20_000, 15):
-        rows = decontam.find_leaks(docs.withColumn("leaks", docs.doc_id), bench, shard=shard).collect()
+    for shard in (8_000_000, 3_000):
+        rows = decontam.find_leaks(docs.withColumn("leaks", docs.doc_id), bench, shard_bytes=shard).collect()
         got = {(x["doc_id"], leak["item_id"]) for x in rows for leak in x["leaks"]}
         want = {p for p in brute_leaks(texts, items) if p[1] != 1001}
         assert {p for p in got if p[1] != 1001} == want
@@ -220,7 +260,7 @@ def test_viterbi_equals_the_best_of_all_labellings():
     field = htmltext.default_field()
     for page, _ in training_pages(40, seed=3):
         found = htmltext.blocks(page)[:9]
-        score = [[sum(x) for x in zip(field._sum(htmltext._path_features(p)), field._sum(htmltext._text_features(t, s)))] for t, p, s in found]
+        score = [[sum(x) for x in zip(field._sum(p), field._sum(htmltext._text_features(t, s)))] for t, p, s in found]
 
         def total(labels, score=score):
             return sum(score[i][x] for i, x in enumerate(labels)) + sum(field.moves[a][b] for a, b in zip(labels, labels[1:]))
@@ -257,6 +297,58 @@ def test_punctuation_is_counted_over_the_whole_block():
         assert f"points={min(3, points)}" in htmltext._text_features("a" * before + ", b" * points, 0.0)
 
 
+def test_blocks_of_deep_and_broken_pages():
+    """A hundred thousand open elements, or ends of elements that are not open, take seconds."""
+    began = time.time()
+    deep = "".join(f"<div class='{'abc'[i % 3]}'>t{i}" for i in range(100_000))
+    assert len(htmltext.blocks(deep)) == 100_000
+    assert len(htmltext.blocks("<b>" * 100_000 + "<li>x" * 100_000)) == 100_000
+    assert len(htmltext.blocks("<b><div>" * 50_000 + "x</b></i></p>" * 50_000)) >= 1
+    assert time.time() - began < 60
+
+
+class Texts(HTMLParser):
+    """Text of the standard library's parser, without what stands in scripts and the like."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.skip = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style", "title")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style", "title")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.found.append(data)
+
+
+def test_blocks_hold_the_text_of_a_plain_parser(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").select("html").collect()]
+    for page in [p for p in pages if p] + [page for page, _ in htmltext.training_pages(40, seed=8)]:
+        plain = Texts()
+        plain.feed(page)
+        want = "".join("".join(plain.found).split())
+        got = "".join("".join(t.split()) for t, _, _ in htmltext.blocks(page))
+        if not re.search("<(?:textarea|select|option|button|iframe|noscript|template)", page):
+            assert got == want
+
+
+def test_main_text_by_contract():
+    field = htmltext.default_field()
+    page = (
+        "<html><body><nav><a href='/'>Home page</a></nav><article><h1>A title of some words</h1><p>The first paragraph has foo<script>var x;</script>bar "
+        "and <math><mi>x</mi><mo>=</mo><mn>1</mn></math> in it. It is long enough.</p><p>Another paragraph follows, with more than a few words.</p></article>"
+        "<section id='discussion'><article class='comment-body'><p>Nice article, thanks for it!</p></article>"
+        "<article class='comment-body'><p>I do not agree with this.</p></article></section></body></html>"
+    )
+    text = htmltext.main_text(page, field)
+    assert "foobar" in text and "x=1" in text and "Another paragraph" in text
+    assert "Nice article" not in text and "agree" not in text and "Home" not in text
+
+
 def brute_model(texts, order=quality.ORDER):
     """Interpolated modified Kneser-Ney as in the papers, with plain dictionaries."""
     counts = {order: Counter()}
