@@ -1,8 +1,9 @@
 """N-gram Jaccard join: pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. Texts with the same set are one class; only one text of a class goes on.
-2. MinHash signatures are cut into bands. Rows per band are given; the number of bands follows from the recall wanted at
-   the threshold. Classes that share a band hash meet on it: each is tied to the smallest class of its bucket, so a
+2. MinHash signatures are cut into bands. Of the numbers of rows per band for which the bands that the recall wanted at the
+   threshold takes fit into ``HASHES`` hash values, the largest is chosen: then unlike texts meet as rarely as can be (at 0.8 and
+   0.9999: 51 bands of 8 rows; pairs of similarity 0.3 meet with 0.3 %). Classes that share a band hash meet on it: each is tied to the smallest class of its bucket, so a
    bucket of m classes gives m - 1 ties, not m * m pairs.
 3. Tied classes form clusters. A cluster is cut into tiles of about ``TILE`` classes by a hash, and a task compares two
    tiles at a time, on the full shingle sets and all pairs: it counts each class's links and returns one row per class,
@@ -36,7 +37,8 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Chance to find a pair that is just as similar as the threshold.
 RECALL = 0.9999
-ROWS = 4
+#: Hash values of a signature, at most.
+HASHES = 416
 #: Classes compared with each other at a time.
 TILE = 256
 
@@ -45,11 +47,19 @@ def _mark() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
+def bands_for(threshold: float, recall: float, rows: int) -> int:
     """The least number of bands with which a pair at the threshold shares one with the recall wanted."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
 
 
+def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
+    """(bands, rows per band): the most rows whose bands fit."""
+    rows = 1
+    while threshold < 1 and (rows + 1) * bands_for(threshold, recall, rows + 1) <= hashes:
+        rows += 1
+    return (bands_for(threshold, recall, rows) if threshold < 1 else 1), rows
+
+
 def _sets(texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per chunk of texts: (shingles, sorted and distinct within each text; first of each text and the total)."""
     for _, data, offsets in chunks(texts):
@@ -90,7 +100,8 @@ def _signatures(n: int, rows: int, bands: int):
                     for band in range(bands):
                         value = np.full(len(full), band + 1, np.uint64)
                         for k in range(band * rows, (band + 1) * rows):
-                            value = mix(value ^ np.minimum.reduceat(mix(hashes * factors[k]), at))
+                            # the shingles are mixed already: an odd factor brings them into another order
+                            value = mix(value ^ np.minimum.reduceat(hashes * factors[k], at))
                         found[full, band] = value
                 nodes.append(_set_hash(hashes, start))
                 sizes.append(size)
@@ -177,11 +188,11 @@ def _compare(n: int, threshold: float):
 
 
 def jaccard_classes(
-    docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, n: int = WORDS, tile: int = TILE
+    docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, n: int = WORDS, tile: int = TILE
 ) -> DataFrame:
     """One row per document: doc_id, mark (a hash of its text), class_id and group_id (smallest ids), class_size, n_links (to
     other classes), kept (the first document of its group)."""
-    bands = bands_for(threshold, recall, rows)
+    bands, rows = choose_bands(threshold, recall, hashes)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text")
     # null ids sort last
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")

@@ -132,6 +132,36 @@ def test_perfect_hash_is_minimal_and_perfect():
         assert sorted(found.tolist()) == list(range(n))
 
 
+def test_bands_and_rows_follow_from_the_recall():
+    bands, rows = near.choose_bands()
+    assert (bands, rows) == (51, 8) and 1 - (1 - near.THRESHOLD**rows) ** bands >= near.RECALL
+    assert bands * rows <= near.HASHES < (rows + 1) * near.bands_for(near.THRESHOLD, near.RECALL, rows + 1)
+    assert 1 - (1 - 0.3**rows) ** bands < 0.004
+
+
+def test_a_shared_template_does_not_tie_texts_together(spark):
+    """Texts of one template, of similarity 0.24 to each other, meet rarely; their copies are found all the same."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    template = [word() for _ in range(60)]
+    texts = [" ".join(template + [word() for _ in range(94)]) for _ in range(600)]
+    texts += [t + " " + word() for t in texts[:40]]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA)
+    signed = docs.selectExpr("doc_id", "0L AS mark", "text").mapInArrow(
+        near._signatures(near.WORDS, *near.choose_bands()[::-1]), "doc_id long, mark long, node long, size long, bands array<long>"
+    )
+    met = defaultdict(list)
+    for x in signed.collect():
+        for band in x["bands"]:
+            met[band].append(x["doc_id"])
+    ties = {(a, b) for own in met.values() for a, b in itertools.combinations(sorted(own), 2)}
+    copies = {(i, 600 + i) for i in range(40)}
+    assert copies <= ties
+    assert len(ties - copies) < 0.002 * 640 * 639 / 2
+    got = near.jaccard_classes(docs).where("n_links > 0").select("group_id").distinct().count()
+    assert got == 40
+
+
 def held(x, t):
     """How much of the shingles of one text another one holds; one of few words as one shingle."""
     n = len(re.findall(r"[a-z0-9\x80-\U0010ffff]+", (x or "").lower()))
