@@ -35,7 +35,7 @@ def test_a_known_mount_stays_known(spark):
     assert [r["OPEN_ERRORS"] for r in rows] == [0] * 5
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(("stream_", "sink_", "source_"))))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(("stream_", "sink_", "source_", "scrape_"))))
 def test_building_a_query_runs_nothing(spark, name):
     """Only reading the schema and footers of files may happen before the action."""
     tracker = spark.sparkContext.statusTracker()
