@@ -28,6 +28,8 @@ from callscope.llm.perfecthash import PerfectHash, build
 from callscope.plans.storage import written
 
 MIN_POINTS = 10
+#: Distinct lines of a shard, about: there are at least as many shards as that takes.
+SHARD_KEYS = 5_000_000
 #: Copies of a shard's arrays over which its probes are spread.
 SPLITS = 4
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -148,13 +150,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text of every document."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shard = F.pmod("hi", F.lit(shards)).cast("int").alias("shard")
     probes = written(rows.mapInArrow(_probes, "hi long, lo long, part int, ids array<long>"), "line-probes")
+    keys = probes.agg(F.approx_count_distinct("hi").alias("n")).first()["n"]
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // shard_keys))
+    shard = F.pmod("hi", F.lit(shards)).cast("int").alias("shard")
     # repeated rows of one id are one document: count ids by their smallest and largest
     distinct = probes.groupBy("hi", "lo").agg(
         F.min(F.element_at("ids", 1)).alias("owner"), F.max(F.element_at("ids", -1)).alias("last"),

@@ -179,6 +179,13 @@ def test_archive_gives_back_every_record(spark, tmp_path):
     assert sorted(bytes(r["record"]) for r in back) == sorted(bytes(r["record"]) for r in records)
 
 
+def test_more_lines_than_a_shard_may_hold(spark):
+    rows = [(i, "\n".join(f"line number {(7 * i + k) % 400} of a text" for k in range(9)), None, None) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    few, many = (sorted(map(tuple, lines.drop_repeated_lines(docs, shard_keys=n).collect())) for n in (lines.SHARD_KEYS, 10))
+    assert few == many and sum(r[2] for r in few) > 0
+
+
 def test_a_missing_payload_shows_in_all_its_records(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     path = str(tmp_path / "archive")
