@@ -468,7 +468,7 @@ def sink_fanout(spark, d):
 
 
 def sink_rotation(spark, d):
-    """Two days of counters per micro-batch in volumes of 0.2 MB, each micro-batch replayed; what is left of them, by volume."""
+    """Five days of counters per micro-batch in volumes of 0.2 MB, each micro-batch replayed; what is left of them, by volume."""
     sink = JsonFileSink(scratch_path(spark, "rotated"), max_size_mb=0.2, max_backups=3, lane_bytes=50_000)
     counters = count_calls(views.calls(spark, d), DAY)
     for batch_id in range(6):
