@@ -21,13 +21,15 @@ class ConsoleSink(Sink):
     def __init__(self, table_format: bool = False):
         self.table_format = table_format
 
+    def lines(self, batch: DataFrame) -> DataFrame:
+        """The lines, as one column of text: in the order of the batch, or as a table by interval, host, sample and field."""
+        if not self.table_format:
+            return batch.select(json_iso(batch).alias("line"))
+        long = transpose(batch, BY_PROCESS)
+        place = [*SAMPLE_SCOPE, "sample_no", "field"]
+        texts = [F.col(c).cast("string") for c in place]
+        return long.orderBy(*place).select(F.concat_ws(" ", *texts, F.coalesce("value", F.lit(""))).alias("line"))
+
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        if self.table_format:
-            long = transpose(batch, BY_PROCESS)
-            place = [*SAMPLE_SCOPE, "sample_no", "field"]
-            ordered = long.orderBy(*place)
-            lines = ordered.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in place], F.coalesce("value", F.lit(""))))
-        else:
-            lines = batch.select(json_iso(batch))
-        for row in lines.toLocalIterator():
-            print(row[0])
+        for row in self.lines(batch).toLocalIterator():
+            print(row["line"])

@@ -351,13 +351,18 @@ def build() -> dict[str, str]:
              regexp_extract(TAGS, 'JOBID=([^;]*)', 1) AS ENV_JOBID, '' AS ENV_NOPE FROM samples"""
     kept = ["TIMEDELTA", "MOUNT", "COMM", "PID", "UID", "REMOTE_PATH", "TAGS"] + list(STAT_COLUMNS)
     texts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in kept)
-    q["sample_transpose"] = with_(_sample_view(7 * DAY, True)) + (
+    turned = (
         "SELECT TIMESTAMP, HOSTNAME, sample_no, field, CASE WHEN NOT ends_with(field, '_DURATION') THEN value END AS value, "
         "CASE WHEN ends_with(field, '_DURATION') THEN CAST(value AS DOUBLE) END AS seconds FROM "
         f"(UNPIVOT (SELECT TIMESTAMP, HOSTNAME, CAST(row_number() OVER (PARTITION BY TIMESTAMP, HOSTNAME "
         f"ORDER BY MOUNT, COMM, TAGS) - 1 AS INTEGER) AS sample_no, {texts} FROM samples) ON {', '.join(kept)} "
         "INTO NAME field VALUE value)"
     )
+    q["sample_transpose"] = with_(_sample_view(7 * DAY, True)) + turned
+    by_process = with_(_sample_view(7 * DAY, False)) + turned.replace("ORDER BY MOUNT, COMM, TAGS", "ORDER BY MOUNT, PID, TAGS")
+    q["sink_console"] = f"""
+      SELECT strftime(TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP, HOSTNAME, sample_no, field,
+             CASE WHEN seconds IS NULL THEN coalesce(value, '') END AS value, seconds FROM ({by_process})"""
     q["source_probe"] = q["pair_calls"]
     q["source_counters"] = q["counter_flatten"]
     parsed = q["env_parse"].partition("SELECT event_id, CASE")
@@ -402,6 +407,7 @@ def build() -> dict[str, str]:
     q["stream_samples_sliced"] = q["probe_samples"]
     _add_kept_state(q)
     _add_sinks(q, narrow, wide, tag)
+    _add_options(q)
     return q
 
 
@@ -525,6 +531,35 @@ def _add_sinks(q: dict[str, str], narrow: str, wide: str, tag) -> None:
     q["sink_rotation"] = _rotation(6, 5 * DAY, int(0.2 * 1024 * 1024), 3, 50_000)
 
 
+def _add_options(q: dict[str, str]) -> None:
+    """What options allow, and sinks whose output is text."""
+    q["anonymize_allowed"] = with_(_sample_view(DAY, True)) + (
+        "SELECT TIMEDELTA, TIMESTAMP, HOSTNAME, CAST(0 AS BIGINT) AS PID, CAST(0 AS BIGINT) AS UID, '--' AS COMM, '--' AS MOUNT, "
+        f"'--' AS REMOTE_PATH, regexp_replace(TAGS, '=[^;]*', '=--', 'g') AS TAGS, {', '.join(STAT_COLUMNS)}, "
+        f"CAST({3 + len(STAT_COLUMNS)} AS BIGINT) AS refused FROM samples"
+    )
+    q["option_rules"] = with_(_sample_view(7 * DAY, True), """marked AS (
+      SELECT READ_COUNT, contains(TAGS, 'JOBID=') AS job, contains(TAGS, 'SCHEDID=') AS sched FROM samples),
+    rules AS (
+      SELECT *, CASE WHEN tag_filter = 'none' THEN 'NotImplementedError' WHEN given AND learned THEN 'ValueError'
+                     WHEN tag_filter <> '' AND NOT given THEN 'ValueError' ELSE '' END AS refused
+      FROM (VALUES (''), ('any'), ('all'), ('none')) f(tag_filter), (VALUES (false), (true)) g(given), (VALUES (false), (true)) l(learned))""") + """
+      SELECT tag_filter, given, learned, refused, count(READ_COUNT) AS samples, CAST(coalesce(sum(READ_COUNT), 0) AS BIGINT) AS reads
+      FROM rules LEFT JOIN marked ON refused = '' AND (tag_filter = '' OR (tag_filter = 'any' AND (job OR sched)) OR (tag_filter = 'all' AND job AND sched))
+      GROUP BY ALL"""
+    q["learned_order"] = with_(_sample_view(DAY, True)) + """
+      SELECT HOSTNAME || ':' || COMM || ':' || UID || ':' || PID AS key,
+        'HOSTNAME|UID|COMM|MOUNT|REMOTE_PATH|ABSENT|JOBID|SCHEDID' AS header_names,
+        concat_ws('|', HOSTNAME, UID, COMM, MOUNT, REMOTE_PATH, '', regexp_extract(TAGS, 'JOBID=([^;]*)', 1),
+                  regexp_extract(TAGS, 'SCHEDID=([^;]*)', 1)) AS header_values FROM samples"""
+    q["sink_messages"] = with_(_sample_view(DAY, True)) + """
+      SELECT PID % 5 <> 0 AS sent, HOSTNAME || ':' || COMM || ':' || UID || ':' || PID AS key, CAST(7 AS INTEGER) AS headers,
+             epoch_us(TIMESTAMP) // 1000000 AS TIMESTAMP, MOUNT, READ_COUNT,
+             CAST(CASE WHEN PID % 5 = 0 THEN 4096 ELSE length(REMOTE_PATH) END AS INTEGER) AS path_length FROM samples"""
+    closed = ", TAGS, MOUNT, REMOTE_PATH FROM grouped"
+    q["stream_stop"] = q["probe_samples"].replace(closed, ", TAGS, MOUNT, REMOTE_PATH, CAST(1 AS BIGINT) AS closed FROM grouped")
+
+
 def _rotation(batches: int, width: int, size: int, backups: int, lane_bytes: int) -> str:
     """Volumes of JSON lines, batch by batch: a running sum over lanes (by a hash of the line) and the lines in them."""
     names = ["HOSTNAME", "TID", "PID", "UID", "COMM", "SBDEV", "SEQ", *STAT_COLUMNS]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +31,12 @@ from callscope.operators.mounts import attach_mounts, resolve_mounts, upsert_mou
 from callscope.operators.pairing import pair_calls
 from callscope.operators.reshape import transpose
 from callscope.operators.retention import retained_files
-from callscope.operators.stats import anonymize, filter_stats, group_stats
+from callscope.operators.stats import anonymize, check_anonymizable, filter_stats, group_stats
 from callscope.operators.tagging import attach_tags, live_tags, tag_key_drift
 from callscope.plans.collect import collect_samples
 from callscope.plans.storage import delete_path, scratch_path
-from callscope.sinks import BufferSink, JsonFileSink, MetricsSink, TableSink, fan_out, make_sink
+from callscope.sinks import BufferSink, ConsoleSink, JsonFileSink, MetricsSink, TableSink, fan_out, make_sink
+from callscope.sinks.kafka import KafkaSink
 from callscope.sinks.table import create_sample_table
 from callscope.sources import logs
 from callscope.sources.mounts import parse_mountinfo, parse_partitions, read_mountinfo
@@ -481,6 +484,90 @@ def sink_rotation(spark, d):
     ).select(F.col("volume").cast("long").alias("volume"), F.col("batch").cast("long").alias("batch"), "samples", "bytes", "first_line")
 
 
+def _refusal(use: Callable[[], object]) -> str | None:
+    """The kind of error that a call ends with, if any."""
+    try:
+        use()
+    except (ValueError, NotImplementedError) as error:
+        return type(error).__name__
+    return None
+
+
+def anonymize_allowed(spark, d):
+    """Every column that may be masked is, in the whole dataflow; all others are refused."""
+    refused = [c for c in SAMPLE_COLUMNS if _refusal(lambda: check_anonymizable([c]))]
+    allowed = [c for c in SAMPLE_COLUMNS if c not in refused]
+    return plain(samples(spark, d, anon_fields=allowed).withColumn("refused", F.lit(len(refused)).cast("long")))
+
+
+def option_rules(spark, d):
+    """Every combination of tag filter, given names and learned names: its samples, or the kind of error."""
+    parts = []
+    for how, given, learned in itertools.product([None, "any", "all", "none"], [False, True], [False, True]):
+        options = {"tag_filter": how, "tracked": TRACKED if given else [], "tracked_from_table": learned}
+        found = []
+        refused = _refusal(lambda: found.append(samples(spark, d, interval=7 * DAY, **options)))  # noqa: B023
+        rows = samples(spark, d, interval=7 * DAY).where("false") if refused else found[0]
+        parts.append(rows.agg(F.count(F.lit(1)).alias("samples"), F.sum("READ_COUNT").cast("long").alias("reads")).select(
+            F.lit(how or "").alias("tag_filter"), F.lit(given).alias("given"), F.lit(learned).alias("learned"),
+            F.lit(refused or "").alias("refused"), "samples", F.coalesce("reads", F.lit(0).cast("long")).alias("reads"),
+        ))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def learned_order(spark, d):
+    """Names learned from a table whose tag columns stand in another order: headers follow the sorted names."""
+    table = f"callscope_check.samples_{uuid.uuid4().hex[:12]}"
+    create_sample_table(spark, table)
+    for name in reversed([*TRACKED, "ABSENT"]):
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS (ENV_{name} STRING)")
+    sink = TableSink(table, learn_tags=True)
+    sink.setup(spark)
+    rows = samples(spark, d)
+    return rows.select(message_key().cast("string").alias("key"), message_headers(sink.tracked).alias("headers")).select(
+        "key", F.array_join("headers.key", "|").alias("header_names"),
+        F.array_join(F.transform("headers.value", lambda v: v.cast("string")), "|").alias("header_values"),
+    )
+
+
+def sink_console(spark, d):
+    """The lines of the console's table, taken apart again; durations as numbers."""
+    lines = ConsoleSink(table_format=True).lines(samples(spark, d, interval=7 * DAY, squash_pid=False))
+    part = lambda i: F.regexp_extract("line", r"^(\S+ \S+) (\S+) (\d+) (\S+) (.*)$", i)
+    seconds = part(4).endswith("_DURATION")
+    return lines.select(
+        part(1).alias("TIMESTAMP"), part(2).alias("HOSTNAME"), part(3).cast("int").alias("sample_no"), part(4).alias("field"),
+        F.when(~seconds, part(5)).alias("value"), F.when(seconds, part(5).cast("double")).alias("seconds"),
+    )
+
+
+class _MessageFiles(KafkaSink):
+    """Messages go to files, as Spark's connector for the real thing is no part of PySpark."""
+
+    def __init__(self, path: str, **options):
+        super().__init__(bootstrap_servers="none:9092", topic="samples", **options)
+        self.path = path
+
+    def send(self, records: DataFrame) -> None:
+        records.write.mode("append").parquet(self.path)
+
+
+def sink_messages(spark, d):
+    """Messages that are sent and those that are too large for a request and set aside; samples of every fifth process have a long path."""
+    sent, aside = scratch_path(spark, "messages"), scratch_path(spark, "too-large")
+    sink, rows = _MessageFiles(sent, tracked=TRACKED, set_aside=aside, max_request_size=4096), samples(spark, d)
+    rows = rows.withColumn("REMOTE_PATH", F.when(F.col("PID") % 5 == 0, F.repeat(F.lit("/p"), 2048)).otherwise(F.col("REMOTE_PATH")))
+    for batch_id in (0, 1):
+        sink.write(rows.where(F.pmod(F.unix_seconds("TIMESTAMP") / DAY, F.lit(2)) == batch_id), batch_id)
+    stored = spark.read.parquet(sent).withColumn("sent", F.lit(True)).unionByName(
+        spark.read.parquet(f"{aside}/batch=*").withColumn("sent", F.lit(False))
+    )
+    body = F.from_json(F.col("value").cast("string"), "TIMESTAMP LONG, MOUNT STRING, READ_COUNT LONG, REMOTE_PATH STRING")
+    return stored.select(
+        "sent", F.col("key").cast("string").alias("key"), F.size("headers").alias("headers"), body.alias("b")
+    ).select("sent", "key", "headers", "b.TIMESTAMP", "b.MOUNT", "b.READ_COUNT", F.length("b.REMOTE_PATH").alias("path_length"))
+
+
 def sink_retry(spark, d):
     """A column that is added after the schema was read: the first write fails, the second one has it."""
     table = f"callscope_check.samples_{uuid.uuid4().hex[:12]}"
@@ -600,6 +687,12 @@ def stream_samples_sliced(spark, d):
     return plain(streams.sliced_samples(spark, d, DAY).select(*SAMPLE_COLUMNS))
 
 
+def stream_stop(spark, d):
+    """A collector that is stopped and goes on from its checkpoint; how often its sink was closed by then."""
+    stored, closed = streams.stopped_samples(spark, d, DAY)
+    return plain(stored.select(*SAMPLE_COLUMNS, F.lit(closed).cast("long").alias("closed")))
+
+
 def stream_ttl(spark, d):
     return plain(streams.forgetting(spark, d)[0].select(*SAMPLE_COLUMNS))
 
@@ -646,6 +739,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tag_filter_any": tag_filter_any,
     "tag_filter_all": tag_filter_all,
     "anonymize": anonymized,
+    "anonymize_allowed": anonymize_allowed,
+    "option_rules": option_rules,
+    "learned_order": learned_order,
     "mount_lookup": mount_lookup,
     "mount_precedence": mount_precedence,
     "mount_upsert": mount_upsert,
@@ -684,6 +780,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_tags": stream_tags,
     "stream_samples": stream_samples,
     "stream_samples_sliced": stream_samples_sliced,
+    "sink_console": sink_console,
+    "sink_messages": sink_messages,
     "sink_rotation": sink_rotation,
     "sink_retry": sink_retry,
     "sink_once": sink_once,
@@ -691,6 +789,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_ring": stream_ring,
     "stream_ring_usage": stream_ring_usage,
     "scrape_drain": scrape_drain,
+    "stream_stop": stream_stop,
     "stream_ttl": stream_ttl,
     "stream_ttl_state": stream_ttl_state,
     "stream_late_rows": stream_late_rows,

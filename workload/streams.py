@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from callscope.operators.counters import count_calls
 from callscope.plans.storage import scratch_path
 from callscope.sinks import JsonFileSink, TableSink
 from callscope.sources.logs import stored_samples
-from callscope.streaming.collect import start_collect
+from callscope.streaming.collect import start_collect, stop_collect
 from callscope.streaming.kept import kept_sizes
 from callscope.streaming.pairing import stream_calls
 from callscope.streaming.sliced import start_sliced_collect
@@ -150,6 +151,36 @@ def collect(spark, rows, sinks, checkpoint, execs=None, mounts=None, delay_secon
     ).awaitTermination()
 
 
+class ClosingSink(JsonFileSink):
+    """Counts how often it is closed."""
+
+    closed = 0
+
+    def teardown(self) -> None:
+        super().teardown()
+        self.closed += 1
+
+
+def stopped_samples(spark: SparkSession, sf_dir: str, interval: int) -> tuple[DataFrame, int]:
+    """(samples, times the sink was closed by the stop) of a collector stopped after a micro-batch and started anew."""
+    sink, checkpoint = ClosingSink(scratch_path(spark, "samples")), scratch_path(spark, "samples-state")
+    rows = event_stream(spark, sf_dir, parts=FEW_PARTS)
+
+    def start(trigger: dict):
+        return start_sliced_collect(
+            views.probe_hits(rows), mounts=lambda: views.mounts(spark, sf_dir), execs=exec_stream(rows), sinks=[sink],
+            checkpoint=checkpoint, interval=interval, trigger=trigger, delay_seconds=DELAY_SECONDS,
+        )
+
+    query = start({"processingTime": "1 day"})  # one micro-batch now, the next tomorrow
+    while query.isActive and query.lastProgress is None:
+        time.sleep(0.2)
+    stop_collect(query, [sink])
+    closed = sink.closed
+    start({"availableNow": True}).awaitTermination()
+    return stored_samples(spark, sink.path), closed
+
+
 TTL = 6 * HOUR
 #: Parts of the queries that look at what a collector keeps.
 FEW_PARTS = 4
