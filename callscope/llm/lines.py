@@ -10,7 +10,8 @@ holds a shard's arrays behind a sort, so memory is that of the arrays however ma
 arrays are copied ``SPLITS`` times and its probes spread over the copies, so a very common line is spread, too.
 
 Defined results: a null text is one empty line; white space and short lines never count; documents without an id
-count as one document with the largest id; rows that repeat an id are one document, too; no rows give no rows. Extra columns are left alone.
+count as one document with the largest id (their rows are found again by a hash of their text, so they are no hot key);
+rows that repeat an id are one document, too; no rows give no rows. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -49,20 +50,19 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hi, lo, part, ids): each key of a batch with the documents that hold it."""
+    """(hi, lo, part, unnamed, ids): each key of a batch with the documents that hold it, those without an id (by their mark) apart."""
     for batch in batches:
-        holders: dict[bytes, list[int]] = {}
-        ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
-        for doc, text in zip(ids, _texts(batch)):
-            doc = _LAST if doc is None else doc
+        holders: dict[tuple[bool, bytes], list[int]] = {}
+        ids, marks = batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("mark").to_pylist()
+        for doc, mark, text in zip(ids, marks, _texts(batch)):
             for key in {k for line in text.split(b"\n") if (k := _key(line)) is not None}:
-                holders.setdefault(xxhash.xxh3_128_digest(key), []).append(doc)
-        both = np.frombuffer(b"".join(holders), dtype=">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
-        part = (hash(ids[0] if ids else 0)) % SPLITS
+                holders.setdefault((doc is None, xxhash.xxh3_128_digest(key)), []).append(mark if doc is None else doc)
+        both = np.frombuffer(b"".join(key for _, key in holders), dtype=">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
+        part = hash(ids[0] or marks[0] or 0) % SPLITS if ids else 0
         yield pa.RecordBatch.from_arrays([
             pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.full(len(both), part, np.int32)),
-            pa.array([sorted(set(v)) for v in holders.values()], pa.list_(pa.int64())),
-        ], names=["hi", "lo", "part", "ids"])
+            pa.array([unnamed for unnamed, _ in holders], pa.bool_()), pa.array([sorted(set(v)) for v in holders.values()], pa.list_(pa.int64())),
+        ], names=["hi", "lo", "part", "unnamed", "ids"])
 
 
 def _shard_arrays(keys, pdf):
@@ -87,7 +87,7 @@ _PROBE = "hi long, lo long, ids array<long>"
 
 
 def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, part) with the arrays first: (doc_id, hi, lo) of each line to drop."""
+    """Rows sorted by (shard, part) with the arrays first: (id, unnamed, hi, lo) of each line to drop."""
     arrays, current = None, None
     for batch in batches:
         shard, part = batch.column("shard").to_numpy(), batch.column("part").to_numpy()
@@ -117,11 +117,11 @@ def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hits = np.flatnonzero(known)
             ids = rows.column("ids").take(pa.array(hits))
             held = np.repeat(hits, ids.value_lengths().to_numpy())
-            docs = ids.flatten().to_numpy()
-            drop = docs != owners[at[held]]
+            docs, unnamed = ids.flatten().to_numpy(), rows.column("unnamed").to_numpy(zero_copy_only=False)[held].astype(bool)
+            drop = np.where(unnamed, _LAST, docs) != owners[at[held]]
             yield pa.RecordBatch.from_arrays([
-                pa.array(docs[drop]), pa.array(hi[held[drop]].view(np.int64)), pa.array(lo[held[drop]].view(np.int64)),
-            ], names=["doc_id", "hi", "lo"])
+                pa.array(docs[drop]), pa.array(unnamed[drop]), pa.array(hi[held[drop]].view(np.int64)), pa.array(lo[held[drop]].view(np.int64)),
+            ], names=["id", "unnamed", "hi", "lo"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,28 +154,29 @@ def drop_repeated_lines(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFr
     """doc_id, n_lines, n_dropped, kept_text of every document."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    probes = written(rows.mapInArrow(_probes, "hi long, lo long, part int, ids array<long>"), "line-probes")
+    rows = rows.withColumn("mark", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    probes = written(rows.mapInArrow(_probes, "hi long, lo long, part int, unnamed boolean, ids array<long>"), "line-probes")
     keys = probes.agg(F.approx_count_distinct("hi").alias("n")).first()["n"]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // shard_keys))
     shard = F.pmod("hi", F.lit(shards)).cast("int").alias("shard")
     # repeated rows of one id are one document: count ids by their smallest and largest
+    named = lambda place: F.when(F.col("unnamed"), F.lit(int(_LAST))).otherwise(F.element_at("ids", place))
     distinct = probes.groupBy("hi", "lo").agg(
-        F.min(F.element_at("ids", 1)).alias("owner"), F.max(F.element_at("ids", -1)).alias("last"),
+        F.min(named(1)).alias("owner"), F.max(named(-1)).alias("last"),
         F.sum(F.size("ids")).alias("n"),
     ).select(shard, "hi", "lo", "owner", F.when(F.col("owner") == F.col("last"), 1).otherwise(F.greatest("n", F.lit(2))).alias("docs"))
     index = distinct.groupBy("shard").applyInPandas(_shard_arrays, _INDEX)
     copies = index.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("part"),
-        F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("array<long>").alias("ids"),
+        F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("boolean").alias("unnamed"), F.lit(None).cast("array<long>").alias("ids"),
     )
-    stream = copies.unionByName(probes.select(shard, "part", "hi", "lo", "ids"), allowMissingColumns=True)
+    stream = copies.unionByName(probes.select(shard, "part", "hi", "lo", "unnamed", "ids"), allowMissingColumns=True)
     stream = stream.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("bits").isNull())
     drops = (
-        stream.mapInArrow(_probed, "doc_id long, hi long, lo long")
-        .groupBy("doc_id").agg(F.collect_list("hi").alias("his"), F.collect_list("lo").alias("los"))
+        stream.mapInArrow(_probed, "id long, unnamed boolean, hi long, lo long")
+        .groupBy("id", "unnamed").agg(F.collect_list("hi").alias("his"), F.collect_list("lo").alias("los"))
     )
-    # a null id has no number to be found by; it was probed as the largest
-    found = F.coalesce(rows["doc_id"], F.lit(int(_LAST))) == drops["doc_id"]
+    found = (F.coalesce(rows["doc_id"], rows["mark"]) == drops["id"]) & (rows["doc_id"].isNull() == drops["unnamed"])
     joined = rows.join(drops, found, "left").select(rows["doc_id"], "text", "his", "los")
     return joined.mapInArrow(_kept, "doc_id long, n_lines long, n_dropped long, kept_text string")
 

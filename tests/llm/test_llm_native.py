@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 from compare import difference, sql_result
@@ -84,6 +85,17 @@ def test_lines_without_an_id_are_one_document(spark):
     assert sorted(r["n_dropped"] for r in lines.query(documents(spark, rows)).collect()) == [0, 1, 1]
 
 
+def test_line_dedup_of_documents_without_an_id(spark):
+    """They lose the lines of documents with an id and keep what only they share, each row by its own text."""
+    rows = [(7, "a line of seven\nanother of its own")]
+    rows += [(None, f"a line of seven\nshared without an id\nown line number {i}") for i in range(50)] + [(None, "a line of seven")] * 3 + [(None, None)]
+    docs = spark.createDataFrame([(i, "s", "en", t) for i, t in rows], "doc_id long, source string, lang string, text string").repartition(6)
+    got = Counter(map(tuple, lines.drop_repeated_lines(docs).collect()))
+    want = Counter([(7, 2, 0, rows[0][1]), (None, 1, 0, "")] + [(None, 1, 1, "")] * 3)
+    want.update((None, 3, 1, f"shared without an id\nown line number {i}") for i in range(50))
+    assert got == want
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
