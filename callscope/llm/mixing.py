@@ -12,6 +12,7 @@ get a target of 0 and rate 0; rows that repeat an id and text draw alike; no row
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,12 +43,10 @@ def _ranked_sources(sized: DataFrame) -> DataFrame:
         "mix-sources",
     )
     part = F.shiftright("at", 33)
-    counts = sorted((r["part"], r["count"]) for r in placed.groupBy(part.alias("part")).count().collect())
-    before, offsets = 0, F.lit(0).cast("long")
-    for number, count in counts:
-        offsets = F.when(part == number, F.lit(before)).otherwise(offsets)
-        before += count
-    return placed.select("source", "source_size", (offsets + F.col("at").bitwiseAND((1 << 33) - 1)).alias("rank"))
+    counts = {r["part"]: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}
+    before = [0, *accumulate(counts.get(number, 0) for number in range(max(counts, default=0)))]
+    offset = F.get(F.array(*map(F.lit, before)).cast("array<long>"), part.cast("int"))
+    return placed.select("source", "source_size", (offset + F.col("at").bitwiseAND((1 << 33) - 1)).alias("rank"))
 
 
 def source_targets(sized: DataFrame, weight: Callable[[Column], Column] = cyclic_weight, most: int = MOST) -> DataFrame:
