@@ -6,7 +6,7 @@ own model. A text is preceded by ``ORDER`` - 1 spaces, so each of its bytes ends
 The model is trained on all trusted documents: those with a label of good quality that is not toxic. Its tables (n-grams,
 contexts and continuation counts of every order) are sharded by n-gram and joined on it, order by order; the result has
 an entry per n-gram with its probability and, where it is a context, the weight of shorter ones. For scoring, documents
-are dealt into blocks by id. A block asks for each of its distinct n-grams once; these requests are sharded by n-gram,
+are dealt into blocks by id and text. A block asks for each of its distinct n-grams once; these requests are sharded by n-gram,
 joined with the entries, and go back to the block, where the probabilities of its documents' bytes are put together.
 Nothing of the corpus is collected or broadcast, and a very frequent n-gram costs a block one row.
 
@@ -18,8 +18,8 @@ are dealt into two folds by a hash of the text, and each is judged by a model of
 than ``FEW_OF_LANGUAGE`` trusted documents, or with none in a fold, have the perplexity and the limits of all trusted text.
 
 Defined results: null texts are empty, have no n-grams, perplexity null, and are kept; null languages form one language;
-rows that repeat an id and text are scored alike; a document labelled twice is trusted if any label trusts it; no rows
-give no rows; without trusted text all is kept; if all trusted text is in one fold the limit is a perplexity of 256.
+rows that repeat an id and text are scored alike, in one block; a document labelled twice is trusted if any label trusts it;
+no rows give no rows; without trusted text all is kept; if all trusted text is in one fold the limit is a perplexity of 256.
 """
 
 from __future__ import annotations
@@ -286,29 +286,30 @@ def _trusted(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
+def dealt_out(docs: DataFrame, blocks: int) -> DataFrame:
+    """block, doc_id, mark, language, fold, text of every document, in ``blocks`` blocks for each fold.
+
+    Blocks go by id and text, so an id that very many rows share is dealt too. A block has one fold: it asks one model without it.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    doc_id, mark, fold = F.col("doc_id").cast("long"), F.xxhash64(text, "lang"), F.pmod(F.xxhash64(text), F.lit(_FOLDS)).cast("int")
+    language = F.shiftleft(F.pmod(F.xxhash64("lang"), F.lit((_LANGUAGES >> 2) - 1)) + 1, 2).cast("int")
+    return docs.select(
+        (F.pmod(F.xxhash64(doc_id, mark), F.lit(blocks)) * _FOLDS + fold).cast("int").alias("block"), doc_id.alias("doc_id"),
+        mark.alias("mark"), language.alias("language"), fold.alias("fold"), text.alias("text"),
+    )
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, mark (a hash of text and language), language (a model), n_grams, logp (sum) of every document.
 
     A trusted document has more rows, of models that lack its fold.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    mark = F.xxhash64(text, "lang")
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    dealt = max(1, -(-size // (BLOCK_BYTES * _FOLDS)))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fold, language = F.col("fold"), F.col("language")
-
-    def block(key: Column, fold: Column) -> Column:
-        return (F.pmod(F.xxhash64(key), F.lit(dealt)) * _FOLDS + fold).cast("int")  # of one fold: asks one model without it
-
-    own_fold = F.pmod(F.xxhash64(text), F.lit(_FOLDS)).cast("int")
-    plain = docs.select(
-        block(F.coalesce(F.col("doc_id").cast("long"), mark), own_fold).alias("block"),
-        F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"),
-        F.shiftleft(F.pmod(F.xxhash64("lang"), F.lit((_LANGUAGES >> 2) - 1)) + 1, 2).cast("int").alias("language"),
-        own_fold.alias("fold"), text.alias("text"),
-    )
+    plain = dealt_out(docs, max(1, -(-size // (BLOCK_BYTES * _FOLDS))))
     # of the texts only those that may be trusted move: Spark filters the scan by a Bloom filter of the labels' ids
-    trusted = plain.select("doc_id", "language", "fold", "text").join(_trusted(labels), "doc_id", "left_semi")
+    trusted = plain.select("block", "doc_id", "language", "fold", "text").join(_trusted(labels), "doc_id", "left_semi")
     known = trusted.where("text != ''").groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("folds"))
     known = written(known.where((F.col("n") >= FEW_OF_LANGUAGE) & (F.col("folds") == _FOLDS)).select("language", F.lit(True).alias("known")), "languages")
     # no document needs the model of all trusted text if each has a language's
@@ -316,8 +317,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trained = F.array(*[x for own in [language, F.lit(_WIDE)][: 1 + wide] for x in (own, *[F.when(fold != f, own + 1 + f) for f in range(_FOLDS)])])
     counts = trusted.select(F.array_compact(trained).alias("languages"), "text").mapInArrow(_counted, "gram long, count long")
     model = written(_model(written(counts.groupBy("gram").agg(F.sum("count").alias("count")), "grams")), "model")
-    names = _trusted(labels).where("doc_id is not null").withColumn("fold", F.explode(F.array(*map(F.lit, range(_FOLDS)))))
-    names = names.select(block(F.col("doc_id"), fold).alias("block"), "doc_id").mapInArrow(_named, _FRAMES)
+    names = trusted.select("block", "doc_id").mapInArrow(_named, _FRAMES)  # ids only: their texts do not move again
     own = F.when(F.col("known"), language).otherwise(F.lit(_WIDE)).alias("language")
     rows = plain.join(known, "language", "left") if wide else plain.withColumn("known", F.lit(True))
     rows = rows.select("block", "doc_id", "mark", own, "text").mapInArrow(_framed, _FRAMES)

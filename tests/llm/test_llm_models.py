@@ -433,6 +433,20 @@ def test_perplexities_equal_plain_dictionaries(spark):
         assert math.isclose(got[i, len(data)], math.exp(loss), rel_tol=1e-9)
 
 
+def test_an_id_of_all_rows_is_dealt_over_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(7 if i % 4 else i, t, "x", None) for i, t in enumerate(random_texts(11, 80))], SCHEMA)
+    labels = spark.createDataFrame([(7, 1, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.dealt_out(docs, 8).where("doc_id = 7").select("block").distinct().count() > 8
+    rows = lambda: sorted(quality.query(docs, labels).collect(), key=str)
+    few = rows()
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 200)
+    many = rows()
+    assert len(few) == 80 and any(r["threshold"] is not None for r in few)
+    for a, b in zip(few, many):
+        assert (a["doc_id"], a["n_grams"], a["kept"]) == (b["doc_id"], b["n_grams"], b["kept"])
+        assert a["perplexity"] is b["perplexity"] is None or math.isclose(a["perplexity"], b["perplexity"], rel_tol=1e-9)
+
+
 def test_probabilities_sum_to_one():
     p = brute_model([b"abracadabra", b"banana bandana"])
     assert math.isclose(sum(p((b"  ab" + bytes([c]))[-quality.ORDER :]) for c in range(256)), 1.0)
