@@ -20,6 +20,7 @@ from callscope.operators.mounts import attach_mounts
 from callscope.operators.tagging import attach_tags
 from callscope.streaming.kept import kept_sizes
 from callscope.streaming.sliced import SlicedCollector, start_sliced_collect, together
+from callscope.streaming.steps import start_sliced_calls, start_sliced_tags, to_parquet
 from callscope.streaming.tagging import stream_tags
 
 FAR = 4_000_000_000 * 10**9
@@ -64,6 +65,37 @@ def test_pairs_of_late_rows(spark, tmp_path):
     assert sorted(map(tuple, got.select(*COLUMNS).collect())) == state_machine(rows)
 
 
+def test_sliced_pairs_of_late_rows_stop_and_go_on(spark, tmp_path):
+    rows = random_events(3, 400)
+    batches = mixed_up(rows, 5, 150)
+    too_late = ("h0", 1, 1, 0, "late", "nfs_lookup", "E", 1, -7, 1, 0, 0, 0, 0)
+
+    write_batches(spark, tmp_path / "in" / "a", batches[:2], PROBE_SCHEMA)
+    go_on = lambda: start_sliced_calls(
+        probe_events(spark, f"{tmp_path}/in/*/*", stream=True, maxFilesPerTrigger=1), to_parquet(f"{tmp_path}/out"),
+        f"{tmp_path}/state", {"availableNow": True}, delay_seconds=10, slice_seconds=2, late_rows=f"{tmp_path}/late",
+    ).awaitTermination()
+    go_on()
+    write_batches(spark, tmp_path / "in" / "b", batches[2:] + [[end_row()], [too_late]], PROBE_SCHEMA)
+    go_on()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, got.select(*COLUMNS).collect())) == state_machine(rows)
+    assert [r["seq"] for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [-7]
+
+
+def test_sliced_pairs_forget_open_calls(spark, tmp_path):
+    second = 10**9
+    hit = lambda tid, phase, t, seq: ("h", tid, 1, 0, "c", "nfs_lookup", phase, t * second, seq, 1, 0, 0, 0, 0)
+    batches = [[hit(1, "E", 1, 1), hit(2, "E", 1, 2), hit(3, "E", 40, 3)], [hit(1, "R", 5, 4), hit(2, "R", 41, 5)], [end_row(100 * second)], [hit(3, "R", 101, 6)], [end_row()]]
+    write_batches(spark, tmp_path / "in", batches, PROBE_SCHEMA)
+    start_sliced_calls(
+        read(spark, tmp_path / "in"), to_parquet(f"{tmp_path}/out"), f"{tmp_path}/state", {"availableNow": True},
+        delay_seconds=60, ttl_seconds=30,
+    ).awaitTermination()
+    assert [(r["TID"], r["DURATION_NS"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, 4 * second)]
+    assert kept_sizes(spark, f"{tmp_path}/state/kept").where("name = 'rows'").orderBy("batch").first()["n"] == 3
+
+
 def test_counters_of_pairs(spark, tmp_path):
     rows = random_events(4, 400)
     write_batches(spark, tmp_path / "in", mixed_up(rows, 5, 200) + [[end_row()]], PROBE_SCHEMA)
@@ -86,6 +118,12 @@ def test_tags(spark, tmp_path):
     )
     got = run(stream_tags(stream("s", SAMPLE), stream("e", HISTORY), delay="200 seconds"), tmp_path, "tagged")
     assert {r.n: r.TAGS for r in got.collect()} == newest(samples, execs, {})
+    start_sliced_tags(
+        stream("s", SAMPLE), stream("e", HISTORY), to_parquet(f"{tmp_path}/sliced"), f"{tmp_path}/sliced-state",
+        {"availableNow": True}, delay_seconds=200, slice_seconds=30,
+    ).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/sliced")
+    assert {r.n: r.TAGS for r in got.collect()} == newest(samples, execs, {})
 
 
 def test_tag_state_expires(spark, tmp_path):
@@ -98,6 +136,12 @@ def test_tag_state_expires(spark, tmp_path):
     stream = lambda sub, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{sub}")
     got = run(stream_tags(stream("s", SAMPLE), stream("e", HISTORY), ttl_seconds=10), tmp_path, "out")
     assert {r.n: r.TAGS for r in got.collect()} == {0: {"A": "1"}, 1: {}}
+    start_sliced_tags(
+        stream("s", SAMPLE), stream("e", HISTORY), to_parquet(f"{tmp_path}/sliced"), f"{tmp_path}/sliced-state",
+        {"availableNow": True}, ttl_seconds=10,
+    ).awaitTermination()
+    assert {r.n: r.TAGS for r in spark.read.parquet(f"{tmp_path}/sliced").collect()} == {0: {"A": "1"}, 1: {}}
+    assert kept_sizes(spark, f"{tmp_path}/sliced-state/kept").where("name = 'execs'").agg(F.min("n")).first()[0] == 0
 
 
 @pytest.mark.parametrize("start", [start_collect, start_sliced_collect])

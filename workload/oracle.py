@@ -403,6 +403,7 @@ def build() -> dict[str, str]:
       SELECT s.event_id AS SEQ, s.HOSTNAME, s.PID, coalesce(x.tags, '') AS TAGS
       FROM (SELECT * FROM ev WHERE event_type <> 'signup') s ASOF LEFT JOIN execs x
         ON s.HOSTNAME = x.HOSTNAME AND s.PID = x.PID AND s.ts >= x.ts"""
+    q["stream_pairs_sliced"], q["stream_tags_sliced"] = q["pair_calls"], q["stream_tags"]
     q["stream_samples"] = q["probe_samples"]
     q["stream_samples_sliced"] = q["probe_samples"]
     _add_kept_state(q)

@@ -679,6 +679,14 @@ def stream_tags(spark, d):
     return plain(streams.tagged_samples(spark, d))
 
 
+def stream_pairs_sliced(spark, d):
+    return plain(streams.sliced_calls(spark, d))
+
+
+def stream_tags_sliced(spark, d):
+    return plain(streams.sliced_tags(spark, d))
+
+
 def stream_samples(spark, d):
     return plain(streams.collected_samples(spark, d, DAY).select(*SAMPLE_COLUMNS))
 
@@ -778,6 +786,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sink_metrics": sink_metrics,
     "sink_fanout": sink_fanout,
     "stream_tags": stream_tags,
+    "stream_pairs_sliced": stream_pairs_sliced,
+    "stream_tags_sliced": stream_tags_sliced,
     "stream_samples": stream_samples,
     "stream_samples_sliced": stream_samples_sliced,
     "sink_console": sink_console,

@@ -17,6 +17,7 @@ from callscope.streaming.collect import start_collect, stop_collect
 from callscope.streaming.kept import kept_sizes
 from callscope.streaming.pairing import stream_calls
 from callscope.streaming.sliced import start_sliced_collect
+from callscope.streaming.steps import start_sliced_calls, start_sliced_tags, to_parquet
 from callscope.streaming.tagging import stream_tags
 from workload import views
 
@@ -102,18 +103,38 @@ def paired_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(spark, stream_calls(hits, DELAY), "calls")
 
 
+def sliced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired by the batch operator, micro-batch by micro-batch."""
+    hits = views.probe_hits(event_stream(spark, sf_dir))
+    return _delivered(spark, "calls", start_sliced_calls, hits)
+
+
+def _delivered(spark: SparkSession, name: str, start: Callable, *inputs: DataFrame) -> DataFrame:
+    path, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    start(*inputs, to_parquet(path), state, {"availableNow": True}, delay_seconds=DELAY_SECONDS).awaitTermination()
+    return spark.read.parquet(path).drop("batch")
+
+
 def exec_stream(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("event_type") == "signup").select(
         "HOSTNAME", "PID", "ts", F.col("event_id").alias("seq"), views.event_tags().alias("TAGS")
     ).where(F.size("TAGS") > 0)
 
 
-def tagged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_stream(spark, sf_dir)
-    samples = rows.where(F.col("event_type") != "signup").select(
+def sample_stream(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("event_type") != "signup").select(
         F.col("event_id").alias("SEQ"), "HOSTNAME", "PID", F.col("ts").alias("TIMESTAMP")
     )
-    return finished(spark, stream_tags(samples, exec_stream(rows), delay=DELAY).drop("TIMESTAMP"), "tagged")
+
+
+def tagged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir)
+    return finished(spark, stream_tags(sample_stream(rows), exec_stream(rows), delay=DELAY).drop("TIMESTAMP"), "tagged")
+
+
+def sliced_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir)
+    return _delivered(spark, "tagged", start_sliced_tags, sample_stream(rows), exec_stream(rows)).drop("TIMESTAMP")
 
 
 def collected_samples(spark: SparkSession, sf_dir: str, interval: int) -> DataFrame:
