@@ -7,6 +7,10 @@ response and the others are revisits that refer to it; shorter payloads are alwa
 
 The header table joins the payload table by a plain join: adaptive execution splits a digest that many records share.
 
+The rebuilt records are written as WARC files of about ``VOLUME_BYTES`` (before compression), each read back whole by one
+task; a longer record has a file of its own. In the files a revisit has no payload: its length and digest are those
+of the response with its strong digest. Records whose payload is missing or damaged are not exported: that is an error.
+
 Defined results: a null html is an empty payload; a null url is left out of the header; a page without an id can only be
 a response; repeated rows are records of their own; no pages give an empty archive. Extra columns are left alone.
 """
@@ -14,6 +18,7 @@ a response; repeated rows are records of their own; no pages give an empty archi
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -23,9 +28,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.plans.storage import scratch_path
+from callscope.plans.storage import scratch_path, written
 
 REVISIT_FROM = 1000
+#: A WARC file holds about so many bytes.
+VOLUME_BYTES = 16_000_000
 #: Records carry this date unless the pages have one.
 DATE = "2024-01-01T00:00:00Z"
 _DIGESTS = "page_id long, url string, strong string, payload_digest string, payload_bytes long"
@@ -130,13 +137,33 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return joined.mapInArrow(_reconstructed, _RECORDS)
 
 
-def export_warc(records: DataFrame, path: str) -> None:
-    """The records as WARC files, one file per partition: a row of text per record, ended by two line ends.
+def _volumes(batches: Iterator[pa.RecordBatch], volume_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Records put together to files; the writer adds the last record's two line ends."""
+    def volume(records):
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(records)[:-4]], pa.binary())], names=["volume"])
+
+    records, size = [], 0
+    for batch in batches:
+        for record, sound in zip(batch.column("record").to_pylist(), batch.column("sound").to_pylist()):
+            if not sound:
+                raise ValueError(f"the payload of a record is missing or damaged: {record[:300]!r}")
+            if records and size + len(record) > volume_bytes:
+                yield volume(records)
+                records, size = [], 0
+            records.append(record)
+            size += len(record)
+    if records:
+        yield volume(records)
+
+
+def export_warc(records: DataFrame, path: str, volume_bytes: int = VOLUME_BYTES) -> None:
+    """The records of ``read_archive`` as compressed WARC files, each one row of text to the writer.
 
     Payloads that came from text columns are valid UTF-8, which the text writer keeps as it is.
     """
-    text = F.expr("cast(substring(record, 1, length(record) - 4) as string)")
-    records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    rows = records.select("record", "sound").mapInArrow(lambda b: _volumes(b, volume_bytes), "volume binary")
+    writer = rows.select(F.col("volume").cast("string").alias("value")).write
+    writer.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def _split_records(data: bytes) -> Iterator[bytes]:
@@ -153,11 +180,54 @@ def import_warc(spark: SparkSession, path: str) -> DataFrame:
     def read(batches):
         for batch in batches:
             for data in batch.column("content").to_pylist():
+                data = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
                 yield pa.RecordBatch.from_arrays([pa.array(list(_split_records(data)), pa.binary())], names=["record"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, "record binary")
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fields of records, with length and digests of the payloads they hold."""
+    for batch in batches:
+        rows = []
+        for record in batch.column("record").to_pylist():
+            header, _, rest = record.partition(b"\r\n\r\n")
+            fields, payload = parse_header(header + b"\r\n\r\n"), rest[:-4]
+            response = fields["warc-type"] == "response"
+            own, other = (re.sub(r"[^0-9-]", "", fields.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
+            sound = len(payload) == int(fields["content-length"])
+            if response:
+                sound &= "sha256:" + hashlib.sha256(payload).hexdigest() == fields["x-payload-strong-digest"]
+            rows.append((
+                int(own) if own else None, fields["warc-type"], int(other) if other else None,
+                fields["x-payload-strong-digest"], fields["warc-payload-digest"], int(fields["x-payload-length"]),
+                len(payload) if response else None, hashlib.sha1(payload).hexdigest() if response else None, sound,
+            ))
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, types)],
+            names=["page_id", "record_type", "refers_to", "strong", "said_digest", "said_bytes", "own_bytes", "own_digest", "own_sound"],
+        )
+
+
+_OPENED = "page_id long, record_type string, refers_to long, strong string, said_digest string, said_bytes long, own_bytes long, own_digest string, own_sound boolean"
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, sound of the records of WARC files. A revisit has the
+    payload of the responses with its strong digest; ``sound`` where what was read agrees with the header."""
+    opened = written(import_warc(spark, path).mapInArrow(_opened, _OPENED), "opened")  # fields only; read by both sides
+    held = opened.where("record_type = 'response' and own_sound").groupBy("strong")
+    held = held.agg(F.any_value("own_bytes").alias("bytes"), F.any_value("own_digest").alias("digest"))
+    rows = opened.join(held, "strong", "left")
+    length, digest = F.coalesce("own_bytes", "bytes"), F.coalesce("own_digest", "digest")
+    agrees = (length == F.col("said_bytes")) & (F.concat(F.lit("sha1:"), digest) == F.col("said_digest")) & F.col("own_sound")
+    return rows.select(
+        "page_id", length.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to",
+        F.coalesce(agrees, F.lit(False)).alias("sound"),
+    )
+
+
 def block_digest(payload: bytes) -> str:
     """The usual printed form of a payload digest: base 32 of SHA-1."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -167,9 +237,8 @@ def query(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archive(pages, path)
-    return read_archive(spark, path).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound"
-    )
+    export_warc(read_archive(spark, path), f"{path}/warc")
+    return read_warc(spark, f"{path}/warc")
 
 
 ORACLE = """

@@ -189,6 +189,12 @@ def test_archive_gives_back_every_record(spark, tmp_path):
     warc.export_warc(warc.read_archive(spark, path), str(tmp_path / "warc"))
     back = warc.import_warc(spark, str(tmp_path / "warc")).collect()
     assert sorted(bytes(r["record"]) for r in back) == sorted(bytes(r["record"]) for r in records)
+    # files of one or two records each, and what they hold
+    warc.export_warc(warc.read_archive(spark, path).coalesce(1), str(tmp_path / "small"), volume_bytes=3000)
+    assert len(list((tmp_path / "small").glob("*.gz"))) > 3
+    fields = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound"]
+    rows = lambda df: sorted(map(tuple, df.select(fields).collect()), key=str)
+    assert rows(warc.read_warc(spark, str(tmp_path / "small"))) == rows(warc.read_archive(spark, path))
 
 
 def test_more_lines_than_a_shard_may_hold(spark):
@@ -214,6 +220,13 @@ def test_a_missing_payload_shows_in_all_its_records(spark, tmp_path):
         (1, "revisit", None), (2, "response", None), (2, "response", None), (None, "response", None),
         (5, "revisit", 5), (6, "response", 5),
     ], key=str)
+    with pytest.raises(Exception, match="missing or damaged"):
+        warc.export_warc(warc.read_archive(spark, f"{tmp_path}/broken"), f"{tmp_path}/broken/warc")
+    # files of which some are lost: their responses' payloads show in the revisits that are left
+    files = f"{tmp_path}/files"
+    warc.export_warc(warc.read_archive(spark, path).where("page_id is null or page_id not in (2, 6)").where("page_id is not null"), files)
+    rows = {r["page_id"]: r for r in warc.read_warc(spark, files).collect()}
+    assert {i for i, r in rows.items() if not r["sound"]} == {1, 5} and rows[1]["payload_bytes"] is None
 
 
 def test_empty_tables(spark):
