@@ -163,7 +163,8 @@ def export_warc(records: DataFrame, path: str, volume_bytes: int = VOLUME_BYTES)
     """
     rows = records.select("record", "sound").mapInArrow(lambda b: _volumes(b, volume_bytes), "volume binary")
     writer = rows.select(F.col("volume").cast("string").alias("value")).write
-    writer.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    writer = writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    writer.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).text(path)
 
 
 def _split_records(data: bytes) -> Iterator[bytes]:
