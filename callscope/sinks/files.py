@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callscope.functions.records import json_iso
@@ -62,20 +62,26 @@ class JsonFileSink(Sink):
         sized = lines.withColumn("bytes", F.octet_length("value").cast("long") + 1).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             sums = sized.agg(F.sum("bytes").alias("total"), F.max("bytes").alias("longest")).first()
-            if sums["total"] is None:
+            total = sums["total"]
+            if total is None:
                 return
-            lanes = -(-sums["total"] // self.lane_bytes)
-            placed = in_volumes(sized, open_volume, used, max(1, self.max_bytes - sums["longest"]), lanes)
+            limit = max(1, self.max_bytes - sums["longest"])
+            last = open_volume + (used + total - 1) // limit  # where the last line ends
+            lanes = -(-total // self.lane_bytes)
+            # As many tasks as the bytes ask for: a task opens files for all that come after it, which for the hundreds of
+            # partitions of a session is more work than the rows of a small batch.
+            tasks = max(-(-total // LANE_BYTES), min(last - open_volume + 1, spark.sparkContext.defaultParallelism))
+            placed = in_volumes(sized.coalesce(tasks), open_volume, used, limit, lanes, tasks)
+            seen = Observation()
             (
-                placed.select("value", "volume", F.lit(batch_id).alias("batch"), "date").repartition("volume", "date")
+                placed.withColumn("batch", F.lit(batch_id)).repartition(tasks, "volume", "date")
+                .observe(seen, F.min("volume").alias("first"), F.sum(F.when(F.col("volume") == last, F.col("bytes"))).alias("filled"))
+                .select("value", "volume", "batch", "date")
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("volume", "batch", "date")
                 .option("maxRecordsPerFile", self.max_records).text(self.path)
             )
-            bounds = placed.groupBy("volume").agg(F.sum("bytes").alias("bytes")).agg(
-                F.min("volume").alias("first"), F.max(F.struct("volume", "bytes")).alias("last")
-            ).first()
-            first, last = bounds["first"], bounds["last"]["volume"]
-            filled = bounds["last"]["bytes"] + (used if last == open_volume else 0)
+            first = seen.get["first"]
+            filled = seen.get["filled"] + (used if last == open_volume else 0)
         finally:
             sized.unpersist()
         put_text(spark, f"{self.path}/_volumes/{batch_id}", json.dumps({"volume": last, "used": filled}))
@@ -106,14 +112,15 @@ class JsonFileSink(Sink):
         )
 
 
-def in_volumes(sized: DataFrame, open_volume: int, used: int, limit: int, lanes: int) -> DataFrame:
+def in_volumes(sized: DataFrame, open_volume: int, used: int, limit: int, lanes: int, tasks: int) -> DataFrame:
     """Lines (value, bytes, ...) with the ``volume`` in which each ends, volumes being ``limit`` bytes apart.
 
     The order is that of lanes, by a hash of the line, and in a lane that of the lines: the same rows always go to the same
-    volumes. A running sum walks one lane at a time; what comes before a lane follows from the lanes' totals.
+    volumes. A running sum walks one lane at a time; what comes before a lane follows from the lanes' totals. Both read one
+    shuffle of the lines, to ``tasks`` tasks.
     """
     number = F.conv(F.substring(F.md5("value"), 1, 8), 16, 10).cast("long")
-    rows = sized.withColumn("lane", number % lanes)
+    rows = sized.withColumn("lane", number % lanes).repartition(tasks, "lane")
     upto = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy("lane").agg(F.sum("bytes").alias("n")).select(
         "lane", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")

@@ -11,6 +11,7 @@ from callscope.operators.conform import SchemaError, conform, tag_column_changes
 from callscope.sinks import (
     BufferSink, ConsoleSink, JsonFileSink, MetricsSink, Sink, SourceSink, TableSink, fan_out, make_sink, register_sink,
 )
+from callscope.sinks.files import in_volumes
 from callscope.sinks.kafka import KafkaSink, kafka_options, message_records
 from callscope.sinks.table import create_sample_table
 from callscope.sources.logs import stored_samples
@@ -221,6 +222,15 @@ def test_rotation_keeps_the_newest_batch_whole(spark, samples, tmp_path):
     assert volumes(spark, sink) == held
 
 
+def test_rotation_orders_a_batch_in_the_tasks_it_is_given(spark, samples):
+    lines = samples.select(F.to_json(F.struct("PID", "COMM", "TAGS")).alias("value")).withColumn("bytes", F.octet_length("value").cast("long") + 1)
+    total = lines.agg(F.sum("bytes")).first()[0]
+    placed = in_volumes(lines.repartition(60), 3, 10, 60, 2, 2)
+    assert placed.rdd.getNumPartitions() <= 2  # not the partitions of the batch, nor of the session
+    ends = sorted((r["volume"] for r in placed.collect()))
+    assert len(ends) == 4 and ends[-1] == 3 + (total + 10 - 1) // 60
+
+
 def test_lines_longer_than_a_volume(spark, samples, tmp_path):
     sink = JsonFileSink(str(tmp_path / "out"), max_size_mb=0.001, max_backups=10)
     sink.write(samples, 0)

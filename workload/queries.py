@@ -34,7 +34,7 @@ from callscope.operators.retention import retained_files
 from callscope.operators.stats import anonymize, check_anonymizable, filter_stats, group_stats
 from callscope.operators.tagging import attach_tags, live_tags, tag_key_drift
 from callscope.plans.collect import collect_samples
-from callscope.plans.storage import delete_path, scratch_path
+from callscope.plans.storage import delete_path, scratch_path, written
 from callscope.sinks import BufferSink, ConsoleSink, JsonFileSink, MetricsSink, TableSink, fan_out, make_sink
 from callscope.sinks.kafka import KafkaSink
 from callscope.sinks.table import create_sample_table
@@ -473,7 +473,7 @@ def sink_fanout(spark, d):
 def sink_rotation(spark, d):
     """Five days of counters per micro-batch in volumes of 0.2 MB, each micro-batch replayed; what is left of them, by volume."""
     sink = JsonFileSink(scratch_path(spark, "rotated"), max_size_mb=0.2, max_backups=3, lane_bytes=50_000)
-    counters = count_calls(views.calls(spark, d), DAY)
+    counters = written(count_calls(views.calls(spark, d), DAY), "counters")
     for batch_id in range(6):
         rows = counters.where(F.floor((F.unix_seconds("TIMESTAMP") - 1704067200) / F.lit(5 * DAY)) == batch_id)
         for _ in range(2):
