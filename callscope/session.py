@@ -9,6 +9,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # What is kept in memory has as many partitions as its bytes need, not all that a shuffle has: each one is a task in every
+    # later job, and a file per day in every sink.
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     # Wide aggregates (65 sums) are generated as one function per sum.
     "spark.sql.codegen.aggregate.splitAggregateFunc.enabled": "true",
     # A join whose small side was filtered thins out the large side's scan before the shuffle, from this size on.

@@ -231,6 +231,14 @@ def test_rotation_orders_a_batch_in_the_tasks_it_is_given(spark, samples):
     assert len(ends) == 4 and ends[-1] == 3 + (total + 10 - 1) // 60
 
 
+def test_a_kept_batch_has_the_partitions_its_bytes_need(spark, samples):
+    kept = samples.groupBy("PID", "COMM").count().persist()
+    try:
+        assert kept.count() == 3 and kept.rdd.getNumPartitions() == 1
+    finally:
+        kept.unpersist()
+
+
 def test_lines_longer_than_a_volume(spark, samples, tmp_path):
     sink = JsonFileSink(str(tmp_path / "out"), max_size_mb=0.001, max_backups=10)
     sink.write(samples, 0)

@@ -459,7 +459,7 @@ def sink_fanout(spark, d):
     """Two sinks and an empty micro-batch between; what both hold."""
     files, metrics = JsonFileSink(scratch_path(spark, "samples")), MetricsSink(scratch_path(spark, "metrics"))
     deliver = fan_out([files, metrics])
-    rows = samples(spark, d)
+    rows = written(samples(spark, d), "all-samples")
     deliver(rows, 0)
     deliver(rows.where("false"), 1)
     deliver(rows, 0)
