@@ -555,7 +555,7 @@ class _MessageFiles(KafkaSink):
 def sink_messages(spark, d):
     """Messages that are sent and those that are too large for a request and set aside; samples of every fifth process have a long path."""
     sent, aside = scratch_path(spark, "messages"), scratch_path(spark, "too-large")
-    sink, rows = _MessageFiles(sent, tracked=TRACKED, set_aside=aside, max_request_size=4096), samples(spark, d)
+    sink, rows = _MessageFiles(sent, tracked=TRACKED, set_aside=aside, max_request_size=4096), written(samples(spark, d), "all-samples")
     rows = rows.withColumn("REMOTE_PATH", F.when(F.col("PID") % 5 == 0, F.repeat(F.lit("/p"), 2048)).otherwise(F.col("REMOTE_PATH")))
     for batch_id in (0, 1):
         sink.write(rows.where(F.pmod(F.unix_seconds("TIMESTAMP") / DAY, F.lit(2)) == batch_id), batch_id)
