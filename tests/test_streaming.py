@@ -2,7 +2,9 @@
 
 import random
 from datetime import timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from helpers import utc
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from callscope.operators.pairing import pair_calls
 from callscope.sinks import JsonFileSink
 from callscope.sources.logs import probe_events, stored_samples
 from callscope.streaming.collect import start_collect, stop_collect, stream_counters
-from callscope.streaming.pairing import stream_calls
+from callscope.streaming.pairing import OpenCalls, stream_calls
 from callscope.operators.mounts import attach_mounts
 from callscope.operators.tagging import attach_tags
 from callscope.streaming.kept import kept_sizes
@@ -65,6 +67,79 @@ def test_pairs_of_late_rows(spark, tmp_path):
     assert sorted(map(tuple, got.select(*COLUMNS).collect())) == state_machine(rows)
 
 
+class CountedState:
+    """One key's state in memory, counting the entries that go to and from it; list, map and value state in one."""
+
+    def __init__(self):
+        self.held, self.written, self.read, self.timers = {}, 0, 0, set()
+
+    def getValueState(self, name, schema):
+        held = self.held.setdefault(name, {})
+        get, put = lambda: held["v"], lambda v: held.update(v=v)
+        return SimpleNamespace(get=get, update=put, exists=lambda: "v" in held, clear=held.clear)
+
+    def _put(self, held, rows):
+        self.written += len(rows)
+        held.update(rows)
+
+    def _take(self, value):
+        self.read += 1
+        return value
+
+    def getMapState(self, name, key_schema, schema):
+        held = self.held.setdefault(name, {})
+        return SimpleNamespace(
+            keys=lambda: iter(list(held)), getValue=lambda k: self._take(held[k]), removeKey=held.pop,
+            updateValue=lambda k, v: self._put(held, {k: v}),
+        )
+
+    def getListState(self, name, schema):
+        held = self.held.setdefault(name, {})
+        add = lambda rows: self._put(held, {len(held) + n: r for n, r in enumerate(rows)})
+        return SimpleNamespace(
+            get=lambda: map(self._take, list(held.values())), appendList=add, clear=held.clear,
+            put=lambda rows: (held.clear(), add(rows)),
+        )
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_rows_of_a_thread_are_few_entries_of_the_state():
+    """Thousands of rows of a thread, out of order in two micro-batches, travel to and from the state some thousands at a time."""
+    n, second = 40_000, 10**9
+    rows = pd.DataFrame({
+        "HOSTNAME": "h", "TID": 1, "PID": 1, "UID": 0, "COMM": "c", "phase": ["E", "R"] * n, "t_ns": [i * second for i in range(2 * n)],
+        "seq": [i // 2 for i in range(2 * n)], "OP_NO": 1, "sbdev": 1, "bytes": 0, "rc": 0,
+    })
+    late = rows["seq"] % 7 == 3
+    state, calls = CountedState(), OpenCalls()
+    calls.init(state)
+    got = []
+
+    def batch(new, watermark_s):
+        frames = [new.iloc[at:at + 10_000] for at in range(0, len(new), 10_000)]
+        assert not list(calls.handleInputRows(("h", 1), iter(frames), None))
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark_s * 1000)
+        for at in sorted(t for t in state.timers if t <= watermark_s * 1000):
+            state.timers.remove(at)
+            got.extend(calls.handleExpiredTimer(("h", 1), now, None))
+
+    batch(rows[~late].sample(frac=1, random_state=1), 0)
+    assert not got
+    before = state.read
+    batch(rows[late].sample(frac=1, random_state=2), 10_001)
+    assert sorted(pd.concat(got)["SEQ"]) == list(range(5000))
+    assert state.read - before <= 6  # two entries were reached of those that came first, one or two of the others
+    batch(rows[:0], 3 * n)
+    calls_done = pd.concat(got)
+    assert calls_done["SEQ"].tolist() == list(range(n)) and set(calls_done["DURATION_NS"]) == {second}
+    assert state.written <= 24 and not state.held["pending"] and not state.timers
+
+
 def test_sliced_pairs_of_late_rows_stop_and_go_on(spark, tmp_path):
     rows = random_events(3, 400)
     batches = mixed_up(rows, 5, 150)
