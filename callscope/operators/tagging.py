@@ -41,6 +41,19 @@ def live_tags(tags: DataFrame, live: DataFrame) -> DataFrame:
     return lookup(tags, live.select(*PROCESS).distinct(), PROCESS, how="left_semi")
 
 
+def execs_around(execs: DataFrame, first_us: int, last_us: int) -> DataFrame:
+    """The execs that matter to ``attach_tags`` of rows from ``first_us`` to ``last_us`` (microseconds): of each process those
+    in between, the newest before and the next one after, up to which the last of them is repeated. Combines before the shuffle."""
+    first, last = F.timestamp_micros(F.lit(first_us)), F.timestamp_micros(F.lit(last_us))
+    ts = F.col("ts").cast("timestamp")
+    row, order = F.struct(*[c for c in execs.columns if c not in PROCESS]), F.struct("ts", "seq")
+    ends = execs.where((ts < first) | (ts > last)).groupBy(*PROCESS).agg(
+        F.max_by(row, F.when(ts < first, order)).alias("__before"), F.min_by(row, F.when(ts > last, order)).alias("__after"),
+    )
+    around = ends.select(*PROCESS, F.inline(F.array_compact(F.array("__before", "__after"))))
+    return execs.where((ts >= first) & (ts <= last)).unionByName(around)
+
+
 def attach_tags(
     samples: DataFrame,
     execs: DataFrame | None,

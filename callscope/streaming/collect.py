@@ -5,11 +5,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callscope.model import DEFAULT_INTERVAL
 from callscope.operators.counters import count_calls
+from callscope.operators.tagging import execs_around
 from callscope.plans.collect import check_options, samples_from_counters
 from callscope.sinks.base import Sink, fan_out
 from callscope.streaming.pairing import stream_calls
@@ -55,21 +58,34 @@ def start_collect(
     Pairing and counting are stream state. Every micro-batch then holds whole intervals, and
     mounts, tags, filter, grouping and masking run on it as the batch operators. ``mounts``,
     ``execs`` and ``late`` may be functions: they are called for every micro-batch, so
-    slowly changing tables are read anew. With a checkpoint a stopped query goes on where
-    it ended.
+    slowly changing tables are read anew; of the execs only those around the micro-batch's
+    intervals are kept meanwhile. With a checkpoint a stopped query goes on where it ended.
     """
     check_stream_options(options)
+    kept = []
 
     def to_samples(counters: DataFrame) -> DataFrame:
-        return samples_from_counters(
-            counters, current(mounts), interval, execs=current(execs), late=current(late), **options
-        )
+        known = current(execs)
+        if known is not None:
+            at = F.unix_micros(F.col("TIMESTAMP").cast("timestamp"))
+            known = execs_around(known, *counters.agg(F.min(at), F.max(at)).first()).persist(StorageLevel.MEMORY_AND_DISK)
+            kept.append(known)
+        return samples_from_counters(counters, current(mounts), interval, execs=known, late=current(late), **options)
+
+    deliver = fan_out(sinks, to_samples)
+
+    def collect(counters: DataFrame, batch_id: int) -> None:
+        try:
+            deliver(counters, batch_id)
+        finally:
+            while kept:
+                kept.pop().unpersist()
 
     counters = stream_counters(stream_calls(events, delay), interval)
     writer = (
         counters.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(fan_out(sinks, to_samples))
+        .foreachBatch(collect)
     )
     return writer.trigger(**(trigger or {"processingTime": f"{interval} seconds"})).start()
 

@@ -19,7 +19,8 @@ from callscope.sources.logs import probe_events, stored_samples
 from callscope.streaming.collect import start_collect, stop_collect, stream_counters
 from callscope.streaming.pairing import OpenCalls, stream_calls
 from callscope.operators.mounts import attach_mounts
-from callscope.operators.tagging import attach_tags
+from callscope.operators.tagging import attach_tags, execs_around
+from callscope.plans.collect import samples_from_counters
 from callscope.streaming.kept import kept_sizes
 from callscope.streaming.sliced import SlicedCollector, start_sliced_collect, together
 from callscope.streaming.steps import start_sliced_calls, start_sliced_tags, to_parquet
@@ -257,6 +258,47 @@ def test_collect_stops_and_goes_on(spark, tmp_path, start):
     assert got.groupBy("TIMESTAMP", "HOSTNAME", "MOUNT", "COMM").count().where("count > 1").count() == 0
 
 
+def test_collect_takes_the_execs_around_a_micro_batch(spark, tmp_path, monkeypatch):
+    """Each micro-batch tags its rows from the execs of its own time, not from the whole history."""
+    hit = lambda phase, t: ("h", 1, 1, 0, "c", "nfs_lookup", phase, t * 10**9, t, 1, 0, 0, 0, 0)
+    calls = [hit("ER"[t % 2], t) for t in range(400)]
+    write_batches(spark, tmp_path / "in", [calls[:200], calls[200:], [end_row()]], PROBE_SCHEMA)
+    start = utc(1970, 1, 1)
+    execs = spark.createDataFrame([("h", 1, start + timedelta(seconds=2 * n), n, {"S": str(n)}) for n in range(500)], HISTORY)
+    taken = []
+
+    def counted(*args, execs, **options):
+        taken.append(execs.count())
+        return samples_from_counters(*args, execs=execs, **options)
+
+    monkeypatch.setattr("callscope.streaming.collect.samples_from_counters", counted)
+    sink = JsonFileSink(str(tmp_path / "out"))
+    mounts = spark.createDataFrame([], "HOSTNAME string, devt string, MOUNT string, REMOTE_PATH string")
+    start_collect(
+        read(spark, tmp_path / "in"), mounts, [sink], str(tmp_path / "state"), interval=5, execs=execs, delay="10300 milliseconds",
+        trigger={"availableNow": True},
+    ).awaitTermination()
+    got = {int(r.TIMESTAMP.timestamp()): dict(r.TAGS) for r in stored_samples(spark, sink.path).where("COMM = 'c'").collect()}
+    assert got == {t: {"S": str(t // 2)} for t in range(5, 401, 5)}
+    assert len(taken) >= 2 and max(taken) <= 110
+
+
+def test_execs_around_rows_give_the_same_tags(spark):
+    """Also for processes without a name or number, whose tags come from repeated execs alone."""
+    samples, execs = random_case(12)
+    nameless = lambda rows: [(None if r[0] == "h1" else r[0], None if r[1] == 3 else r[1], *r[2:]) for r in rows]
+    at = lambda seconds: utc(2024, 1, 1) + timedelta(seconds=seconds)
+    rows = spark.createDataFrame([s for s in nameless(samples) if at(100) <= s[2] <= at(160)], SAMPLE)
+    history = spark.createDataFrame(nameless(execs), HISTORY)
+    micros = [int(t.timestamp() * 10**6) for t in (at(100), at(160))]
+    for width in (1, 30, 86400):
+        want, got = (
+            {r.n: dict(r.TAGS) for r in attach_tags(rows, known, slice_seconds=width).collect()}
+            for known in (history, execs_around(history, *micros))
+        )
+        assert got == want and any(want.values())
+
+
 def test_sliced_counters_of_late_rows(spark, tmp_path):
     rows = random_events(6, 400, hot=0.7)
     parts = []
