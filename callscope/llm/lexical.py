@@ -9,7 +9,8 @@ an item is the sum of weight times impact over the item's different terms.
    from frequent to rare down, documents from short to long across, whose cells are the impacts. The grid is halved both
    ways again and again into a quadtree: per level, each cell that is not empty has four bits (which of its quarters are
    not empty) and the largest impact inside it, stored as the difference to the cell around it. The children of a cell
-   follow from the rank of its bits, so no pointers are stored. Blocks are rows of a written table.
+   follow from the rank of its bits, so no pointers are stored. Blocks are rows of a written table, packed by the task
+   that made them: what passes through Spark is about a quarter of what a search unpacks.
 3. Items come in batches of at most ``BATCH_BYTES`` of text, whose terms are broadcast. A pass over the blocks' terms
    adds up in how many documents each term of the batch occurs. A second pass searches: an item's terms are rows of the
    grid, and their paths descend together, a range of documents at a time. The largest impacts of the cells that the
@@ -20,6 +21,7 @@ an item is the sum of weight times impact over the item's different terms.
 
 Nothing depends on a hot term or document: a block is bounded by its text (a longer document is a block of its own),
 and terms are never a shuffle key. At most ``top`` rows per item and task are shuffled. Batches run one after the other.
+Texts and blocks reach a task's worker about ``ARROW_BYTES`` at a time, not all that a task reads at once.
 
 Defined results: a null text or one without terms is no document; items without terms, or whose terms no document has,
 have no rows; a score of 0 gives no row; equal scores go by ascending doc_id, null ids last; rows that repeat an id
@@ -41,10 +43,13 @@ from pyspark.sql import functions as F
 
 from callscope.llm.textops import chunks
 from callscope.plans.storage import written
+from callscope.session import settings_held
 
 #: Bytes of text in a block of the index, and of items that are searched for at once.
 BLOCK_BYTES = 6_000_000
 BATCH_BYTES = 4_000_000
+#: Bytes of texts or blocks that are handed to a worker at once, besides the last of them.
+ARROW_BYTES = 4_000_000
 #: Ranges of documents that are halved at once.
 BEAM = 128
 TOP = 10
@@ -131,6 +136,15 @@ def _pack(bits: list[np.ndarray], largest: list[np.ndarray]) -> tuple[bytes, lis
     return (flat[::2] | flat[1::2] << 4).tobytes(), [len(x) for x in largest], np.concatenate(drops).astype(np.int32).tobytes()
 
 
+def _packed(data) -> bytes:
+    """The bytes compressed, after their number."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: pa.Buffer) -> pa.Buffer:
+    return pa.decompress(data.slice(8), int.from_bytes(data.slice(0, 8), "little"), codec="zstd")
+
+
 class Grid:
     """A block's quadtree, ready to be descended. Cells are numbered level by level; the last number stands for an empty cell."""
 
@@ -191,7 +205,7 @@ class Grid:
         return columns, scores
 
 
-_INDEX = "terms string, holders binary, docs array<long>, bits binary, sizes array<int>, drops binary"
+_INDEX = "terms binary, holders binary, docs array<long>, bits binary, sizes array<int>, drops binary"
 
 
 def _index(docs: int, terms: int, block_bytes: int):
@@ -217,10 +231,11 @@ def _index(docs: int, terms: int, block_bytes: int):
         row[frequent] = np.arange(len(frequent))
         bits, sizes, drops = _pack(*quadtree(row[term], column, impacts(tf, n[order][column], docs, terms)))
         names = coded.dictionary.take(pa.array(frequent)).cast(pa.string())
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), "\n")[0].as_buffer()
         return pa.RecordBatch.from_arrays([
-            pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), "\n"), pa.array([holders[frequent].astype(np.int32).tobytes()], pa.binary()),
+            pa.array([_packed(joined)], pa.binary()), pa.array([_packed(holders[frequent].astype(np.int32).tobytes())], pa.binary()),
             pa.array([ids.take(pa.array(order)).to_pylist()], pa.list_(pa.int64())), pa.array([bits], pa.binary()),
-            pa.array([sizes], pa.list_(pa.int32())), pa.array([drops], pa.binary()),
+            pa.array([sizes], pa.list_(pa.int32())), pa.array([_packed(drops)], pa.binary()),
         ], names=["terms", "holders", "docs", "bits", "sizes", "drops"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,9 +280,10 @@ def _batches(items: DataFrame, batch_bytes: int) -> Iterator[list[tuple[int | No
         yield batch
 
 
-def _rows_of(names: pa.Array, vocabulary: pa.Array) -> np.ndarray:
-    """The grid row of each term of the vocabulary, -1 where a block has none; ``names`` is the block's joined terms."""
-    own = pc.split_pattern(names, "\n").flatten()
+def _rows_of(names: pa.BinaryScalar, vocabulary: pa.Array) -> np.ndarray:
+    """The grid row of each term of the vocabulary, -1 where a block has none; ``names`` is the block's packed joined terms."""
+    joined = _unpacked(names.as_buffer())
+    own = pc.split_pattern(pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, joined.size], np.int32)), joined), "\n").flatten()
     return pc.index_in(vocabulary, value_set=own).fill_null(-1).to_numpy(zero_copy_only=False)
 
 
@@ -284,9 +300,9 @@ def _holders(vocabulary):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = _rows_of(batch.column("terms").slice(k, 1), vocabulary.value)
+                row = _rows_of(batch.column("terms")[k], vocabulary.value)
                 at = np.flatnonzero(row >= 0)
-                holders = np.frombuffer(batch.column("holders")[k].as_py(), np.int32)[row[at]]
+                holders = np.frombuffer(_unpacked(batch.column("holders")[k].as_buffer()), np.int32)[row[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(holders, pa.int64())], names=["term", "holders"])
 
     return read
@@ -300,9 +316,9 @@ def _search(asked, top: int):
         best: list[list] = [[] for _ in items]
         for batch in batches:
             for k in range(batch.num_rows):
-                row = _rows_of(batch.column("terms").slice(k, 1), vocabulary)
+                row = _rows_of(batch.column("terms")[k], vocabulary)
                 sizes, ids = batch.column("sizes")[k].as_py(), batch.column("docs")[k].as_py()
-                grid = Grid(batch.column("bits")[k].as_py(), sizes, batch.column("drops")[k].as_py())
+                grid = Grid(batch.column("bits")[k].as_buffer(), sizes, _unpacked(batch.column("drops")[k].as_buffer()))
                 for no, (_, places, weights) in enumerate(items):
                     here = row[places] >= 0
                     if not here.any():
@@ -324,6 +340,17 @@ def search(
     docs: DataFrame, items: DataFrame, top: int = TOP, block_bytes: int = BLOCK_BYTES, batch_bytes: int = BATCH_BYTES
 ) -> DataFrame:
     """item_id, rank, doc_id and score of each item's ``top`` best documents."""
+    with settings_held(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}):
+        found = _found(docs, items, top, block_bytes, batch_bytes)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.select("item_id", "rank", "doc_id", "score")
+
+
+def _found(docs: DataFrame, items: DataFrame, top: int, block_bytes: int, batch_bytes: int) -> DataFrame | None:
+    """item, item_id, doc_id and score of each item's best documents in each task's blocks, written; None without items."""
     spark = docs.sparkSession
     index, count = build_index(docs, block_bytes)
     found, done = None, 0
@@ -348,11 +375,7 @@ def search(
         vocabulary.destroy()
         asked.destroy()
         found, done = part if found is None else found.unionAll(part), done + len(batch)
-    if found is None:
-        return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("item_id", "rank", "doc_id", "score")
+    return found
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -32,6 +35,22 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def settings_held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings for the jobs that run meanwhile; afterwards they are as they were."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def build_session(name: str = "callscope", **settings) -> SparkSession:
     """A session with the settings above; keyword names use ``__`` for dots."""
     builder = SparkSession.builder.appName(name)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from callscope.llm import codes, lexical, secrets
 from callscope.llm.columns import located, running_sum
+from callscope.session import settings_held
 
 
 # --- lexical search -------------------------------------------------------------------------
@@ -70,6 +71,38 @@ def test_search_of_nothing(spark):
     assert lexical.query(documents(spark, [(1, None, "en", "a"), (2, " .,", "en", "a")]), items).count() == 0
 
 
+def test_a_worker_gets_a_few_megabytes_at_a_time(spark, monkeypatch):
+    def bounded(read):
+        def watch(batches):
+            for batch in batches:
+                if batch.nbytes > 10_000_000:
+                    raise ValueError(f"{batch.nbytes} bytes at once")
+                yield batch
+
+        return lambda batches: read(watch(batches))
+
+    monkeypatch.setattr(lexical, "_count", bounded(lexical._count))
+    for make in ("_index", "_holders", "_search"):
+        monkeypatch.setattr(lexical, make, lambda *args, make=getattr(lexical, make): bounded(make(*args)))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    text = "array_join(transform(sequence(1, 6000), i -> cast(abs(hash(id, i)) % 50000 as string)), ' ') AS text"
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", text)
+    items = [(k, " ".join(map(str, range(100 * k, 100 * k + 30)))) for k in range(3)]
+    got = lexical.search(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert spark.conf.get(key, None) == before
+    assert sorted(map(tuple, got.collect()), key=str) == ranked([tuple(d) for d in docs.collect()], items)
+
+
+def test_settings_are_as_before_after_an_error(spark):
+    unset, own = "spark.callscope.none", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(own)
+    with pytest.raises(KeyError), settings_held(spark, {unset: "1", own: "3"}):
+        assert (spark.conf.get(unset), spark.conf.get(own)) == ("1", "3")
+        raise KeyError
+    assert (spark.conf.get(unset, None), spark.conf.get(own)) == (None, before)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 40), st.integers(1, 700), st.integers(1, 12))
 def test_descent_finds_the_best_columns(seed, rows, columns, top):
