@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.llm.textops import chunks
-from callscope.plans.storage import written
+from callscope.plans.storage import LARGE_ROWS, written
 from callscope.session import settings_held
 
 #: Bytes of text in a block of the index, and of items that are searched for at once.
@@ -260,7 +260,7 @@ def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFr
     """(the written index of all documents, number of documents that have terms)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     count, total = corpus_size(rows)
-    return written(rows.mapInArrow(_index(count, total, block_bytes), _INDEX), "term-grid"), count
+    return written(rows.mapInArrow(_index(count, total, block_bytes), _INDEX), "term-grid", LARGE_ROWS), count
 
 
 def _batches(items: DataFrame, batch_bytes: int) -> Iterator[list[tuple[int | None, list[str]]]]:

@@ -33,11 +33,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Of tables whose rows take megabytes each. Parquet's writer looks at sizes only every 100 rows otherwise: a task's rows
+#: would be one page and one row group, held at once by who writes and who reads them.
+LARGE_ROWS = {
+    "parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1",
+}
+
+
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write a result and read it back: the plan behind it is cut, lost executors lose nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

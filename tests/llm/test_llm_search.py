@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,6 +72,12 @@ def test_search_of_nothing(spark):
     assert lexical.query(documents(spark, [(1, None, "en", "a"), (2, " .,", "en", "a")]), items).count() == 0
 
 
+def numbers(spark, docs, below):
+    """One partition of documents of 6,000 numbers each."""
+    text = f"array_join(transform(sequence(1, 6000), i -> cast(abs(hash(id, i)) % {below} as string)), ' ') AS text"
+    return spark.range(0, docs, 1, 1).selectExpr("id AS doc_id", text)
+
+
 def test_a_worker_gets_a_few_megabytes_at_a_time(spark, monkeypatch):
     def bounded(read):
         def watch(batches):
@@ -86,14 +93,21 @@ def test_a_worker_gets_a_few_megabytes_at_a_time(spark, monkeypatch):
         monkeypatch.setattr(lexical, make, lambda *args, make=getattr(lexical, make): bounded(make(*args)))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key, None)
-    text = "array_join(transform(sequence(1, 6000), i -> cast(abs(hash(id, i)) % 50000 as string)), ' ') AS text"
-    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", text)
+    docs = numbers(spark, 400, 50_000)
     items = [(k, " ".join(map(str, range(100 * k, 100 * k + 30)))) for k in range(3)]
     got = lexical.search(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert spark.conf.get(key, None) == before
     assert sorted(map(tuple, got.collect()), key=str) == ranked([tuple(d) for d in docs.collect()], items)
 
 
+def test_row_groups_of_the_index_are_a_few_megabytes(spark):
+    index, count = lexical.build_index(numbers(spark, 400, 2_000_000_000))
+    assert count == 400 and index.count() > 3
+    for file in index.inputFiles():
+        data = pq.ParquetFile(file.removeprefix("file://")).metadata
+        assert all(data.row_group(k).total_byte_size < 10_000_000 for k in range(data.num_row_groups)), data
+
+
 def test_settings_are_as_before_after_an_error(spark):
     unset, own = "spark.callscope.none", "spark.sql.shuffle.partitions"
     before = spark.conf.get(own)
