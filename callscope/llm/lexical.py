@@ -168,6 +168,8 @@ class Grid:
     def search(self, rows: np.ndarray, weights: np.ndarray, top: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """(columns, scores) of all columns that may be among the ``top`` best with a score of ``least`` or more."""
         columns, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        here = rows >> self.height == 0  # a row below the grid is empty
+        rows, weights = rows[here], weights[here]
         cells = np.zeros((1, len(rows)), np.int32)
         level, prefix = np.zeros(1, np.int64), np.zeros(1, np.int64)
         bound = self.largest[cells] @ weights

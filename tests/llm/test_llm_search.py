@@ -136,6 +136,13 @@ def test_descent_finds_the_best_columns(seed, rows, columns, top):
     assert sorted(zip((-got).tolist(), found.tolist()))[:top] == want
 
 
+def test_a_row_below_the_grid_is_empty():
+    grid = lexical.Grid(*lexical._pack(*lexical.quadtree(np.array([2, 3]), np.array([0, 0]), np.array([19, 16]))))
+    found, got = grid.search(np.array([2, 6, 7]), np.array([4, 6, 1]), 1)
+    assert (found.tolist(), got.tolist()) == ([0], [76])
+    assert not len(grid.search(np.array([4, 6]), np.array([4, 6]), 1)[0])
+
+
 def test_terms_are_cut_at_texts():
     import pyarrow as pa
 
